@@ -1,8 +1,8 @@
 """Queries of the training-data operators and their SQL."""
 
-from tidemark.llm import quality, url_filters
+from tidemark.llm import bpe, packing, quality, url_filters
 
-MODULES = (quality, url_filters)
+MODULES = (packing, quality, bpe, url_filters)
 
 
 def queries():
