@@ -1,8 +1,8 @@
 """Queries of the training-data operators and their SQL."""
 
-from tidemark.llm import bpe, media, packing, quality, url_filters
+from tidemark.llm import bpe, html_text, media, packing, quality, url_filters
 
-MODULES = (packing, quality, media, bpe, url_filters)
+MODULES = (packing, quality, media, bpe, html_text, url_filters)
 
 
 def queries():
