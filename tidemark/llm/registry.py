@@ -1,8 +1,8 @@
 """Queries of the training-data operators and their SQL."""
 
-from tidemark.llm import bpe, html_text, media, packing, quality, toxicity, url_filters
+from tidemark.llm import bpe, html_text, lm_scoring, media, packing, quality, toxicity, url_filters
 
-MODULES = (packing, quality, media, toxicity, bpe, html_text, url_filters)
+MODULES = (packing, quality, lm_scoring, media, toxicity, bpe, html_text, url_filters)
 
 
 def queries():
