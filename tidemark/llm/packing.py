@@ -108,7 +108,7 @@ def sequences(pieces: DataFrame) -> DataFrame:
     return rows.select("sequence_id", F.transform("p", lambda x: x.dropFields("ids")).alias("pieces"), joined.alias("ids"))
 
 
-def _digest(pieces: DataFrame) -> DataFrame:
+def digest(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -119,7 +119,7 @@ def vocabulary() -> str:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digest(pack(table(spark, sf_dir, "documents"), vocabulary()))
+    return digest(pack(table(spark, sf_dir, "documents"), vocabulary()))
 
 
 QUERIES = {"op1_packing": op1_packing}
