@@ -81,7 +81,7 @@ class Part:
         n = len(self.data)
         if n < WINDOW:
             self.lo = self.hi = self.row = np.zeros(0, np.int64)
-            self.anchor = self.unit = np.zeros(0, np.uint64)
+            self.h = self.anchor = self.unit = np.zeros(0, np.uint64)
             return
         self.h = h = buckets(self.data)
         shift = PLACE_BITS
