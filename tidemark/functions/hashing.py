@@ -16,7 +16,16 @@ def _hex(text: Column, start: int, n: int) -> Column:
 
 def hash_token(token: Column, bins: int = BINS) -> Column:
     """The MD5 digest as an unsigned number modulo ``bins - 1``, plus 1."""
-    digest, rest = F.md5(token), F.lit(0).cast("bigint")
+    return hash_digest(F.md5(token), bins)
+
+
+def hash_tokens(tokens: Column, bins: int = BINS) -> Column:
+    """The hashes of an array of tokens; each digest is made once."""
+    return F.transform(F.transform(tokens, F.md5), lambda d: hash_digest(d, bins))
+
+
+def hash_digest(digest: Column, bins: int = BINS) -> Column:
+    rest = F.lit(0).cast("bigint")
     for start in (1, 9, 17, 25):
         rest = (rest * F.lit(2**32) + _hex(digest, start, 8)) % F.lit(bins - 1)
     return rest + 1

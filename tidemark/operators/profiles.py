@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashing import BINS, hash_profile_token, hash_token, row_masked
+from tidemark.functions.hashing import BINS, hash_profile_token, hash_token, hash_tokens, row_masked
 from tidemark.plans.recipe import Roles
 
 # The order of the fields that every sparse row has, and field numbers after them.
@@ -21,19 +21,28 @@ def with_publisher(df: DataFrame) -> DataFrame:
     return df.withColumns({"pub_id": F.col("publisher_id"), "pub_domain": F.col("publisher_domain"), "pub_category": F.col("publisher_category")})
 
 
+def identity_columns() -> dict[str, Column]:
+    return {"device_id": F.col("device_id"), "device_ip": F.col("device_ip"), "user": F.col("base_user"), "user_hour": F.concat_ws("-", "base_user", "hour")}
+
+
+def identity_count(df: DataFrame, kind: str) -> DataFrame:
+    """``key, n`` of one kind alone."""
+    return df.groupBy(identity_columns()[kind].alias("key")).agg(F.count("*").alias("n"))
+
+
 def identity_counts(df: DataFrame) -> DataFrame:
     """Rows per device, address, user and user-hour, as ``kind, key, n`` from one expanded pass."""
-    kinds = {"device_id": F.col("device_id"), "device_ip": F.col("device_ip"), "user": F.col("base_user"), "user_hour": F.concat_ws("-", "base_user", "hour")}
+    kinds = identity_columns()
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in kinds.items()])
     return df.select(F.explode(pairs).alias("x")).groupBy("x.kind", "x.key").agg(F.count("*").alias("n"))
 
 
-def base_tokens(df: DataFrame, counts: DataFrame, history: DataFrame, roles: Roles = Roles(), identity: int = 1000, threshold: int = 30) -> DataFrame:
-    """``tokens array<bigint>`` of 15 fields. history: ``base_user, hour_no, history`` of known devices."""
+def base_tokens(df: DataFrame, counts: dict[str, DataFrame], history: DataFrame, roles: Roles = Roles(), identity: int = 1000, threshold: int = 30) -> DataFrame:
+    """``tokens array<bigint>`` of 15 fields. counts: by kind, ``key, n``; history: ``base_user, hour_no, history`` of known devices."""
     key = {"device_id": "device_id", "device_ip": "device_ip", "user": "base_user", "user_hour": "user_hour"}
     rows = df.withColumn("user_hour", F.concat_ws("-", "base_user", "hour"))
     for kind, column in key.items():
-        one = counts.filter(F.col("kind") == kind).select(F.col("key").alias(column), F.col("n").alias(f"n_{kind}"))
+        one = counts[kind].select(F.col("key").alias(column), F.col("n").alias(f"n_{kind}"))
         rows = rows.join(one, column, "left")
     rows = rows.join(history, ["base_user", "hour_no"], "left")
     text = F.when(F.col(roles.device) != roles.no_device, F.coalesce("history", F.lit(""))).otherwise("")
@@ -44,7 +53,7 @@ def base_tokens(df: DataFrame, counts: DataFrame, history: DataFrame, roles: Rol
     past = F.when(F.col("n_user") > threshold, F.concat(F.lit("user_click_histroy-"), n)).otherwise(F.concat(F.lit("user_click_histroy-"), n, F.lit("-"), text))
     tokens = [F.concat(F.lit(f"{c}-"), F.col(c)) for c in NAMED_FIELDS]
     tokens += [F.concat(F.lit("hour-"), F.right("hour", F.lit(2))), backed("device_ip"), backed("device_id"), F.concat(F.lit("smooth_user_hour_count-"), few.cast("string")), past]
-    return rows.withColumn("tokens", F.array(*[hash_token(t) for t in tokens]))
+    return rows.withColumn("tokens", hash_tokens(F.array(*tokens)))
 
 
 def profile_edges(df: DataFrame, kind: str, field: str, names: dict[str, str], identity: int = 100, most_rows: int = 100, norm: float = 0.5, user: str = "profile_user", order: str = "row_index") -> DataFrame:

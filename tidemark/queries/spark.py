@@ -347,7 +347,7 @@ def identity_counts(spark, sf):
 
 def _base_tokens(df):
     devices = df.filter("identity_kind = 'device'")
-    return P.base_tokens(df, P.identity_counts(df), Y.history_strings(devices, "base_user", EVENTS), identity=BASE_IDENTITY, threshold=THRESHOLD)
+    return P.base_tokens(df, {k: P.identity_count(df, k) for k in P.identity_columns()}, Y.history_strings(devices, "base_user", EVENTS), identity=BASE_IDENTITY, threshold=THRESHOLD)
 
 
 def base_tokens(spark, sf):
