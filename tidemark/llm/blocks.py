@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import shared_folder
+from tidemark.llm.common import BATCH_ROWS, batches_of, shared_folder
 
 #: A block ends with the document that brings it to so many characters.
 BLOCK_BYTES = 8 << 20
@@ -41,7 +41,8 @@ def blocked(docs: DataFrame, total: int, limit: int = BLOCK_BYTES) -> DataFrame:
     numbered = docs.mapInArrow(number, f"{fields}, block long")
     buckets = min(MAX_BUCKETS, max(8, 2 * math.ceil(total / limit)))
     name = f"tidemark_blocks_{uuid.uuid4().hex}"
-    numbered.write.bucketBy(buckets, "block").option("path", shared_folder(spark)).option("compression", "zstd").format("parquet").saveAsTable(name)
+    with batches_of(spark, BATCH_ROWS):
+        numbered.write.bucketBy(buckets, "block").option("path", shared_folder(spark)).option("compression", "zstd").format("parquet").saveAsTable(name)
     return spark.table(name)
 
 

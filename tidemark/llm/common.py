@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that a job sends to Python at a time.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: ASCII white space; everything else belongs to a word.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -28,11 +31,23 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Jobs inside send so many rows at a time to Python: whole texts are long rows."""
+    before = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before) if before else spark.conf.unset(BATCH)
+
+
+def written(df: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """The rows of ``df``, written to the shared folder and read back: the lineage ends there."""
     spark = df.sparkSession
     path = shared_folder(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    with batches_of(spark, batch_rows):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

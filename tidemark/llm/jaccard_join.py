@@ -8,9 +8,9 @@ these are the join keys (documents with too many empty buckets use those as well
 parity sketch, whose Hamming distance is never above the sets' difference, rejects pairs
 early; texts of the rest are compared exactly.
 
-Equal sets are one class first. In a key's group every class is compared with the smallest
-one; what a first round of components leaves apart is then compared class by class across
-components, in chunks of bounded size. No other pairs are formed, and no link that joins
+Equal sets are one class first. Every class is compared with one other, of those that are the
+smallest of its keys' groups the one it meets most often; what components leave apart is then
+compared class by class across components of a group, in chunks of bounded size. No other pairs are formed, and no link that joins
 two components is lost. Null and empty texts have size 0 and link with nothing. Repeated
 rows are of one class. Rows without doc_id have a null component.
 """
@@ -28,12 +28,15 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import table, written
 
 SHINGLE, PERCENT = 3, 90
-#: Sizes of a band differ by this factor; spare buckets let a few be empty; bits of the long sketch.
-BAND_RATIO, SPARE, SKETCH_BITS = 1.25, 2, 2048
-#: Members of a key's group that one task compares with as many others.
-CHUNK = 2000
+#: Sizes of a band differ by this factor; spare buckets let a few be empty; bits of the long sketch for each token.
+BAND_RATIO, SPARE, SKETCH_BITS = 1.5, 2, 4
+#: Larger groups of a key are compared in numpy; so many members at a time with as many others.
+FEW, CHUNK = 32, 2000
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 MAX_KNOWN = 300_000
+#: Ids whose texts are wanted are broadcast up to this count (8 MB), and shuffled beyond it.
+MAX_BROADCAST = 1_000_000
+PAIRS_AT_A_TIME = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -120,9 +123,27 @@ def join_keys(h: np.ndarray, percent: int) -> np.ndarray:
 
 
 def parity_sketch(h: np.ndarray) -> bytes:
-    """``SKETCH_BITS`` bits; each token flips one."""
-    odd = np.bincount((mix(h ^ _K[0]) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    """A power of two of bits, ``SKETCH_BITS`` a token at least; each token flips one.
+
+    The halves of a sketch, XORed, are the sketch of half the length.
+    """
+    bits = max(512, 1 << (SKETCH_BITS * len(h) - 1).bit_length())
+    odd = np.bincount((mix(h ^ _K[0]) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    x = np.frombuffer(sketch, np.uint64)
+    while x.nbytes > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def difference(a: bytes, b: bytes) -> int:
+    """Hamming distance of two sketches, the longer one folded: at most the sets' difference."""
+    size = min(len(a), len(b))
+    x, y = folded(a, size), folded(b, size)
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
 def sketched(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -145,15 +166,24 @@ def sketched(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n long, sig binary, sketch binary, keys array<long>")
 
 
-def linked(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose texts link; ``texts``: ``id, text``."""
+def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``id, text`` of the documents that the pairs ``a, b`` name."""
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    side = F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
+    return written(docs.select(F.col("doc_id").alias("id"), "text").join(side, "id").dropDuplicates(["id"]))
+
+
+def linked(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose texts link, written out."""
+    pairs = written(pairs)
+    texts = texts_of(docs, pairs)
 
     def run(frames):
         sets: dict = {}
 
         def of(key, text):
             if key not in sets:
-                if len(sets) > 500:
+                if len(sets) > 100:
                     sets.clear()
                 sets[key] = shingles(words_of(text), shingle)
             return sets[key]
@@ -167,7 +197,8 @@ def linked(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
             yield f.loc[keep, ["a", "b"]]
 
     full = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return full.mapInPandas(run, "a long, b long")
+    # rows hold two whole texts: few of them at a time, whatever their length
+    return written(full.mapInPandas(run, "a long, b long"), PAIRS_AT_A_TIME)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -196,9 +227,34 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def across(groups: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components inside the groups (``key, id, component``) that the sketches allow."""
+    """Pairs of different components inside the groups (``key, id, component``) that the sketches allow.
+
+    Small groups are joined with themselves; larger ones are compared in numpy, chunk by chunk.
+    """
     apart = groups.groupBy("key").agg(F.count("*").alias("g"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    rows = groups.join(apart.select("key", "g"), "key").join(sketches, "id")
+    rows = written(groups.join(apart.select("key", "g"), "key"))
+    few, many = rows.filter(F.col("g") <= FEW), rows.filter(F.col("g") > FEW)
+    other = few.select("key", F.col("id").alias("b"), F.col("component").alias("of_b"))
+    small = few.join(other, "key").filter("id > b AND component <> of_b").select(F.col("id").alias("a"), "b").distinct()
+    return allowed(small, sketches, percent).unionByName(_between_chunks(many, sketches, percent)).distinct()
+
+
+def allowed(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose sketches differ in no more bits than a link may differ in tokens."""
+
+    def run(frames):
+        for f in frames:
+            differ = np.array([difference(x, y) for x, y in zip(f["sketch_a"], f["sketch_b"], strict=True)], np.int64)
+            keep = (100 + percent) * differ <= (100 - percent) * (f["n_a"] + f["n_b"]).to_numpy(np.int64)
+            yield f.loc[keep, ["a", "b"]]
+
+    for c in ("a", "b"):
+        pairs = pairs.join(sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")), c)
+    return pairs.mapInPandas(run, "a long, b long")
+
+
+def _between_chunks(groups: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    rows = groups.join(sketches, "id")
     chunks = F.ceil(F.col("g") / CHUNK).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
@@ -206,17 +262,18 @@ def across(groups: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     def run(key, f: pd.DataFrame) -> pd.DataFrame:
         f = f.drop_duplicates("id").sort_values("id")
         ids, comp, n = f["id"].to_numpy(), f["component"].to_numpy(), f["n"].to_numpy(np.int64)
-        bits = np.stack([np.frombuffer(s, np.uint64) for s in f["sketch"]])
+        shortest = min(map(len, f["sketch"]))
+        bits = np.stack([folded(s, shortest) for s in f["sketch"]])
         found = []
         for i in range(len(ids) - 1):
             rest = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
             if len(rest):
-                apart_by = np.bitwise_count(bits[rest] ^ bits[i]).sum(1, dtype=np.int64)
-                possible = rest[(100 + percent) * apart_by <= (100 - percent) * (n[rest] + n[i])]
+                differ = np.bitwise_count(bits[rest] ^ bits[i]).sum(1, dtype=np.int64)
+                possible = rest[(100 + percent) * differ <= (100 - percent) * (n[rest] + n[i])]
                 found += [(ids[j], ids[i]) for j in possible]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+    return rows.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long")
 
 
 def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -225,18 +282,20 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
     some = rows.filter("n > 0 AND doc_id IS NOT NULL")
     classes = written(some.groupBy("sig").agg(F.min("doc_id").alias("id")))
     # one document stands for each class: the smallest, or any equal row of it
-    first = some.join(classes, "sig").filter("doc_id = id").select("id", "n", "sketch", "keys")
-    keys = first.select("id", F.explode("keys").alias("key")).distinct()
-    shared = keys.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("c")).filter("c > 1").select("key", "rep")
+    first = some.join(classes, "sig").filter("doc_id = id").select("id", "n", "sketch", "keys")  # rows may repeat
+    # one exchange by key serves both the smallest ids and the join with them
+    keys = first.select("id", F.explode("keys").alias("key")).repartition("key")
+    shared = keys.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep < last").select("key", "rep")
     groups = written(keys.join(shared.hint("shuffle_hash"), "key"))
-    pairs = groups.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
-    ids = groups.select("id").distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids.hint("shuffle_hash"), "id").dropDuplicates(["id"])
-    texts = written(texts)
-    links = written(linked(pairs, texts, shingle, percent))
+    # at first each class meets the one it shares most keys with; what that leaves apart meets all
+    common = groups.filter("id <> rep").groupBy("id", "rep").agg(F.count("*").alias("c"))
+    best = common.groupBy("id").agg(F.max(F.struct("c", (-F.col("rep")).alias("b"))).alias("m"))
+    pairs = best.select(F.col("id").alias("a"), (-F.col("m.b")).alias("b"))
+    sketches = first.select("id", "n", "sketch").dropDuplicates(["id"])
+    links = linked(allowed(pairs, sketches, percent), docs, shingle, percent)
     labels = components(links)
     labelled = groups.select("key", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    more = written(linked(across(written(labelled), first.select("id", "n", "sketch"), percent), texts, shingle, percent))
+    more = linked(across(written(labelled), sketches, percent), docs, shingle, percent)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     of_class = classes.join(labels, "id", "left").select("sig", F.coalesce("component", "id").alias("component"))
