@@ -1,4 +1,4 @@
-"""Every registered feature query against its SQL, on the smallest tables."""
+"""Every registered feature query against its SQL, on small tables with gapless hours."""
 
 import math
 import os
@@ -12,7 +12,7 @@ import __spark_entry__
 from tidemark.queries.spark import QUERIES
 from tidemark.queries.sql import SQL
 
-DATA = os.environ.get("TIDEMARK_TESTDATA", "/root/testdata/sf0.001")
+DATA = os.environ.get("TIDEMARK_TESTDATA", "/root/testdata/sf0.01")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
