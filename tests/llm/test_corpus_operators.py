@@ -268,6 +268,28 @@ def test_toxicity_learns_words_beginnings_and_pairs(spark):
     assert toxicity.score(docs.filter("false"), model).count() == 0
 
 
+def test_toxicity_flags_alike_when_the_sample_is_bounded(spark, monkeypatch):
+    g = random.Random(10)
+    words = [f"{a}{b}n" for a in "bdfgklmp" for b in "aeiou"]
+    rows, labels = [], []
+    for i in range(2000):
+        kind = "idiot" if i % 40 == 0 else "perhaps" if i % 5 == 1 else ""
+        rows.append((i, " ".join([kind, *(g.choice(words) for _ in range(8))])))
+        labels.append((i, int(kind == "idiot" or kind == "perhaps" and g.random() < 0.25)))
+    docs, table = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+    def flagged():
+        return {r["doc_id"] for r in toxicity.score(docs, toxicity.train(docs, table)).filter("score >= 0.5").collect()}
+
+    whole = flagged()
+    assert whole == {i for i, t in rows if t.startswith("idiot")}
+    monkeypatch.setattr(toxicity, "MAX_EACH", 120)
+    sample = toxicity.bounded_sample(table).groupBy("toxic").agg(F.count("*").alias("n"), F.sum("weight").alias("all")).collect()
+    positive = sum(x for _, x in labels)
+    assert {r["toxic"]: (r["n"], round(r["all"], 6)) for r in sample} == {0: (120, 2000 - positive), 1: (120, positive)}
+    assert len(flagged() ^ whole) <= 0.01 * len(rows)
+
+
 def test_stages_keep_clean_documents(spark, tmp_path):
     import corpus_pipeline
 

@@ -6,7 +6,8 @@ weight for each chosen term and a vector for each, whose products weigh every pa
 are fitted by Adam on the logistic loss. So a pair may matter more than its two parts.
 
 The fit reads at most ``MAX_EACH`` labelled rows of each class (lowest hashes of doc_id),
-in one task. Its result has at most ``MAX_TERMS`` rows and goes to every worker. Scoring
+in one task; a row counts as many times as its class has labelled rows for each sampled one,
+so the class ratio learnt is that of all labels. Its result has at most ``MAX_TERMS`` rows and goes to every worker. Scoring
 reads every whole text and nothing else. Null or empty texts and texts without a chosen
 term get the bias alone; without any labels all scores are 0.5. Repeated rows score alike.
 """
@@ -40,14 +41,14 @@ def buckets(word: str) -> list[int]:
 
 
 def term_rows(docs: DataFrame) -> DataFrame:
-    """``toxic, buckets array<int>`` of every row of ``text, toxic``."""
+    """``toxic, weight, buckets array<int>`` of every row of ``text, toxic, weight``."""
 
     def run(frames):
         for f in frames:
             found = [sorted({b for w in set((t or "").lower().split()) for b in buckets(w)}) for t in f["text"]]
-            yield pd.DataFrame({"toxic": f["toxic"], "buckets": found})
+            yield pd.DataFrame({"toxic": f["toxic"], "weight": f["weight"], "buckets": found})
 
-    return docs.select("text", "toxic").mapInPandas(run, "toxic int, buckets array<int>")
+    return docs.select("text", "toxic", "weight").mapInPandas(run, "toxic int, weight double, buckets array<int>")
 
 
 def chosen_terms(rows: DataFrame) -> DataFrame:
@@ -64,19 +65,19 @@ def chosen_terms(rows: DataFrame) -> DataFrame:
     return counts.select("bucket", g.alias("g")).filter(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "bucket").limit(MAX_TERMS)
 
 
-def fit_machine(rows: list[np.ndarray], y: np.ndarray, size: int) -> tuple[float, np.ndarray, np.ndarray]:
+def fit_machine(rows: list[np.ndarray], y: np.ndarray, size: int, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Bias, weights and vectors; rows: each document's distinct term numbers.
 
-    Rows of equal terms and label count once, with their number as weight. A fifth of them is
+    Rows of equal terms and label count once, with the sum of their weights. A fifth of them is
     not learnt from; what did best on it is kept, and the fit ends when ``PATIENCE`` rounds
     have not done better by a thousandth, or after ``ROUNDS``.
     """
-    groups: dict[tuple[bytes, float], int] = {}
-    for r, label in zip(rows, y.tolist(), strict=True):
+    groups: dict[tuple[bytes, float], float] = {}
+    for r, label, n in zip(rows, y.tolist(), weight.tolist(), strict=True):
         key = (r.astype(np.int64).tobytes(), label)
-        groups[key] = groups.get(key, 0) + 1
+        groups[key] = groups.get(key, 0.0) + n
     rows = [np.frombuffer(k, np.int64) for k, _ in groups]
-    y, share = np.array([v for _, v in groups]), np.array([*groups.values()], float) / max(1, len(y))
+    y, share = np.array([v for _, v in groups]), np.array([*groups.values()], float) / max(1.0, float(weight.sum()))
     rng = np.random.default_rng(SEED)
     aside = rng.random(len(y)) < 0.2
     v, w, b = rng.normal(0, 0.02, (size, FACTORS)), np.zeros(size), 0.0
@@ -120,7 +121,7 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, size: int) -> tuple[float
 
 
 def fit(labelled: DataFrame) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-    """Model from rows ``doc_id, text, toxic``: bias, chosen buckets, weights, vectors."""
+    """Model from rows ``doc_id, text, toxic, weight``: bias, chosen buckets, weights, vectors."""
     rows = written(term_rows(labelled))
     terms = np.array(sorted(r["bucket"] for r in chosen_terms(rows).collect()), np.int64)
 
@@ -129,7 +130,7 @@ def fit(labelled: DataFrame) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]
         sets = [np.asarray(x, np.int64) for x in f["buckets"]]
         at = [np.searchsorted(terms, x) for x in sets]
         keep = [a[(a < len(terms)) & (terms[np.minimum(a, len(terms) - 1)] == x)] if len(terms) else a[:0] for a, x in zip(at, sets, strict=True)]
-        b, w, v = fit_machine(keep, f["toxic"].to_numpy(float), len(terms))
+        b, w, v = fit_machine(keep, f["toxic"].to_numpy(float), len(terms), f["weight"].to_numpy(float))
         table = np.column_stack([w, v])
         return pd.DataFrame({"place": np.arange(-1, len(terms)), "values": [[b], *table.tolist()]})
 
@@ -143,15 +144,16 @@ def fit(labelled: DataFrame) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]
 
 
 def bounded_sample(labels: DataFrame) -> DataFrame:
-    """At most ``MAX_EACH`` labelled rows of each class, chosen by hash."""
+    """At most ``MAX_EACH`` labelled rows of each class, chosen by hash; ``weight``: labelled rows of the class for each."""
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).distinct()
     each = [usable.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_EACH) for k in (0, 1)]
-    return each[0].unionByName(each[1])
+    counts = usable.groupBy("toxic").agg(F.greatest(F.count("*") / MAX_EACH, F.lit(1.0)).alias("weight"))  # two rows
+    return each[0].unionByName(each[1]).join(F.broadcast(counts), "toxic").select("doc_id", "toxic", "weight")
 
 
 def train(docs: DataFrame, labels: DataFrame):
     """Fits on labelled documents: ``docs`` (doc_id, text), ``labels`` (doc_id, toxic)."""
-    sample = bounded_sample(labels)  # 2 * MAX_EACH rows of two numbers
+    sample = bounded_sample(labels)  # 2 * MAX_EACH rows of three numbers
     return fit(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
 
 
