@@ -145,3 +145,33 @@ def test_recipe_refuses_repeated_names(spark):
 def test_model_columns(spark):
     df = spark.createDataFrame([(0, None, math.nan, 1)], "row_index long, c long, x double, click int")
     assert tuple(R.model_columns(df, ["c"], ["x"], "click").first()) == (0, 0, 0.0, 1.0)
+
+
+def test_lookup_contract(spark):
+    recipe = Recipe(raw=("a",), context=(), crosses=(), frequency=("k",), distinct=(("k_apps", "k", "a"),), buckets=(), history=(), target=Target(("a",)))
+    rows = [(h, f"a{h % 3}", f"k{h % 5}", h % 2) for h in range(20)]
+    df = spark.createDataFrame(rows, "hour_no long, a string, k string, click int")
+    fits = L.fits(recipe, 0, 20)
+    good = {n: (f(df), L.reads(f, df, "click"), "training") for n, f in fits.items()}
+
+    def faults(fitted):
+        return {r["lookup"]: r["fault"] for r in C.lookup_contract(spark, recipe.lookups(), fitted).collect() if r["fault"]}
+
+    assert set(good) == set(recipe.lookups()) and faults(good) == {}
+    counted = {r["lookup"]: (r["rows"], r["repeated_keys"]) for r in C.lookup_contract(spark, recipe.lookups(), good).collect()}
+    assert counted["covariate k"] == (5, 0) and counted["temporal target a"] == (12, 0)
+    table = good["covariate k"][0]
+    assert faults(good | {"covariate k": (table.union(table.limit(1)), False, "training")}) == {"covariate k": "repeated keys"}
+    clash = table.select("*", table["k"])
+    assert faults(good | {"covariate k": (clash, False, "training")}) == {"covariate k": "columns clash"}
+    assert faults(good | {"covariate k": (table.drop("k_apps__raw"), False, "training")}) == {"covariate k": "other outputs"}
+    assert faults(good | {"covariate k": (table.withColumnRenamed("k", "j"), True, "training, scoring")}) == {"covariate k": "other key, other outputs, other provenance, other sources"}
+    assert faults({n: x for n, x in good.items() if n != "target a"} | {"extra": good["target a"]}) == {"target a": "missing", "extra": "not declared"}
+
+
+def test_lookup_contract_query_covers_the_recipe(spark):
+    from tidemark.queries import spark as Q
+
+    out = Q.lookup_contract(spark, "/root/testdata/sf0.001").collect()
+    assert {r["lookup"] for r in out} == set(Q.RECIPE.lookups()) and len(out) == 21
+    assert all(r["fault"] is None and r["repeated_keys"] == 0 and r["rows"] > 0 for r in out)

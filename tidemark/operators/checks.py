@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -48,12 +50,32 @@ def population_checks(counts: DataFrame) -> DataFrame:
     return counts.select(*[r.alias(n) for n, r in rules.items()])
 
 
-def lookup_contract(declared: DataFrame, actual: DataFrame) -> DataFrame:
-    """Mismatches of ``lookup, key, uses_labels``: missing, not declared, or of other content."""
-    d, a = declared.alias("d"), actual.alias("a")
-    both = d.join(a, F.col("d.lookup") == F.col("a.lookup"), "full_outer")
-    fault = F.when(F.col("a.lookup").isNull(), "missing").when(F.col("d.lookup").isNull(), "not declared").when(F.col("d.key") != F.col("a.key"), "other key").when(F.col("d.uses_labels") != F.col("a.uses_labels"), "other provenance")
-    return both.select(F.coalesce("d.lookup", "a.lookup").alias("lookup"), fault.alias("fault")).filter("fault IS NOT NULL")
+def lookup_contract(spark: SparkSession, declared: dict, fitted: dict) -> DataFrame:
+    """Every lookup with its rows, the keys that more than one row has, and its faults (null: none).
+
+    declared: name -> (keys, outputs, uses_labels, sources); fitted: name -> (table, uses_labels,
+    sources). Keys are counted over each whole table.
+    """
+    parts = []
+    for name in sorted({*declared, *fitted}):
+        if name not in fitted:
+            parts.append(spark.range(1).select(F.lit(name).alias("lookup"), F.lit(0).cast("bigint").alias("rows"), F.lit(0).cast("bigint").alias("repeated_keys"), F.lit("missing").alias("fault")))
+            continue
+        table, labels, sources = fitted[name]
+        keys, outputs, wants_labels, wants_sources = declared.get(name, ((), (), labels, sources))
+        columns, faults = table.columns, []
+        if name not in declared:
+            faults.append("not declared")
+        else:
+            faults += ["other key"] * (not set(keys) <= set(columns)) + ["other outputs"] * (sorted(set(columns) - set(keys)) != sorted(outputs))
+        faults += ["columns clash"] * (len(set(columns)) < len(columns)) + ["other provenance"] * (labels != wants_labels) + ["other sources"] * (sources != wants_sources)
+        each = table.toDF(*[f"c{i}" for i in range(len(columns))])  # names that cannot clash
+        by = [f"c{columns.index(k)}" for k in keys if k in columns]
+        counts = each.groupBy(*by).agg(F.count("*").alias("n")) if by else each.agg(F.count("*").alias("n"))
+        sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count_if(F.col("n") > 1).alias("repeated_keys") if by else F.lit(0).cast("bigint").alias("repeated_keys"))
+        found = F.concat_ws(", ", *[F.lit(x) for x in faults], F.when(F.col("repeated_keys") > 0, "repeated keys"))
+        parts.append(sums.select(F.lit(name).alias("lookup"), "rows", "repeated_keys", F.nullif(found, F.lit("")).alias("fault")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def time_range(df: DataFrame, start: int, end: int, time: str = "hour_no") -> DataFrame:

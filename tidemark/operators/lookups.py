@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.rowlocal import logit
-from tidemark.plans.recipe import Target
+from tidemark.plans.recipe import Recipe, Target
 
 #: Rows of a lookup under which it is broadcast whatever the statistics say.
 BROADCAST_ROWS = 100_000
@@ -103,6 +104,30 @@ def target_features_score(df: DataFrame, stats: DataFrame, column: str, prior: f
     return rows.withColumns({f"{column}_target_logit_lift": lift, f"{column}_target_evidence_log1p": F.log1p(n.cast("double"))}).drop("positive", "n")
 
 
+def fits(recipe: Recipe, start: int, end: int) -> dict:
+    """Name -> function that fits the lookup of that name on a population, for all of the recipe."""
+    target = recipe.target
+    names = [*recipe.raw, *recipe.context, *(n for n, _ in recipe.crosses)]
+    out = {f"vocabulary {c}": lambda df, c=c: vocabulary(df, c, recipe.minimum_count, recipe.maximum_vocabulary) for c in names}
+    for k in {*recipe.frequency, *(k for _, k, _ in recipe.distinct)}:
+        out[f"covariate {k}"] = lambda df, k=k: covariate_lookup(df, k, k in recipe.frequency, {n: v for n, key, v in recipe.distinct if key == k})
+    for c in target.columns:
+        out[f"target {c}"] = lambda df, c=c: target_stats(df, c)
+        out[f"temporal target {c}"] = lambda df, c=c: temporal_target_stats(df, c, start, end, target.blocks)
+    return out
+
+
+def reads(fit, population: DataFrame, column: str) -> bool:
+    """Whether a fit reads the column: without it, the fit cannot be resolved."""
+    try:
+        fit(population.limit(0).drop(column)).schema  # noqa: B018
+    except AnalysisException as e:
+        if "UNRESOLVED_COLUMN" in str(e):
+            return True
+        raise
+    return False
+
+
 def oov_rates(encoded: DataFrame, columns: list[str], split: str = "split") -> DataFrame:
     """Per split and column: rows, unknown rows, rate."""
     sums = encoded.groupBy(split).agg(F.count("*").alias("rows"), *[F.sum((F.col(c) == 0).cast("bigint")).alias(c) for c in columns])

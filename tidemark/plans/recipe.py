@@ -85,6 +85,22 @@ class Recipe:
             raise ValueError(f"features repeat: {sorted({n for n in names if names.count(n) > 1})}")
         return rows
 
+    def lookups(self, transductive: bool = False) -> dict[str, tuple[tuple[str, ...], tuple[str, ...], bool, str]]:
+        """The lookups that the features ask for: name -> (keys, outputs, uses_labels, sources)."""
+        out: dict[str, tuple[tuple[str, ...], tuple[str, ...], bool, str]] = {}
+        for name, _, family, inputs, _ in self.definitions():
+            key = inputs[0]
+            if family in ("raw", "context", "cross"):
+                out[f"vocabulary {name}"] = ((name,), (f"{name}__id",), False, "training")
+            elif family in ("frequency", "distinct"):
+                before = out.get(f"covariate {key}", ((), ()))[1]
+                added = f"{key}__frequency" if family == "frequency" else f"{name}__raw"
+                out[f"covariate {key}"] = ((key,), (*before, added), False, "training, scoring" if transductive else "training")
+            elif family == "target":
+                out[f"target {key}"] = ((key,), ("positive", "n"), True, "training")
+                out[f"temporal target {key}"] = ((key, "block"), ("previous_positive", "previous_count", "prior_count", "block_prior"), True, "training")
+        return out
+
     def contract(self, spark: SparkSession) -> DataFrame:
         """The lineage as rows ``position, name, lane, family, inputs, uses_labels``."""
         rows = [(i, *d[:3], ",".join(d[3]), d[4]) for i, d in enumerate(self.definitions())]

@@ -189,10 +189,11 @@ def population_checks(spark, sf):
 
 
 def lookup_contract(spark, sf):
-    fitted = covariate_lookup(spark, sf)
-    declared = spark.createDataFrame([("device_ip", "device_ip", False), ("site_id", "site_id", True)], "lookup string, key string, uses_labels boolean")
-    actual = fitted.limit(1).select(F.lit("device_ip").alias("lookup"), F.lit("device_ip").alias("key"), F.lit(True).alias("uses_labels"))
-    return C.lookup_contract(declared, actual)
+    """All lookups of the recipe, fitted, against what its definitions declare."""
+    train, _ = split(R.crosses(users(spark, sf), RECIPE.crosses))
+    sources = ", ".join("scoring" if r["scoring"] else "training" for r in train.select("scoring").distinct().orderBy("scoring").collect())
+    fitted = {name: (fit(train), L.reads(fit, train, "click"), sources) for name, fit in L.fits(RECIPE, *hours(train)).items()}
+    return C.lookup_contract(spark, RECIPE.lookups(), fitted)
 
 
 def eligible_users(spark, sf):
