@@ -175,3 +175,19 @@ def test_lookup_contract_query_covers_the_recipe(spark):
     out = Q.lookup_contract(spark, "/root/testdata/sf0.001").collect()
     assert {r["lookup"] for r in out} == set(Q.RECIPE.lookups()) and len(out) == 21
     assert all(r["fault"] is None and r["repeated_keys"] == 0 and r["rows"] > 0 for r in out)
+
+
+def test_gaps_and_alignment_of_the_whole_log(spark, tmp_path):
+    from tidemark.queries import spark as Q
+
+    events = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    late = F.date_trunc("hour", "ts") == "2024-01-20 05:00:00"  # an hour of all sites
+    assert events.filter(late).count() > 0
+    events.filter(~late).write.parquet(f"{tmp_path}/events.parquet")
+    whole, cut = (Q.log_hours(spark, d).first() for d in ("/root/testdata/sf0.01", str(tmp_path)))
+    assert (whole["missing"], whole["first_missing"]) == (0, [])
+    gap = cut["first_missing"][0]
+    assert cut["missing"] == 1 and gap % 24 == 5 and cut["hours"] == whole["hours"] - 1
+    assert gap not in {r["missing_hour"] for r in Q.missing_hours(spark, str(tmp_path)).collect()}
+    scoring = Q.split(Q.log(spark, "/root/testdata/sf0.01"))[1].count()
+    assert tuple(Q.aligned_predictions(spark, "/root/testdata/sf0.01").first()) == (scoring, 0, 0, 0)

@@ -38,6 +38,14 @@ def missing_hours(df: DataFrame, hour: str = "hour_no", most: int = 10) -> DataF
     return every.join(have, "h", "left_anti").orderBy("h").limit(most).select(F.col("h").alias("missing_hour"))
 
 
+def hour_coverage(df: DataFrame, hour: str = "hour_no") -> DataFrame:
+    """First and last hour of all rows, the hours that have rows and those that lack them, and the first of these."""
+    have = df.select(F.col(hour).alias("h")).distinct()
+    span = have.agg(F.min("h").alias("first_hour"), F.max("h").alias("last_hour"), F.count("h").alias("hours"))
+    gaps = missing_hours(df, hour).agg(F.sort_array(F.collect_list("missing_hour")).alias("first_missing"))
+    return span.withColumn("missing", F.col("last_hour") - F.col("first_hour") + 1 - F.col("hours")).crossJoin(gaps)
+
+
 def population_checks(counts: DataFrame) -> DataFrame:
     """Rules over one row of counts: parts add up, and no part exceeds its whole."""
     rules = {

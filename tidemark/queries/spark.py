@@ -178,6 +178,11 @@ def missing_hours(spark, sf):
     return C.missing_hours(log(spark, sf).filter("click = 1 AND site_id = 'site_7'"))
 
 
+def log_hours(spark, sf):
+    """The gaps of the whole log; ``missing_hours`` lists those of one site's clicks."""
+    return C.hour_coverage(log(spark, sf))
+
+
 def time_range(spark, sf):
     df = log(spark, sf)
     a, _ = hours(df)
@@ -432,6 +437,11 @@ def aligned_join(spark, sf):
     return P.aligned(df.filter("hour_no % 24 <> 3"), df.filter("hour_no % 24 <> 5"))
 
 
+def aligned_predictions(spark, sf):
+    """All scoring rows of the log against all composed predictions."""
+    return P.aligned(split(log(spark, sf))[1], _composed(spark, sf))
+
+
 def _composed(spark, sf):
     df = users(spark, sf)
     app = df.filter("scoring AND inventory_type = 'app'").join(_history_tokens(df).select("row_index", "use_history"), "row_index", "left")
