@@ -126,3 +126,16 @@ def test_stream_over_many_batches_equals_one(spark, tmp_path):
         second = T.run(T.click_history(stream, spark.sql("SELECT floor(unix_timestamp(timestamp'2024-01-01 09:00:00') / 3600) h").first()["h"])).orderBy("event_id").collect()
         results.append((first, second))
     assert results[0] == results[1]
+
+
+def test_streams_read_a_folder_of_disordered_files(spark, tmp_path, monkeypatch):
+    from tidemark.queries import spark as Q
+
+    source = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{source}/events.parquet").repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    names = ("stream_hourly_clicks", "stream_prior_impressions", "stream_click_history", "stream_enrich", "stream_late_rows")
+    rows = lambda name, folder: sorted(map(tuple, getattr(Q, name)(spark, str(folder)).collect()))
+    want = {n: rows(n, source) for n in names}
+    assert all(len(w) > 0 for w in want.values())
+    monkeypatch.setattr(T, "SLICE_ROWS", 400)  # three slices: state goes from one batch to the next
+    assert {n: rows(n, tmp_path) for n in names} == want

@@ -617,21 +617,21 @@ def stream_hourly_clicks(spark, sf):
 
 
 def stream_prior_impressions(spark, sf):
-    return T.run(T.prior_impressions(T.event_stream(spark, sf)))
+    return T.run(T.prior_impressions(T.ordered_stream(spark, sf)))
 
 
 def stream_click_history(spark, sf):
     last = log(spark, sf).agg(F.max("hour_no").alias("h")).first()["h"]
-    return T.run(T.click_history(T.event_stream(spark, sf), last - 23))
+    return T.run(T.click_history(T.ordered_stream(spark, sf), last - 23))
 
 
 def stream_late_rows(spark, sf):
-    """Three files, each over the whole time, arrive one by one; a row may be 24 hours late."""
+    """Three parts, each over the whole time, arrive one by one; a row may be 24 hours late."""
     folder, df = S.shared_folder(spark), log(spark, sf).select("row_index", "hour_no")
-    for part in range(3):
-        df.filter(F.col("row_index") % 3 == part).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    _, late = T.route_late(stream, 24)
+    parts = [df.filter(F.col("row_index") % 3 == part) for part in range(3)]
+    parts[0].limit(0).write.parquet(folder)  # the folder must be there
+    stream = spark.readStream.schema(df.schema).parquet(folder)
+    _, late = T.route_late(stream, 24, [lambda p=p: p.write.mode("append").parquet(folder) for p in parts])
     return late.groupBy(F.col("batch").cast("bigint").alias("batch")).agg(F.count("*").alias("late_rows"), F.max("hour_no").alias("last_hour"))
 
 

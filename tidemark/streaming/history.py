@@ -1,13 +1,14 @@
 """The history operators over event streams.
 
-Bounded, ordered micro-batches come from ``maxFilesPerTrigger`` and ``availableNow``; results
-go to Parquet in the shared folder. State is per key. Rows of a key that reach the processor
-in one batch are put in order there; rows later than the watermark go to a side table.
+Micro-batches come from ``maxFilesPerTrigger`` and ``availableNow``; results go to Parquet in
+the shared folder. State is per key. Rows of a key that reach the processor in one batch are
+put in order there, so batches must follow each other in time: ``ordered_stream`` sees to that
+and bounds a batch. Rows later than the watermark go to a side table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,15 +17,45 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.sources.impressions import shared_folder
 
+#: Rows of a slice of whole hours, about; an hour with more is a slice of its own.
+SLICE_ROWS = 2_000_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def event_stream(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
-    """The table ``events`` as a stream of ``files`` files a batch, with a UTC event time."""
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table ``events``, a file or a folder of files, as a stream with a UTC event time.
+
+    Files come in no order of time, so all that are there make one batch.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    # a pattern: a path without one must be a folder
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def ordered_stream(spark: SparkSession, sf_dir: str, key: str = "user_id") -> DataFrame:
+    """``event_stream`` for state per key: batches hold about ``SLICE_ROWS`` rows and a key's rows come in order.
+
+    Slices of whole hours are written one after another, so their files are read in that order,
+    and a key's rows of a slice are in one file. How files are dealt to batches does not matter.
+    """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    hour = F.floor(F.unix_timestamp("ts") / 3600)
+    number, rows, sliced = -1, SLICE_ROWS, []
+    for h, n in events.groupBy(hour.alias("h")).count().orderBy(F.asc_nulls_first("h")).collect():  # one row an hour
+        if h is None:
+            raise ValueError("events without a time have no place in the order")
+        number, rows = (number, rows + n) if rows + n <= SLICE_ROWS and number >= 0 else (number + 1, n)
+        sliced.append((h, number))
+    if number < 1:
+        return event_stream(spark, sf_dir)
+    folder, files = shared_folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = F.broadcast(spark.createDataFrame(sliced, "h long, slice int"))
+    events.join(slices, hour == F.col("h")).drop("h").write.partitionBy("slice").parquet(f"{folder}/sliced")
+    for k in range(number + 1):
+        spark.read.schema(events.schema).parquet(f"{folder}/sliced/slice={k}").repartition(files, key).write.mode("append").parquet(f"{folder}/ordered")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/ordered")
 
 
 def run(df: DataFrame, mode: str = "append") -> DataFrame:
@@ -111,10 +142,10 @@ def click_history(events: DataFrame, scoring_from: int, key: str = "user_id", bi
     return rows.groupBy(key).transformWithStateInPandas(Clicks(bits), schema, "append", "none")
 
 
-def route_late(stream: DataFrame, allowed_hours: int) -> tuple[DataFrame, DataFrame]:
+def route_late(stream: DataFrame, allowed_hours: int, arrivals: Sequence[Callable[[], None]] = ()) -> tuple[DataFrame, DataFrame]:
     """Runs the stream; rows more than ``allowed_hours`` behind what earlier batches held go aside.
 
-    Returns (on time, late). ``hour_no`` is the event time.
+    Each of ``arrivals`` adds files, however many, after those before have been processed. Returns (on time, late). ``hour_no`` is the event time.
     """
     spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
     highest: list[int] = []
@@ -128,7 +159,9 @@ def route_late(stream: DataFrame, allowed_hours: int) -> tuple[DataFrame, DataFr
         highest.extend([top] if top is not None else [])
         batch.unpersist()
 
-    stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    for arrive in arrivals or [lambda: None]:
+        arrive()
+        stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.parquet(f"{folder}/out").withColumn("late", F.col("late").cast("boolean"))
     return rows.filter("NOT late"), rows.filter("late")
 
