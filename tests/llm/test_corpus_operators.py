@@ -211,7 +211,7 @@ def brute_code_length(train, text, depth=lm_scoring.DEPTH):
 def test_scores(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 500)
     monkeypatch.setattr(lm_scoring, "SHARD_BYTES", 400)
-    monkeypatch.setattr(lm_scoring, "PER_SALT", 2)
+    monkeypatch.setattr(lm_scoring, "SALT_BYTES", 300)  # many salts for the larger shards
     g = random.Random(6)
     texts = {i: " ".join(g.choice(["the", "The", "cat", "sat", "on", "mat", "é", f"w{g.randrange(9)}"]) for _ in range(g.randint(0, 25))) for i in range(60)} | {90: None, 91: "", 92: "  \n"}
     held = {i for i in texts if zlib.crc32(str(i).encode()) % 7 == 2}
@@ -229,6 +229,7 @@ def test_scores(spark, monkeypatch):
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws))
     for i in [*list(texts)[:12], 90]:
         assert out[i]["score"] == pytest.approx(brute_code_length(train, plain[i]), rel=1e-5)
+        assert out[i]["bits_per_byte"] == pytest.approx(-out[i]["score"] / math.log10(2) / len(plain[i]))
 
 
 def test_scores_odd_rows(spark):

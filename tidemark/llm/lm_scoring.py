@@ -10,27 +10,36 @@ context never seen predicts 1/2. The score is the text's log10 probability.
 Work is cut twice. Blocks are sets of documents (about ``BLOCK_BYTES`` of text, by hash of
 doc_id); shards are sets of keys: words by hash, byte strings by their last two context
 bytes. A block sends its distinct keys with their training counts to the shards, shards add
-them up (by salted groups first), and answer each block with what its keys need: a word's
-count, a byte string's code length. Nodes above the shards are at most 255 * 257 numbers.
+them up, and answer each block with what its keys need: a word's count, a byte string's code
+length. The requests to a shard that gets more than ``SALT_BYTES`` (a frequent context) are
+salted by block, and only such a shard's model is copied to each salt. Nodes above the shards
+are at most 255 * 257 numbers. ``DEPTH`` is the model's size: contexts longer than that are
+not told apart.
 
 Null and empty texts are the end token alone. Rows without doc_id count as training rows.
-Repeated rows count and score each. An empty table gives no rows.
+Very long texts are handled in pieces of a block's work; a block has one text at least.
+Repeated rows and ties count and score each. An empty table gives no rows. Only ``doc_id`` and
+``text`` are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table, text_bytes, written
 
 DEPTH, END = 5, b"\xff"
-BLOCK_BYTES, SHARD_BYTES, MAX_SHARDS, PER_SALT = 8 << 20, 12 << 20, 2048, 256
+BLOCK_BYTES, SHARD_BYTES, SALT_BYTES = 8 << 20, 12 << 20, 64 << 20
 #: Bytes whose strings are sorted at a time.
 STEP_BYTES = 2 << 20
 WORDS, STRINGS = 0, 1
@@ -40,7 +49,7 @@ WORDS, STRINGS = 0, 1
 
 
 def add_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the sums of their counts."""
+    """Sorted distinct keys and the sums of their counts; lists that are sorted merge fast."""
     k, c = np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *counts])
     if not len(k):
         return k, c
@@ -75,10 +84,6 @@ def expand(blob: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
 
 
-def text_words(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
-
-
 def byte_strings(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """For each byte of the texts its key (last context byte first, the byte itself last); keys of each text."""
     pad = bytes(depth)
@@ -108,56 +113,78 @@ def steps(texts: list[bytes]):
         yield first, len(texts)
 
 
-def word_shard(words: list[bytes], shards: int) -> np.ndarray:
-    import zlib
-
-    return np.array([zlib.crc32(w) % shards for w in words], np.int64)
+def word_shard(words: pa.LargeBinaryArray, shards: int) -> np.ndarray:
+    """Shard of each word, by a hash of its bytes and their places."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
+    size = np.diff(offsets)
+    place = np.arange(len(data), dtype=np.uint64) - np.repeat((offsets[:-1] - offsets[0]).astype(np.uint64), size)
+    h = (data + np.uint64(1) + (place << np.uint64(8))) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    out, some = np.zeros(len(words), np.uint64), size > 0
+    if len(data):
+        out[some] = np.add.reduceat(h, (offsets[:-1] - offsets[0])[some])
+    return ((out >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
 
 
 def string_shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> 8 * (DEPTH - 1)) * 40503 >> 4) % shards
 
 
+def by_shard(shard: np.ndarray) -> list[np.ndarray]:
+    """Index arrays of each shard, in order."""
+    # 16-bit numbers are sorted by radix
+    order = np.argsort(shard.astype(np.uint16) if len(shard) and shard.max() < 1 << 16 else shard, kind="stable")
+    return [x for x in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(x)]
+
+
 class Block:
-    """Distinct keys of a block's texts, the same whenever they are computed."""
+    """A block's distinct words and byte strings, the same whenever they are computed.
 
-    def __init__(self, texts: list[str | None], shards: int):
-        self.words = [text_words(t) for t in texts]
-        self.plain = [b" ".join(w) + END for w in self.words]
-        self.shards = shards
+    ``words`` are sorted, the end token b"" among them at ``end``; ``place`` has the index of
+    each word of the texts, ``size`` the words of each text.
+    """
 
-    def word_keys(self) -> tuple[list[bytes], np.ndarray]:
-        keys = sorted(set().union(*self.words, [b""])) if self.words else []
-        return keys, word_shard(keys, self.shards)
+    def __init__(self, texts: list[str | None]):
+        split = [(t or "").encode().lower().split() for t in texts]
+        self.plain = [b" ".join(w) + END for w in split]
+        self.size = np.array([len(w) for w in split], np.int64)
+        coded = pa.array([*itertools.chain.from_iterable(split), b""], pa.large_binary()).dictionary_encode()
+        order = pc.sort_indices(coded.dictionary)
+        self.sorted = coded.dictionary.take(order)
+        self.words = self.sorted.to_pylist()
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        place = rank[coded.indices.to_numpy()]
+        self.place, self.end = place[:-1], int(place[-1])
+
+    def strings(self):
+        """For some texts at a time: their range, the distinct keys, each byte's place among them, bytes of each."""
+        for a, z in steps(self.plain):
+            k, size = byte_strings(self.plain[a:z])
+            place, keys = pd.factorize(k)
+            yield (a, z), keys, place, size
 
 
 def block_requests(block: int, texts: list, train: np.ndarray, shards: int) -> list[tuple]:
     """(block, shard, kind, keys, counts) rows of one block."""
-    b, rows = Block(texts, shards), []
-    keys, shard = b.word_keys()
-    counts: Counter = Counter()
-    for w, t in zip(b.words, train, strict=True):
-        if t:
-            counts.update(w)
-    counts[b""] = int(train.sum())  # the end token
-    for s in np.unique(shard):
-        own = [keys[i] for i in np.flatnonzero(shard == s)]
-        rows.append((block, int(s), WORDS, squeeze(np.frombuffer(b" ".join(own), np.uint8)), squeeze(np.array([counts[k] for k in own], "<i8"))))
+    b, rows = Block(texts), []
+    counts = np.bincount(b.place[np.repeat(train, b.size)], minlength=len(b.words)).astype(np.int64)
+    counts[b.end] = int(train.sum())
+    shard = word_shard(b.sorted, shards)
+    for p in by_shard(shard):
+        own = b" ".join([b.words[i] for i in p.tolist()])
+        rows.append((block, int(shard[p[0]]), WORDS, squeeze(np.frombuffer(own, np.uint8)), squeeze(counts[p].astype("<i8"))))
     found_keys, found_counts = [], []
-    for a, z in steps(b.plain):
-        for flag in (True, False):
-            some = [b.plain[i] for i in range(a, z) if bool(train[i]) == flag]
-            if some:
-                k, c = np.unique(byte_strings(some)[0], return_counts=True)
-                found_keys.append(k)
-                found_counts.append(c if flag else np.zeros(len(k), np.int64))
+    for (a, z), keys, place, size in b.strings():
+        learnt = np.bincount(place[np.repeat(train[a:z], size)], minlength=len(keys)).astype(np.int64)
+        order = np.argsort(keys)
+        found_keys.append(keys[order])
+        found_counts.append(learnt[order])
     k, c = add_up(found_keys, found_counts)
     shard = string_shard(k, shards)
-    order = np.argsort(shard, kind="stable")
-    k, c, shard = k[order], c[order], shard[order]
-    for part in np.split(np.arange(len(k)), np.flatnonzero(np.diff(shard)) + 1):
-        if len(part):
-            rows.append((block, int(shard[part[0]]), STRINGS, deflate(k[part]), squeeze(c[part].astype("<i8"))))
+    for p in by_shard(shard):
+        rows.append((block, int(shard[p[0]]), STRINGS, deflate(k[p]), squeeze(c[p].astype("<i8"))))
     return rows
 
 
@@ -168,18 +195,27 @@ def split_words(blob: bytes) -> list[bytes]:
 # ---- the trees -------------------------------------------------------------------------
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    shift, y = np.zeros_like(x), x.copy()
-    for _ in range(8):
-        low = y < 8
-        shift[low] -= np.log(y[low])
-        y[low] += 1
-    return shift + (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+@functools.lru_cache(maxsize=1)
+def gamma_tables(size: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """Logs of gamma(n + 1/2) and gamma(n + 1) for n below ``size``."""
+    n = np.arange(1, size)
+    return 0.5 * math.log(math.pi) + np.append(0, np.cumsum(np.log(n - 0.5))), np.append(0, np.cumsum(np.log(n)))
+
+
+def log_gamma(n: np.ndarray, half: bool) -> np.ndarray:
+    """Log of gamma(n + 1/2) or gamma(n + 1): small whole numbers by table, others by Stirling's series."""
+    table = gamma_tables()[0 if half else 1]
+    out = table[np.minimum(n, len(table) - 1).astype(np.int64)]
+    large = np.flatnonzero(n >= len(table))
+    if len(large):
+        y = n[large] + (0.5 if half else 1)
+        out[large] = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y)
+    return out
 
 
 def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov block probability."""
-    return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - math.log(math.pi) - log_gamma(n0 + n1 + 1)
+    return log_gamma(n0, True) + log_gamma(n1, True) - math.log(math.pi) - log_gamma(n0 + n1, False)
 
 
 def weigh(kt: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -270,22 +306,31 @@ def code_lengths(wanted: np.ndarray, keys: np.ndarray, counts: np.ndarray, top:
 # ---- jobs ------------------------------------------------------------------------------
 
 
+def salted(requests: DataFrame) -> DataFrame:
+    """Adds ``salt``: the requests to one shard, where they are many, in groups of about ``SALT_BYTES``."""
+    sizes = requests.groupBy("kind", "shard").agg(F.ceil(F.sum(F.length("keys") + F.length("counts")) / SALT_BYTES).cast("int").alias("salts"))
+    several = sizes.filter("salts > 1")
+    rows = requests.join(several, ["kind", "shard"], "left")
+    return rows.withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("block"), "salts").cast("int"))
+
+
 def score(docs: DataFrame, held_out) -> DataFrame:
-    """Scores of every document of ``doc_id, text``; ``held_out`` (a column) marks what is not learnt from."""
+    """Scores of every document of ``doc_id, text``; ``held_out`` (a column) marks what is not learnt from.
+
+    ``score`` is the log10 probability, ``bits_per_byte`` the code length for each byte.
+    """
     spark = docs.sparkSession
     total = text_bytes(docs)
-    blocks, shards = max(1, math.ceil(total / BLOCK_BYTES)), min(MAX_SHARDS, max(1, math.ceil(total / SHARD_BYTES)))
-    salts = max(1, math.ceil(blocks / PER_SALT))
+    blocks, shards = max(1, math.ceil(total / BLOCK_BYTES)), max(1, math.ceil(total / SHARD_BYTES))
     kind = docs.schema["doc_id"].dataType.simpleString()
     place = F.pmod(F.coalesce(F.xxhash64(F.col("doc_id")), F.xxhash64("text")), F.lit(blocks)).cast("int")
     rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held"), place.alias("block"))
 
     def ask(key, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["doc_id"], kind="stable")
         return pd.DataFrame(block_requests(int(key[0]), f["text"].tolist(), ~f["held"].to_numpy(bool), shards), columns=["block", "shard", "kind", "keys", "counts"])
 
-    requests = rows.groupBy("block").applyInPandas(ask, "block int, shard int, kind int, keys binary, counts binary")
-    requests = written(requests).withColumn("salt", F.pmod("block", F.lit(salts)))
+    requests = written(rows.groupBy("block").applyInPandas(ask, "block int, shard int, kind int, keys binary, counts binary"))
+    requests = salted(requests)
 
     def merge(key, f: pd.DataFrame) -> pd.DataFrame:
         if key[0] == WORDS:
@@ -299,13 +344,12 @@ def score(docs: DataFrame, held_out) -> DataFrame:
         else:
             k, c = add_up([inflate(x) for x in f["keys"]], [expand(x, "<i8") for x in f["counts"]])
             keys, counts = deflate(k[c > 0]), c[c > 0].astype("<i8")
-        return pd.DataFrame([(key[0], key[1], keys, squeeze(counts), len(counts), int(counts.sum()))], columns=["kind", "shard", "keys", "counts", "types", "tokens"])
+        return pd.DataFrame([(key[0], key[1], int(f["salts"].iloc[0]), keys, squeeze(counts), len(counts), int(counts.sum()))], columns=["kind", "shard", "salts", "keys", "counts", "types", "tokens"])
 
-    model = requests
-    for by in (["kind", "shard", "salt"], ["kind", "shard"])[0 if salts > 1 else 1 :]:
-        extra = [F.lit(0).alias("salt")] if "salt" in by and "salt" not in model.columns else []
-        model = model.select("*", *extra).groupBy(*by).applyInPandas(merge, "kind int, shard int, keys binary, counts binary, types long, tokens long")
-    model = written(model)
+    merged = "kind int, shard int, salts int, keys binary, counts binary, types long, tokens long"
+    # requests to a large shard are added up salt by salt first
+    part = requests.groupBy("kind", "shard", "salt").applyInPandas(merge, merged)
+    model = written(part.filter("salts = 1").unionByName(part.filter("salts > 1").groupBy("kind", "shard").applyInPandas(merge, merged)) if not requests.filter("salts > 1").isEmpty() else part)
     sizes = model.filter(F.col("kind") == WORDS).agg(F.coalesce(F.sum("types"), F.lit(0)).alias("v"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()
 
     def tops(frames):
@@ -333,54 +377,45 @@ def score(docs: DataFrame, held_out) -> DataFrame:
                 out.append((block, key[1], STRINGS, squeeze(bits[np.searchsorted(all_wanted, k)].astype("<f4"))))
         return pd.DataFrame(out, columns=["block", "shard", "kind", "answers"])
 
-    models = model.select("kind", "shard", "keys", "counts", "types", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    models = model.select("kind", "shard", "keys", "counts", "types", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     asked = requests.select("kind", "shard", "salt", "block", "keys")
     answers = asked.groupBy("kind", "shard", "salt").cogroup(models.groupBy("kind", "shard", "salt")).applyInPandas(answer, "block int, shard int, kind int, answers binary")
     n, v = sizes["n"], sizes["v"]
 
     def scored(f: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["doc_id"], kind="stable")
-        b = Block(f["text"].tolist(), shards)
+        b = Block(f["text"].tolist())
         by = {(int(s), int(k)): a for s, k, a in zip(got["shard"], got["kind"], got["answers"], strict=True)}
-        keys, shard = b.word_keys()
-        count = np.zeros(len(keys))
-        for s in np.unique(shard):
-            count[shard == s] = expand(by[int(s), WORDS], "<f8")
-        number = {w: i for i, w in enumerate(keys)}
+        count, shard = np.zeros(len(b.words)), word_shard(b.sorted, shards)
+        for p in by_shard(shard):
+            count[p] = expand(by[int(shard[p[0]]), WORDS], "<f8")
         logs = np.log10((count + 1) / (n + v + 1))
-        tokens, known, base = [], [], []
-        for w in b.words:
-            at = np.array([*map(number.__getitem__, w), number[b""]], np.int64)
-            tokens.append(len(at))
-            known.append(int((count[at] > 0).sum()))
-            base.append(float(logs[at].sum()))
-        total_bits = np.zeros(len(b.plain))
-        tables = {s: expand(a, "<f4") for (s, k), a in by.items() if k == STRINGS}
-        found = [np.unique(byte_strings(b.plain[a:z])[0]) for a, z in steps(b.plain)]
-        strings = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        shard = string_shard(strings, shards)
-        bits = np.zeros(len(strings))
-        for s in np.unique(shard):
-            bits[shard == s] = tables[int(s)]
-        for a, z in steps(b.plain):
-            k, size = byte_strings(b.plain[a:z])
-            u, back = np.unique(k, return_inverse=True)
-            each = bits[np.searchsorted(strings, u)][back]
-            total_bits[a:z] = np.add.reduceat(each, np.cumsum(size) - size)
+        per = np.repeat(np.arange(len(f)), b.size)
+        known = np.bincount(per, count[b.place] > 0, len(f)).astype(np.int64) + int(count[b.end] > 0)
+        base = np.bincount(per, logs[b.place], len(f)) + logs[b.end]
+        found = list(b.strings())
+        strings = np.unique(np.concatenate([np.zeros(0, np.int64), *(k for _, k, _, _ in found)]))
+        bits, shard = np.zeros(len(strings)), string_shard(strings, shards)
+        for p in by_shard(shard):
+            bits[p] = expand(by[int(shard[p[0]]), STRINGS], "<f4")
+        total_bits = np.zeros(len(f))
+        for (a, z), keys, at, size in found:
+            total_bits[a:z] = np.add.reduceat(bits[np.searchsorted(strings, keys)][at], np.cumsum(size) - size)
+        n_bytes = np.array([len(p) for p in b.plain], np.int64)
         return pd.DataFrame(
             {
                 "doc_id": f["doc_id"].to_numpy(),
                 "held_out": f["held"].to_numpy(bool),
-                "n_tokens": tokens,
+                "n_tokens": b.size + 1,
                 "n_known": known,
                 "train_tokens": n,
                 "base_score": base,
                 "score": -total_bits * math.log10(2),
-                "n_bytes": [len(p) for p in b.plain],
+                "n_bytes": n_bytes,
+                "bits_per_byte": total_bits / n_bytes,
             }
         )
 
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(scored, schema)
 
 
