@@ -103,7 +103,7 @@ def test_quality_counts(spark, docs):
     texts = [x for _, x in ODD] + [" ".join(g.choice("abc") for _ in range(g.randint(0, 60))) for _ in range(200)] + ["l\nl\n \n \nm\r\nm\r\n#$ <|"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in quality.measured(df).collect():
-        text, m = texts[r["doc_id"]] or "", r["__m"]
+        text, m = texts[r["row"]["doc_id"]] or "", r["m"]
         words = text.encode().split()
         lines = [x for x in text.split("\n") if x.encode().split()]
         assert m["n_words"] == len(words)

@@ -11,6 +11,8 @@ Repeated rows are judged one by one; other columns pass through ``clean`` untouc
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,10 +82,7 @@ def line_fails(line: Column) -> Column:
         symbols = _count(line, r"[#*$%&<>~^_=\\{}]+") > n * MAX_SYMBOLS
         shouts = _count(line, r"!+") > n * MAX_SHOUTS
         bars = _count(line, r"[|•»]+") > n * MAX_BARS
-        low = F.lower(line)
-        notice = F.lit(False)
-        for phrase in BOILERPLATE:
-            notice = notice | low.contains(phrase)
+        notice = let(F.lower(line), lambda low: functools.reduce(Column.__or__, [low.contains(p) for p in BOILERPLATE]))
         # a mark or two is no pattern: short lines may end in one
         many = F.length(line) >= 4
         return (many & (symbols | shouts | bars | stutter)) | notice
@@ -96,40 +95,40 @@ def _inside(text: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """Adds ``m``: a struct of the counts, the lines that stay and both verdicts."""
+    """``row``, a struct of the columns of ``docs``, and ``m``, a struct of the counts, the
+    lines that stay and both verdicts; in structs, so that no column of ``docs`` can clash."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    word_list = words(F.col("text"))
-    lines = F.split(text, "\n")
-    base = docs.select("*", word_list.alias("__words"), lines.alias("__lines"))
-    filled = F.filter("__lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    kept = F.filter("__lines", lambda x: ~line_fails(x))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    base = docs.select(row.alias("row"), text.alias("text"), words(F.col("text")).alias("words"), F.split(text, "\n").alias("lines"))
+    filled = F.filter("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    kept = F.filter("lines", lambda x: ~line_fails(x))
     counts = base.select(
-        *docs.columns,
-        F.size("__words").cast("long").alias("__n_words"),
-        F.length(F.array_join("__words", "")).cast("long").alias("__word_chars"),
-        _count(text, SYMBOLS).cast("long").alias("__n_symbols"),
-        let(filled, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("__n_dup_lines"),
-        n_repeat_words(F.col("__words")).alias("__n_repeat_words"),
-        F.array_join(kept, "\n").alias("__clean"),
+        "row",
+        F.size("words").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        _count(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
+        let(filled, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        n_repeat_words(F.col("words")).alias("n_repeat_words"),
+        F.array_join(kept, "\n").alias("clean"),
     )
-    failed = (F.col("__n_words") < MIN_WORDS) | (100 * F.col("__n_repeat_words") > MAX_REPEAT_PERCENT * F.col("__n_words"))
-    lost = F.col("__word_chars") - _inside(F.col("__clean"))
-    verdict = ~failed & (lost <= MAX_LOST * F.col("__word_chars"))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean")
-    m = F.struct(*[F.col(f"__{x}").alias(x) for x in names], failed.alias("base_failed"), verdict.alias("kept"))
-    return counts.select(*docs.columns, m.alias("__m"))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    lost = F.col("word_chars") - _inside(F.col("clean"))
+    verdict = ~failed & (lost <= MAX_LOST * F.col("word_chars"))
+    m = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean", failed.alias("base_failed"), verdict.alias("kept"))
+    return counts.select("row", m.alias("m"))
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with ``text`` cleaned line by line (and ``n_chars`` recounted)."""
-    rows = measured(docs).filter("__m.kept")
-    new = {"text": F.col("__m.clean")} | ({"n_chars": F.length("__m.clean").cast("long")} if "n_chars" in docs.columns else {})
-    return rows.withColumns(new).select(*docs.columns)
+    # a filter does not pass a generator: lines are judged once, not in the filter and again in the result
+    rows = measured(docs).select("row", F.explode(F.array("m")).alias("m")).filter("m.kept")
+    new = {"text": F.col("m.clean"), "n_chars": F.length("m.clean").cast("long")}
+    return rows.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = measured(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return m.select("doc_id", *[f"__m.{x}" for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+    rows = measured(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("row.doc_id", *[f"m.{x}" for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
 _W = r"[^\x20\x09-\x0D]+"
