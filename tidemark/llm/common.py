@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,12 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors share.
 
-    Only where that setting is absent (local tests) a temporary folder takes its place.
+    Without that setting there is no such place, and a folder of the driver's own would lose
+    rows on a cluster: that is an error.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", top)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -48,7 +48,22 @@ def written(df: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
     path = shared_folder(spark)
     with batches_of(spark, batch_rows):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the folders of frames that ``written`` returned, once what was made from them is written.
+
+    The driver's garbage goes too: with it, Spark drops the shuffle files of finished jobs.
+    """
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def words(text: Column) -> Column:

@@ -22,10 +22,10 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, written
+from tidemark.llm.common import discard, table, written
 
 SHINGLE, PERCENT = 3, 90
 #: Sizes of a band differ by this factor; spare buckets let a few be empty; bits of the long sketch for each token.
@@ -105,18 +105,30 @@ def band_buckets(band: int, percent: int) -> tuple[int, int]:
     return d + 1 + spare, spare
 
 
+def most_different(n: int, band: int, percent: int) -> int:
+    """Tokens that a set of ``n`` and a linked one of the band, or of its own and not smaller, may differ in."""
+    most = min(int(band_edges()[band + 1]) - 1, 100 * n // percent)
+    return (100 - percent) * (n + max(n, most)) // (100 + percent)
+
+
 def join_keys(h: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of a set of token hashes, at least one of them shared with any set that links."""
+    """Keys of a set of token hashes, at least one of them shared with any set that links.
+
+    Of a band's buckets the first ones do: as many as the set may differ in from its largest
+    partner there, and one more, and the spare ones.
+    """
     out = []
     for band in bands_of(len(h), percent):
         k, spare = band_buckets(band, percent)
+        used = min(k, most_different(len(h), band, percent) + 1 + spare)
         bucket = ((h >> np.uint64(32)) % np.uint64(k)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        inside = np.flatnonzero(bucket < used)
+        order = inside[np.argsort(bucket[inside], kind="stable")]
         b = bucket[order]
-        first = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-        full, sketch = b[first], np.bitwise_xor.reduceat(mix(h[order]), first)
-        if k - len(full) > spare:
-            none = np.setdiff1d(np.arange(k), full)
+        first = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else b
+        full, sketch = b[first], np.bitwise_xor.reduceat(mix(h[order]), first) if len(b) else h[:0]
+        if used - len(full) > spare:
+            none = np.setdiff1d(np.arange(used), full)
             full, sketch = np.append(full, none), np.append(sketch, np.zeros(len(none), np.uint64))
         out.append(mix(sketch ^ mix(np.array([band], np.uint64) * _K[0] + full.astype(np.uint64))))
     return np.concatenate(out).view(np.int64)
@@ -147,7 +159,7 @@ def difference(a: bytes, b: bytes) -> int:
 
 
 def sketched(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """``doc_id, n, sig, sketch, keys`` of every document."""
+    """``doc_id, n, sig, most, sketch, keys`` of every document; most: the largest size of its band."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(frames):
@@ -157,26 +169,28 @@ def sketched(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
             for key, text in zip(f["doc_id"], f["text"], strict=True):
                 h = hasher(words_of(text))
                 if len(h):
-                    rows.append((key, len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), parity_sketch(h), join_keys(h, percent)))
+                    most = int(band_edges()[bands_of(len(h), percent)[0] + 1]) - 1
+                    rows.append((key, len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), most, parity_sketch(h), join_keys(h, percent)))
                 else:
-                    rows.append((key, 0, None, None, None))
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "sig", "sketch", "keys"])
+                    rows.append((key, 0, None, None, None, None))
+            out = pd.DataFrame(rows, columns=["doc_id", "n", "sig", "most", "sketch", "keys"]).astype({"most": "Int64"})
             yield out.assign(doc_id=f["doc_id"].to_numpy() if not f["doc_id"].hasnans else out["doc_id"].astype("Int64"))
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n long, sig binary, sketch binary, keys array<long>")
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n long, sig binary, most long, sketch binary, keys array<long>")
 
 
-def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``id, text`` of the documents that the pairs ``a, b`` name."""
+def texts_of(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``id, text`` of the documents that the pairs ``a, b`` name; the table of their ids."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     side = F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
-    return written(docs.select(F.col("doc_id").alias("id"), "text").join(side, "id").dropDuplicates(["id"]))
+    # dealt by id once: both joins with the pairs use that exchange
+    return docs.select(F.col("doc_id").alias("id"), "text").join(side, "id").dropDuplicates(["id"]), ids
 
 
 def linked(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose texts link, written out."""
     pairs = written(pairs)
-    texts = texts_of(docs, pairs)
+    texts, ids = texts_of(docs, pairs)
 
     def run(frames):
         sets: dict = {}
@@ -198,7 +212,9 @@ def linked(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Dat
 
     full = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     # rows hold two whole texts: few of them at a time, whatever their length
-    return written(full.mapInPandas(run, "a long, b long"), PAIRS_AT_A_TIME)
+    found = written(full.mapInPandas(run, "a long, b long"), PAIRS_AT_A_TIME)
+    discard(pairs, ids)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -217,7 +233,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         tied = large.join(least, "a")
         small = tied.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = written(small.filter("a <> b").distinct())
+        last, now = now, written(small.filter("a <> b").distinct())
+        discard(last)
         state = now.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if state == before:
             break
@@ -226,17 +243,39 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("a").alias("id"), "component").unionByName(stars.select(F.col("component").alias("id"), "component").distinct())
 
 
-def across(groups: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components inside the groups (``key, id, component``) that the sketches allow.
+def differ_at_most(a: str, b: str, percent: int) -> Column:
+    """Tokens that two linked sets of so many may differ in."""
+    return F.floor((100 - percent) * (F.col(a) + F.col(b)) / (100 + percent))
+
+
+def sizes_allow(percent: int) -> Column:
+    """A link's sizes ``n_a, n_b`` are no further apart than this."""
+    return percent * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")
+
+
+def across(groups: DataFrame, sketches: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of different components inside the groups (``key, id, component, n, most``) that the sketches allow.
 
     Small groups are joined with themselves; larger ones are compared in numpy, chunk by chunk.
+    A pair that has no larger group in common must share as many keys as the smaller set has
+    buckets in the larger one's band, without those that the two may differ in. Also the
+    table that the pairs are read from.
     """
     apart = groups.groupBy("key").agg(F.count("*").alias("g"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     rows = written(groups.join(apart.select("key", "g"), "key"))
     few, many = rows.filter(F.col("g") <= FEW), rows.filter(F.col("g") > FEW)
-    other = few.select("key", F.col("id").alias("b"), F.col("component").alias("of_b"))
-    small = few.join(other, "key").filter("id > b AND component <> of_b").select(F.col("id").alias("a"), "b").distinct()
-    return allowed(small, sketches, percent).unionByName(_between_chunks(many, sketches, percent)).distinct()
+    names = ("id", "component", "n", "most")
+    one, other = (few.select("key", *[F.col(x).alias(f"{x}_{c}") for x in names]) for c in ("a", "b"))
+    met = one.join(other, "key").filter("id_a > id_b AND component_a <> component_b").filter(sizes_allow(percent))
+    met = met.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("n_a", "n_b", "most_a", "most_b")])
+    # the smaller set's largest partner in the band of the larger one
+    met = met.withColumns({"low": F.least("n_a", "n_b"), "top": F.when(F.col("n_a") > F.col("n_b"), F.col("most_a")).otherwise(F.col("most_b"))})
+    met = met.withColumn("top", F.greatest("low", F.least("top", F.floor(100 * F.col("low") / percent))))
+    enough = F.col("c") > differ_at_most("low", "top", percent) - differ_at_most("n_a", "n_b", percent)
+    # a pair that also meets in a larger group may show fewer keys here, and is compared there
+    small = met.filter(enough).select("a", "b")
+    found = allowed(small, sketches, percent).unionByName(_between_chunks(many, sketches, percent)).distinct()
+    return found, rows
 
 
 def allowed(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -250,11 +289,11 @@ def allowed(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
     for c in ("a", "b"):
         pairs = pairs.join(sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")), c)
-    return pairs.mapInPandas(run, "a long, b long")
+    return pairs.filter(sizes_allow(percent)).mapInPandas(run, "a long, b long")
 
 
 def _between_chunks(groups: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    rows = groups.join(sketches, "id")
+    rows = groups.select("key", "id", "component", "g").join(sketches.select("id", "n", "sketch"), "id")
     chunks = F.ceil(F.col("g") / CHUNK).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
@@ -282,24 +321,30 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
     some = rows.filter("n > 0 AND doc_id IS NOT NULL")
     classes = written(some.groupBy("sig").agg(F.min("doc_id").alias("id")))
     # one document stands for each class: the smallest, or any equal row of it
-    first = some.join(classes, "sig").filter("doc_id = id").select("id", "n", "sketch", "keys")  # rows may repeat
+    first = some.join(classes, "sig").filter("doc_id = id")  # rows may repeat
+    sketches = written(first.select("id", "n", "most", "sketch").dropDuplicates(["id"]))
     # one exchange by key serves both the smallest ids and the join with them
     keys = first.select("id", F.explode("keys").alias("key")).repartition("key")
     shared = keys.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep < last").select("key", "rep")
     groups = written(keys.join(shared.hint("shuffle_hash"), "key"))
+    sizes = written(rows.select("doc_id", "n", "sig"))
+    discard(rows)
     # at first each class meets the one it shares most keys with; what that leaves apart meets all
     common = groups.filter("id <> rep").groupBy("id", "rep").agg(F.count("*").alias("c"))
     best = common.groupBy("id").agg(F.max(F.struct("c", (-F.col("rep")).alias("b"))).alias("m"))
     pairs = best.select(F.col("id").alias("a"), (-F.col("m.b")).alias("b"))
-    sketches = first.select("id", "n", "sketch").dropDuplicates(["id"])
     links = linked(allowed(pairs, sketches, percent), docs, shingle, percent)
-    labels = components(links)
-    labelled = groups.select("key", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    more = linked(across(written(labelled), sketches, percent), docs, shingle, percent)
+    labels = written(components(links))
+    nodes = sketches.select("id", "n", "most").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = written(groups.select("key", "id").join(nodes, "id"))
+    discard(groups)
+    rest, grouped = across(labelled, sketches, percent)
+    more = linked(rest, docs, shingle, percent)
+    discard(labelled, grouped, sketches)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     of_class = classes.join(labels, "id", "left").select("sig", F.coalesce("component", "id").alias("component"))
-    full = rows.select("doc_id", "n", "sig").join(of_class, "sig", "left")
+    full = sizes.join(of_class, "sig", "left")
     return full.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
