@@ -91,6 +91,21 @@ def test_bpe_merges_at_random():
         assert ids[ends[i] - n[i] : ends[i]].tolist() == e.ids
 
 
+def test_bpe_agrees_on_every_code_point():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, words = Tokenizer.from_file(path), bpe.Words(path)
+    points = [*bpe.ASSIGNED, 0xF0000, 0x10FFFF]
+    texts = ["".join(f"a{chr(c)}b {chr(c)}\u0301{chr(c)}1 " for c in points[i : i + 16]) for i in range(0, len(points), 16)]
+    for at in range(0, len(texts), 1000):
+        some = texts[at : at + 1000]
+        ids, n = words.encode(some)
+        ends = np.cumsum(n)
+        for i, e in enumerate(t.encode_batch(some, add_special_tokens=False)):
+            assert ids[ends[i] - n[i] : ends[i]].tolist() == e.ids, some[i]
+
+
 def brute_repeats(words, w=8):
     seen = {}
     for i in range(len(words) - w + 1):

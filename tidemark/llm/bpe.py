@@ -5,8 +5,11 @@ new words of a batch lie in one flat array; each round looks up every neighbouri
 by binary search over the sorted pair keys, takes the lowest rank of each word, and merges
 that pair wherever the word has it. Words that have no pair left leave the array.
 
-Null and empty texts have no ids. Very long words only take more rounds. Repeated rows
-are encoded alike. The tokenizer file's path is a parameter.
+Null and empty texts have no ids. Very long words only take more rounds, and long texts more
+batches. Repeated rows are encoded alike; of merges with equal rank the left one comes first.
+An empty table gives no rows. Only the key and text columns are read, so others cannot clash.
+The tokenizer file's path is a parameter; its normaliser must be NFC, white space to one space
+and lower case, which is what the fast path does.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from tidemark.llm.common import table
 MAX_KNOWN = 400_000
 #: Texts of one flat array: rows are cut into runs of about so many bytes.
 RUN_BYTES = 8 << 20
+#: Code points that any Unicode version has assigned (planes 0 to 3 and the tags), without surrogates.
+ASSIGNED = [*range(0xD800), *range(0xE000, 0x34000), *range(0xE0000, 0xE0200)]
 # Unicode white space.
 WHITE = "\t-\r \x85\xa0  -     　"
 
@@ -38,6 +43,12 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+def _library_regex(pattern: str):
+    from tokenizers import Regex
+
+    return Regex(pattern)
+
+
 class Words:
     """Encodings of known chunks (runs without white space) in one flat array, with starts and lengths."""
 
@@ -51,6 +62,7 @@ class Words:
         split = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.split = regex.compile(split.replace(r"\s", WHITE).replace(f"[^{WHITE}", f"[^{WHITE}"))
         self.white = regex.compile(f"[{WHITE}]+")
+        self.by_library(path)
         letters = byte_letters()
         self.inner = np.array([vocab[x] for x in letters], np.int64)
         self.last = np.array([vocab[x + suffix] for x in letters], np.int64)
@@ -69,6 +81,30 @@ class Words:
         self.n, self.keys, self.ranks, self.made = n, keys[order], order, made  # made: by rank
         self.forget()
 
+    def by_library(self, path: str) -> None:
+        """Finds the characters that this Python's Unicode tables treat unlike the library's; texts
+        with one of them are normalised and split by the library's own steps."""
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.normal = Tokenizer.from_file(path).normalizer.normalize_str
+        split = next(x for x in json.load(open(path, encoding="utf-8"))["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
+        step = pre_tokenizers.Split(_library_regex(split["pattern"]["Regex"]), split["behavior"].lower(), invert=split["invert"])
+        self.cut_by_library = lambda w: [piece for piece, _ in step.pre_tokenize_str(w)]
+        every = "".join(map(chr, ASSIGNED))
+        odd = {c for c in every if self.normal(c) != self.white.sub(" ", unicodedata.normalize("NFC", c).lower()) or unicodedata.category(c) == "Cn"}
+        # marks: their order among marks of other classes too
+        marks = [c for c in every if unicodedata.combining(c)]
+        around = [f"a{x}%s{y}" for x in "\u0334\u0323\u0301" for y in "\u0334\u0323\u0301"]
+        odd |= {c for c in marks if any(self.normal(t % c) != unicodedata.normalize("NFC", t % c) for t in around)}
+        for library, own in ((r"\p{L}", r"\p{L}"), (r"\p{N}", r"\p{N}"), (r"\s", f"[{WHITE}]")):
+            kept = pre_tokenizers.Split(_library_regex(library), "removed").pre_tokenize_str(every)
+            odd |= set(every).difference(*(piece for piece, _ in kept)) ^ set(regex.findall(own, every))
+        self.odd = regex.compile(f"[{''.join(map(regex.escape, sorted(odd)))}]") if odd else None
+
+    def is_odd(self, text: str) -> bool:
+        return self.odd is not None and self.odd.search(text) is not None
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.at, self.len = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -88,6 +124,9 @@ class Words:
             if part in self.special:
                 out.append(part)
                 continue
+            if not part.isascii() and self.is_odd(part):
+                out += self.normal(part).strip(" ").split(" ")
+                continue
             part = part if part.isascii() else unicodedata.normalize("NFC", part)
             low = part.lower() if "Σ" not in part else "".join(c.lower() for c in part)
             # str.split() also cuts at these four, which are no white space in Unicode
@@ -137,7 +176,7 @@ class Words:
         cut = [self.chunks(t) for t in texts]
         new = list({w for c in cut for w in c}.difference(self.known))
         if new:
-            pieces = [self.split.findall(w) for w in new]
+            pieces = [self.split.findall(w) if w.isascii() or not self.is_odd(w) else self.cut_by_library(w) for w in new]
             ids, lens = self.merged([p for w in pieces for p in w])
             of = np.repeat(np.arange(len(new)), [len(w) for w in pieces])
             self._append(new, ids, np.bincount(of, lens, len(new)).astype(np.int64))
