@@ -1,15 +1,18 @@
 """Media columns: a Spark data source over folders of zip archives.
 
-Writing: each task writes one archive of deflated members and reports its name; the commit
-lists the archives of successful tasks, so files of lost attempts are never read. Reading:
+Writing: each task writes archives of deflated members, of ``archiveBytes`` each, and reports
+their names; the commit lists the archives of successful tasks, so files of lost attempts are
+never read. Folders are those that pyarrow opens: local ones, ``hdfs://``, ``s3://`` and others. Reading:
 the driver plans byte ranges from the archives' sizes alone. A task reads the archive's own
 directory, takes the members whose header lies in its range, and streams them in Arrow
 batches of bounded size. A member that fails its checksum is read again by its offset, from
 a newly opened file; if it still fails, its row carries the error and the others go on.
 
 Texts are stored as 8-bit mono WAV: bytes padded with 0 to a positive multiple of 64, the
-unpadded count in the ``fact`` chunk. Null and empty texts give 64 samples of 0. Repeated
-rows give repeated members; null keys come back as null.
+unpadded count in the ``fact`` chunk. Null and empty texts give 64 samples of 0. A text is one
+member, however long. Repeated rows give repeated members; null keys come back as null. An
+empty table gives an empty list of archives and no rows. Only ``doc_id`` and ``text`` are
+read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from tidemark.llm.common import shared_folder, table
 
 UNIT, RATE = 64, 8000
 RANGE_BYTES, BATCH_BYTES, ATTEMPTS = 16 << 20, 4 << 20, 3
+#: An archive ends with the member that brings it to so many bytes.
+ARCHIVE_BYTES = 128 << 20
 INDEX = "_archives.json"
 
 
@@ -50,9 +55,7 @@ class Range(InputPartition):
 
 @dataclass
 class Wrote(WriterCommitMessage):
-    archive: str | None
-    members: int
-    size: int
+    archives: tuple[tuple[str, int, int], ...]  # name, members and size of each
 
 
 class MediaArchives(DataSource):
@@ -69,39 +72,58 @@ class MediaArchives(DataSource):
         return ArchiveReader(self.options)
 
     def writer(self, schema, overwrite) -> DataSourceArrowWriter:
-        return ArchiveWriter(self.options["path"])
+        return ArchiveWriter(self.options["path"], int(self.options.get("archiveBytes", ARCHIVE_BYTES)))
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    def __init__(self, folder: str):
-        self.folder = folder
+    """A task writes archives of about ``limit`` bytes each, so that a directory has bounded size."""
+
+    def __init__(self, folder: str, limit: int = ARCHIVE_BYTES):
+        self.folder, self.limit = folder, limit
 
     def write(self, iterator) -> Wrote:
         fs, folder = _open_folder(self.folder)
-        name, out, members = f"{uuid.uuid4().hex}.zip", None, 0
+        made: list[tuple[str, int, int]] = []
+        out = stream = None
+        name, members, size = "", 0, 0
+
+        def close() -> None:
+            out.close()
+            stream.close()
+            made.append((name, members, fs.get_file_info(f"{folder}/{name}").size))
+
         for batch in iterator:
             for key, media in zip(batch.column("name").to_pylist(), batch.column("media"), strict=True):
                 if out is None:
+                    name, members, size = f"{uuid.uuid4().hex}.zip", 0, 0
                     fs.create_dir(folder, recursive=True)
                     stream = fs.open_output_stream(f"{folder}/{name}")
                     out = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED, compresslevel=1)
                 info = zipfile.ZipInfo(key)
                 info.compress_type = zipfile.ZIP_DEFLATED
                 out.writestr(info, media.as_py(), compresslevel=1)
-                members += 1
-        if out is None:
-            return Wrote(None, 0, 0)
-        out.close()
-        stream.close()
-        return Wrote(name, members, fs.get_file_info(f"{folder}/{name}").size)
+                members, size = members + 1, size + info.compress_size
+                if size >= self.limit:
+                    close()
+                    out = None
+        if out is not None:
+            close()
+        return Wrote(tuple(made))
 
     def commit(self, messages) -> None:
         fs, folder = _open_folder(self.folder)
         fs.create_dir(folder, recursive=True)
-        listed = [{"archive": m.archive, "members": m.members, "size": m.size} for m in messages if m and m.archive]
+        listed = [{"archive": a, "members": m, "size": n} for w in messages if w for a, m, n in w.archives]
         with fs.open_output_stream(f"{folder}/{INDEX}") as f:
             f.write(json.dumps(listed).encode())
 
+    def abort(self, messages) -> None:
+        """Removes the archives of the tasks that had ended; a failed task's own is never listed."""
+        fs, folder = _open_folder(self.folder)
+        for w in messages:
+            for a, _, _ in w.archives if w else ():
+                fs.delete_file(f"{folder}/{a}")
+
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options):
@@ -195,7 +217,7 @@ def feature(samples: np.ndarray) -> str:
     return f"mean={mean:.4f};dev={dev:.4f};crossings={crossings};entropy={float(-(some * np.log2(some)).sum()):.4f}"
 
 
-def store(docs: DataFrame, folder: str) -> None:
+def store(docs: DataFrame, folder: str, **options) -> None:
     """Writes every text of ``doc_id, text`` as a WAV member of archives in ``folder``."""
 
     def members(batches):
@@ -206,7 +228,7 @@ def store(docs: DataFrame, folder: str) -> None:
 
     spark = docs.sparkSession
     spark.dataSource.register(MediaArchives)
-    docs.select("doc_id", "text").mapInArrow(members, "name string, media binary").write.format("media_archives").mode("append").save(folder)
+    docs.select("doc_id", "text").mapInArrow(members, "name string, media binary").write.format("media_archives").options(**options).mode("append").save(folder)
 
 
 def load(spark: SparkSession, folder: str, **options) -> DataFrame:
