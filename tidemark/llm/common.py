@@ -66,6 +66,26 @@ def discard(*frames: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
+def release() -> None:
+    """Gives back the memory that earlier jobs left in this Python worker, which Spark uses again."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not with every C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many ``_`` after it as tell it from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words(text: Column) -> Column:
     """The maximal runs of characters that are not ASCII white space; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

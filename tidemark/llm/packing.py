@@ -6,8 +6,10 @@ totals, one row each, get prefix sums: they turn local offsets into global ones.
 pass: fixed windows of ``length`` tokens cut the stream; a document that crosses window
 borders becomes one boundary record for each window it touches. No row is shuffled.
 
-A null or empty text is its end id alone. Repeated rows are separate documents. Only the
-last sequence has padding. An empty table gives no pieces.
+A null or empty text is its end id alone. A very long text spans many sequences, as one piece
+in each. Repeated rows are separate documents; rows are packed in the order of the table, so
+ties need no rule. Only the last sequence has padding. An empty table gives no pieces. Only
+``doc_id`` and ``text`` are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import byte_letters
-from tidemark.llm.common import table, written
+from tidemark.llm.common import release, table, written
 
 LENGTH, END_ID = 1024, 0
 #: The pattern that byte-level vocabularies cut texts with before merging.
@@ -66,6 +68,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(frames):
+        release()
         encode, part, at = encoder(path), TaskContext.get().partitionId(), 0
         for f in frames:
             # one end id after each text

@@ -7,9 +7,12 @@ are fitted by Adam on the logistic loss. So a pair may matter more than its two
 
 The fit reads at most ``MAX_EACH`` labelled rows of each class (lowest hashes of doc_id),
 in one task; a row counts as many times as its class has labelled rows for each sampled one,
-so the class ratio learnt is that of all labels. Its result has at most ``MAX_TERMS`` rows and goes to every worker. Scoring
-reads every whole text and nothing else. Null or empty texts and texts without a chosen
-term get the bias alone; without any labels all scores are 0.5. Repeated rows score alike.
+so the class ratio learnt is that of all labels. ``MAX_TERMS`` is the model's size: terms with
+a smaller G than so many others (of equal G: with a larger hash) have no weight and no pairs.
+The model goes to every worker. Scoring reads every whole text, however long, and nothing
+else. Null or empty texts and texts without a chosen term get the bias alone; without any
+labels, or labels of known documents, all scores are 0.5. Repeated rows score alike, an empty
+table gives no rows, and other columns pass through.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, written
+from tidemark.llm.common import release, table, written
 
 BUCKETS, BEGINNINGS = 1 << 22, (4, 5, 6)
 MAX_EACH, MAX_TERMS, LEAST_G, LEAST_ROWS = 8000, 8192, 12.0, 3
@@ -136,7 +139,9 @@ def fit(labelled: DataFrame) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]
 
     # the bounded sample in one task; the order of its rows is made the same in each run
     sample = rows.withColumn("key", F.xxhash64("buckets", "toxic"))
-    fitted = sample.groupBy(F.lit(0).alias("all")).applyInPandas(run, "place int, values array<double>").orderBy("place").collect()
+    fitted = sample.groupBy(F.lit(0).alias("all")).applyInPandas(run, "place int, values array<double>").collect()
+    # sorted here: a sort in Spark would run the fit once more to find its ranges
+    fitted.sort(key=lambda r: r["place"])
     if not fitted:
         return 0.0, terms[:0], np.zeros(0), np.zeros((0, FACTORS))
     values = np.array([r["values"] for r in fitted[1:]]).reshape(len(terms), 1 + FACTORS)
@@ -157,8 +162,9 @@ def train(docs: DataFrame, labels: DataFrame):
     return fit(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
 
 
-def score(docs: DataFrame, model) -> DataFrame:
-    """The rows of ``docs`` with a column ``score`` between 0 and 1."""
+def score(docs: DataFrame, model, into: str = "score") -> DataFrame:
+    """The rows of ``docs`` with a column ``into`` between 0 and 1, in place of one of that name."""
+    docs = docs.drop(into)
     b, terms, w, v = model
     shared = docs.sparkSession.sparkContext.broadcast((b, {int(t): k for k, t in enumerate(terms)}, w, v))
     at = docs.columns.index("text")
@@ -166,6 +172,7 @@ def score(docs: DataFrame, model) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        release()
         bias, place, weight, vectors = shared.value
         known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
@@ -184,10 +191,10 @@ def score(docs: DataFrame, model) -> DataFrame:
                 own = vectors[k]
                 z = bias + weight[k].sum() + 0.5 * ((own.sum(0) ** 2).sum() - (own**2).sum())
                 out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, into])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, score double")
+    return docs.mapInArrow(run, f"{fields}, `{into}` double")
 
 
 def _fold(modulus: int) -> Column:
