@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard_join, packing, quality, substring_dedup, toxicity
-from tidemark.llm.common import table, written
+from tidemark.llm.common import free_name, table, written
 
 #: Near duplicates share so much of their shingles of so many words.
 NEAR_SHINGLE, NEAR_PERCENT = 5, 80
@@ -26,7 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.5 or more go; all labels teach."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("score < 0.5").select(*docs.columns)
+    into = free_name(docs, "score")
+    return toxicity.score(docs, model, into).filter(F.col(into) < 0.5).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
