@@ -212,6 +212,39 @@ def test_html(spark):
     assert html_text.extract(pages.filter("false")).count() == 0
 
 
+LONG = "The river rose all night, and in the morning the lower fields lay under a sheet of brown water."
+LINKS = "<ul><li><a href=/a>Home</a><li><a href=/b>News</a><li><a href=/c>About us</a></ul>"
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f'<body class="has-sidebar no-ads"><article><p>{LONG}</p></article></body>', LONG),
+        (f'<div class="post-header-wrap"><article><p>{LONG}</p><p>{LONG}</p></article></div>', f"{LONG}\n{LONG}"),
+        (f'<div id="page" class="layout with-sidebar"><div class=content><p>{LONG}<p>{LONG}</div><div class="sidebar"><p>{LONG}</div></div>', f"{LONG}\n{LONG}"),
+        (f"<article><p class=it's>{LONG}<p>{LONG}<p>It's</article>", f"{LONG}\n{LONG}\nIt's"),
+        (f'<article><p title="a > b">{LONG}</p></article>', LONG),
+        (f"<article><p data-x=a/b/>{LONG}</p></article>", LONG),
+        (f'<article><p>{LONG}</p><p title="x>foo bar baz</p></article>', LONG),
+        (f"<article><p>{LONG}</p><!-- <p>no</p> --!><p>{LONG}</p></article>", f"{LONG}\n{LONG}"),
+        (f"<nav>{LINKS}</nav><main><h1>Flood</h1><p>{LONG}</p></main><footer><p>{LONG}</p></footer>", f"Flood\n{LONG}"),
+        (f"<header>{LINKS}</header><article><h1>Flood</h1><p>{LONG}</p><section id=comments><article class=comment><p>{LONG}</p></article></section></article>", f"Flood\n{LONG}"),
+        (f"<article><p>{LONG}</p><div class='ad-box'><p>{LONG}</p></div><aside><p>{LONG}</p></aside><p>{LONG}</p></article>", f"{LONG}\n{LONG}"),
+        (f'<div class="cookie-notice"><p>{LONG}</p></div><div><p>{LONG}</p><p>{LONG}</p></div>', f"{LONG}\n{LONG}"),
+        (f"<article><p>{LONG}</p><p hidden>{LONG}</p><div style='display: none'><p>{LONG}</p></div></article>", LONG),
+        (f"<article><form><p>{LONG}</p></form><p>a&nbsp;b &lt;c&gt;<script>x='</p>'</script> d</article>", "a b <c> d"),
+        (f"<div>{LINKS}</div><div><p>{LONG}</p><p>So it was</p><p>{LONG}</p></div>", f"{LONG}\nSo it was\n{LONG}"),  # by the cut
+    ],
+)
+def test_html_pages(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_the_cut_changes_labels():
+    found = [(b, " ".join(b.parts)) for b in html_text.blocks_of(f"<div><p>{LONG}</p><p>So it was</p><p>{LONG}</p></div>")]
+    assert [html_text.score(b, t) > 0 for b, t in found] == [True, False, True]
+
+
 def test_minimum_cut_against_all_labellings():
     g = random.Random(2)
     for _ in range(200):

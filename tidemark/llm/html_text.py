@@ -2,14 +2,17 @@
 
 A page is cut into blocks at block-level tags. A linear classifier over each block's text
 and surroundings gives two costs, which become the capacities of its edges to the terminals
-"content" and "boilerplate"; neighbouring blocks, and blocks with near ancestors in the DOM,
-are tied by smoothness edges. The minimum cut of that graph is the labelling. Blocks whose
+"content" and "boilerplate"; what elements around say fades with distance and is bounded, and
+says little from outside a content tag. Neighbouring blocks, and blocks with near ancestors in
+the DOM, are tied by smoothness edges. The minimum cut of that graph is the labelling. Blocks whose
 own capacity outweighs all their ties are settled before the flow is computed, which does
 not change the cut's value; the rest is small.
 
 Null and empty pages, and pages without text, give an empty text. Broken markup is read as
-browsers do: unclosed tags end with their parent, a tag cut off at the end is dropped.
-Repeated rows give repeated results.
+browsers do: unclosed tags end with their parent, a tag cut off at the end (or by a quote that
+never closes) is dropped. Pages are read whole, however long. Blocks whose costs tie are
+boilerplate. Repeated rows give repeated results, an empty table none. Only ``page_id``, ``url``
+and ``html`` are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -39,14 +42,27 @@ BOILER_WORDS = frozenset(
     "reactions recommended related replies reply respond responses share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget".split()
 )
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+# Words in class and id that name a wrapper of more than their own kind, that say
+# a thing is there or not rather than here, and that name content.
+WRAP_WORDS = frozenset("wrap wrapper container layout page root app site outer inner grid row theme template".split())
+HOLDS_WORDS = frozenset("has have no not with without hide show".split())
+CONTENT_WORDS = frozenset("article content entry post story prose text body main".split())
+
+# An attribute's value may hold > in quotes and quotes where it is unquoted; an unclosed quote runs to the end of the page.
+_VALUE = r"""(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|(?=>)|[^\s>\"'][^\s>]*+)"""
+_NAME = r"(?:=[^\s/>=]*+|[^\s/>=]++)"
+TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</(?![a-zA-Z])[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:\s*+=\s*+{_VALUE})?+)*+)(>|\Z)", re.S)
+ATTRIBUTE = re.compile(rf"({_NAME})(?:\s*+=\s*+({_VALUE}))?+")
 #: Children of these are closed by the next tag of the kinds named.
 ENDED_BY = {"p": BLOCK, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "tr": frozenset({"tr"}), "option": frozenset({"option", "optgroup"})}
 
 #: The classifier: costs in hundredths. Positive speaks for content.
-BIAS, IN_CONTENT, IN_BOILER = -60, 900, -2500
-PER_WORD, MOST_WORDS, SENTENCE, LINKED, HEADING = 12, 25, 80, -400, 40
+BIAS, PER_WORD, MOST_WORDS, SENTENCE, LINKED, HEADING = -60, 12, 25, 80, -400, 40
+#: What an element says of the text in it: its tag, its class or id, hidden; content tags and words.
+BOILER_TAG, BOILER_NAME, HIDDEN, CONTENT_TAG, CONTENT_NAME = -700, -700, -900, 400, 120
+#: A wrapper's name counts so much; each level up counts so much of the one below; outside a
+#: content tag, names and tags of boilerplate count so much. The sum stays inside the bounds.
+WRAPPER, FADE, NAME_OUTSIDE, TAG_OUTSIDE, LEAST, MOST = 0.3, 0.92, 0.15, 0.6, -900, 500
 #: Smoothness: neighbours in page order, and what the DOM's common parent adds.
 NEXT, SAME_PARENT, SAME_GRANDPARENT = 60, 80, 30
 
@@ -60,28 +76,60 @@ class Block:
         self.path, self.weight, self.heading = path, weight, heading
 
 
-def _weight(tag: str, attributes: str) -> int:
-    """What an element says of the text in it."""
-    if tag in BOILER_TAGS:
-        return IN_BOILER
-    if attributes:
-        for name, value in ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), value.strip("\"'").lower()
-            if name in ("class", "id") and not BOILER_WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
-                return IN_BOILER
-            if name == "role" and value in BOILER_ROLES:
-                return IN_BOILER
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display:\s*none|visibility:\s*hidden", value):
-                return IN_BOILER
-            if name == "role" and value in ("main", "article"):
-                return IN_CONTENT
-    return IN_CONTENT if tag in CONTENT_TAGS else 0
+def _attributes(raw: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(raw):
+        out.setdefault(name.lower(), (value[1:].removesuffix(value[0]) if value[:1] in ("'", '"') else value).lower())
+    return out
+
+
+def _named(value: str) -> float:
+    """What the names in a class or id say: from ``BOILER_NAME`` to ``CONTENT_NAME``."""
+    found = 0.0
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        told = [w for k, w in enumerate(words) if w in BOILER_WORDS and (k == 0 or words[k - 1] not in HOLDS_WORDS)]
+        if told:
+            found = min(found, BOILER_NAME * (WRAPPER if not WRAP_WORDS.isdisjoint(words) else 1))
+        elif found == 0 and not CONTENT_WORDS.isdisjoint(words):
+            found = CONTENT_NAME
+    return found
+
+
+def _evidence(tag: str, raw: str) -> tuple[float, float, bool]:
+    """What an element says of the text in it: by its name, by its kind, and whether it is a content tag."""
+    if tag in ("html", "body"):
+        return 0.0, 0.0, False  # all of the page is in it
+    named, role = 0.0, ""
+    if raw:
+        at = _attributes(raw)
+        if "hidden" in at or at.get("aria-hidden") == "true" or re.search(r"display:\s*none|visibility:\s*hidden", at.get("style", "")):
+            return 0.0, HIDDEN, False
+        role, named = at.get("role", ""), min((_named(at[x]) for x in ("class", "id") if x in at), key=lambda n: (n >= 0, -abs(n)), default=0.0)
+    if tag in BOILER_TAGS or role in BOILER_ROLES:
+        return 0.0, BOILER_TAG, False
+    content = (tag in CONTENT_TAGS or role in ("main", "article")) and named >= 0
+    return named, CONTENT_TAG if content else 0.0, content
+
+
+def _surroundings(stack: list[tuple[str, int, tuple[float, float, bool]]]) -> int:
+    """The bounded sum of what the open elements say, the innermost first."""
+    total, share, outside, within = 0.0, 1.0, False, False
+    for _, _, (named, kind, content) in reversed(stack):
+        if outside:
+            named, kind = named * NAME_OUTSIDE, kind * TAG_OUTSIDE if LEAST < kind < 0 else min(kind, 0.0)
+        if within:  # a form in an article is a form
+            named, kind = min(named, 0.0), min(kind, 0.0)
+        total += share * (named + kind)
+        share *= FADE
+        outside, within = outside or content, within or named + kind <= BOILER_NAME * WRAPPER
+    return round(max(LEAST, min(MOST, total)))
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order, each with the elements that hold it."""
-    # open elements: tag, number, weight for the text inside; inside content, only boilerplate adds
-    stack: list[tuple[str, int, int]] = []
+    # open elements: tag, number, evidence for the text inside
+    stack: list[tuple[str, int, tuple[float, float, bool]]] = []
     out: list[Block] = []
     current: Block | None = None
     count = at = links = 0
@@ -93,16 +141,12 @@ def blocks_of(page: str) -> list[Block]:
         if current is None:
             if raw.isspace():
                 return
-            current = Block(tuple(n for _, n, _ in stack), sum_weight(), any(t[0] == "h" and t[1:].isdigit() for t, _, _ in stack))
+            current = Block(tuple(n for _, n, _ in stack), _surroundings(stack), any(t[0] == "h" and t[1:].isdigit() for t, _, _ in stack))
             out.append(current)
         current.parts.append(raw)
         if links:
             current.linked += len(raw.strip())
 
-    def sum_weight() -> int:
-        inside = any(w == IN_CONTENT for _, _, w in stack)
-        return sum(w for _, _, w in stack if w < 0) + (IN_CONTENT if inside else 0)
-
     while True:
         m = TOKEN.search(page, at)
         if m is None:
@@ -125,8 +169,8 @@ def blocks_of(page: str) -> list[Block]:
                     del stack[k:]
                     break
             continue
-        if tag in RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>|\Z", re.I).search(page, at)
+        if tag in RAW and not (tag in ("svg", "math") and m[3].endswith("/")):
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
             at = end.end()
             if tag == "title":
                 current = None
@@ -146,10 +190,9 @@ def blocks_of(page: str) -> list[Block]:
             if inner >= 0 and tag in ENDED_BY.get(stack[inner][0], ()):
                 links -= sum(t == "a" for t, _, _ in stack[inner:])
                 del stack[inner:]
-        if not m[3].endswith("/"):
-            count += 1
-            stack.append((tag, count, _weight(tag, m[3])))
-            links += tag == "a"
+        count += 1
+        stack.append((tag, count, _evidence(tag, m[3])))
+        links += tag == "a"
     return out
 
 
