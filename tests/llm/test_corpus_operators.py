@@ -114,9 +114,9 @@ def brute_removal(texts):
     return out
 
 
-@pytest.mark.parametrize("step,shards", [(700, 3), (1 << 20, 1)])
-def test_removal_against_brute_force(spark, monkeypatch, step, shards):
-    monkeypatch.setattr(substring_dedup, "STEP_BYTES", step)
+# few anchors: unequal ones share buckets
+@pytest.mark.parametrize("step,shards,anchors", [(700, 3, 1 << 40), (1 << 20, 1, 1 << 40), (700, 2, 3)])
+def test_removal_against_brute_force(spark, monkeypatch, step, shards, anchors):
     monkeypatch.setattr(blocks.blocked, "__defaults__", (5000,))
     g = random.Random(step)
     noise = lambda n: "".join(g.choice("abcd é") for _ in range(n))
@@ -133,7 +133,7 @@ def test_removal_against_brute_force(spark, monkeypatch, step, shards):
             t = "".join(g.choice([noise(g.randint(0, 80)), g.choice(passages)[g.choice([0, 0, 5, 17]) :]]) for _ in range(g.randint(1, 8)))
         texts[g.randrange(10**9)] = t
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
-    out = substring_dedup.remove(df, shards).withColumn("h", F.sha2("kept", 256)).collect()
+    out = substring_dedup.remove(df, shards, anchors, step).withColumn("h", F.sha2("kept", 256)).collect()
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["h"]) for r in out} == brute_removal({i: t.encode() for i, t in texts.items()})
 
 
@@ -143,6 +143,9 @@ def test_removal_odd_rows(spark):
     assert all(r["n_bytes"] == 0 for r in out if r["doc_id"] in (1, 2))
     assert next(r for r in out if r["doc_id"] == 6)["n_removed"] == 0
     assert substring_dedup.remove(frame(spark, ODD).filter("false")).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tidemark")]
+    far = spark.createDataFrame([(2**62 + 5, "x" * 10 + "abcdefgh" * 9), (2**62 + 1, "abcdefgh" * 9)], "doc_id long, text string")
+    assert {r["doc_id"] - 2**62: r["n_removed"] for r in substring_dedup.remove(far).collect()} == {1: 0, 5: 72}
 
 
 def test_cut_characters_go(spark):

@@ -14,6 +14,7 @@ from tidemark.llm.common import BATCH_ROWS, batches_of, shared_folder
 
 #: A block ends with the document that brings it to so many characters.
 BLOCK_BYTES = 8 << 20
+#: Files of the bucketed table; with more blocks than this a file holds several, still handled one by one.
 MAX_BUCKETS = 8192
 
 
@@ -43,7 +44,9 @@ def blocked(docs: DataFrame, total: int, limit: int = BLOCK_BYTES) -> DataFrame:
     name = f"tidemark_blocks_{uuid.uuid4().hex}"
     with batches_of(spark, BATCH_ROWS):
         numbered.write.bucketBy(buckets, "block").option("path", shared_folder(spark)).option("compression", "zstd").format("parquet").saveAsTable(name)
-    return spark.table(name)
+    rows = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # of the catalog's entry; the files are the caller's and stay
+    return rows
 
 
 def pack_array(values: np.ndarray) -> bytes:

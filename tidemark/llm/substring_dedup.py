@@ -7,18 +7,24 @@ longer string's bucket is that of its first ``Q`` bytes refined by the buckets f
 later offsets of the same position. Nothing is sorted that is alone in its bucket:
 
 1. Of each window only the smallest of its Q-byte buckets counts (its anchor). Neighbouring
-   windows with the same anchor are one unit, refined by the buckets at its later offsets.
-   Shards, by anchor, sort all units: equal units go from all documents but the smallest.
-2. What is left of a unit in its smallest document, if other units have the same anchor, is
-   refined once more, window by window, with the same buckets, and sorted again by shards.
+   windows with the same anchor are one unit, identified inside the anchor's bucket by the
+   buckets at its later offsets. Shards, by anchor, sort each bucket on those: equal units go
+   from all documents but the smallest.
+2. What is left of a unit in its smallest document, if its bucket fell apart, is refined once
+   more, window by window, and sorted again inside the same bucket.
+
+Buckets have 64-bit identifiers, made by doubling: that of 2k bytes from two of k bytes. Members
+are only ever compared inside an anchor's bucket, so equal identifiers of unequal strings are
+to be expected once in 2^64 pairs of one bucket, not of the whole table.
 
 Blocks of documents are written to a table bucketed by block, so texts are not shuffled;
-only packed arrays of buckets are, and each block sends a unit or window once. The arrays
-that a shard returns have the order in which the block sent them.
+only packed arrays of buckets are, and each block sends a unit or window once, however often
+it has it. The arrays that a shard returns have the order in which the block sent them.
 
-Null and empty texts have no bytes. Texts shorter than the window never change. Rows of
-equal doc_id are one document's parts: none removes another's bytes. Rows without doc_id
-keep all bytes and remove none.
+Null and empty texts have no bytes. Texts shorter than the window never change; very long ones
+are a block of their own. Rows of equal doc_id are one document's parts: none removes another's
+bytes; so equal texts of one doc_id both stay. Rows without doc_id keep all bytes and remove
+none. An empty table gives no rows. Other columns pass through under their own names.
 """
 
 from __future__ import annotations
@@ -35,10 +41,12 @@ from tidemark.llm.common import table, text_bytes, written
 
 WINDOW, Q = 50, 20
 SPAN = WINDOW - Q + 1  # Q-byte strings of a window
-SHARD_BYTES, MAX_SHARDS = 12 << 20, 4096
+SHARD_BYTES = 12 << 20
 #: Bytes of text handled at a time.
 STEP_BYTES = 1 << 20
 UNITS, WINDOWS = 0, 1
+#: Numbers of anchor buckets; unequal anchors that share one are told apart like unequal units.
+ANCHOR_BUCKETS = 1 << 40
 #: Low bits of a bucket that give way to the position; fixed, so that equal windows choose alike everywhere.
 PLACE_BITS = np.uint64(32)
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -67,14 +75,14 @@ def buckets(a: np.ndarray, q: int = Q) -> np.ndarray:
         n = len(cur) - size
         cur = cur[:n] * factor + cur[size:]
         with np.errstate(over="ignore"):
-            factor = factor * factor + _M[2]
+            factor = factor * factor  # odd, as its root is
         size *= 2
 
 
 class Part:
     """Units of some texts. Positions are in the texts' concatenation."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], anchors: int = ANCHOR_BUCKETS):
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.data = np.frombuffer(b"".join(texts), np.uint8)
@@ -119,15 +127,15 @@ class Part:
         lo, hi, row = lo[good], hi[good], row[good]
         at = chosen[lo]
         self.lo, self.hi, self.row = lo, hi, row
-        self.anchor = mix(h[at]) >> np.uint64(24)
+        self.anchor = mix(h[at]) % np.uint64(anchors)
         refined = h[lo]
         with np.errstate(over="ignore"):
             for later in (h[lo + Q], h[hi + WINDOW - 2 * Q], h[hi + WINDOW - Q], ((hi - lo) * 64 + at - lo).astype(np.uint64)):
                 refined = mix(refined * _M[0] + later)
-        self.unit = refined >> np.uint64(16)
+        self.unit = refined
 
     def windows(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the units ``k``: each window's bucket, start and unit."""
+        """Of the units ``k``: each window's bucket inside its anchor's, start and unit."""
         n = self.hi[k] - self.lo[k] + 1
         unit = np.repeat(k, n)
         start = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + self.lo[unit]
@@ -137,7 +145,7 @@ class Part:
         return refined, start, unit
 
 
-def parts_of(f: pd.DataFrame):
+def parts_of(f: pd.DataFrame, anchors: int, step: int):
     """The block's texts in order of doc_id, some at a time: (doc ids, Part)."""
     f = f[f["doc_id"].notna()].sort_values("doc_id", kind="stable")
     docs, texts, size, some = f["doc_id"].to_numpy(np.int64), f["text"].tolist(), 0, []
@@ -145,8 +153,8 @@ def parts_of(f: pd.DataFrame):
     for i, t in enumerate(texts):
         some.append((t or "").encode())
         size += len(some[-1])
-        if size >= STEP_BYTES or i == len(texts) - 1:
-            yield docs[first : i + 1], Part(some)
+        if size >= step or i == len(texts) - 1:
+            yield docs[first : i + 1], Part(some, anchors)
             first, size, some = i + 1, 0, []
 
 
@@ -188,72 +196,73 @@ class Sent:
                 out[p] = got[shard]
         return out
 
-    def places(self, columns: list[np.ndarray]) -> np.ndarray:
-        """Index among the keys of rows that are among them."""
-        if len(columns) == 1:
-            return np.searchsorted(self.columns[0], columns[0])
-        # two columns: rank inside the run of equal first columns
-        a, b = columns
-        lo = np.searchsorted(self.columns[0], a, "left")
-        many = np.flatnonzero(self.columns[1][lo] != b)
-        while len(many):  # a step for each further unit of an anchor
-            lo[many] += 1
-            many = many[self.columns[1][lo[many]] != b[many]]
+    def places(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Index among the keys of rows that are among them: the run of the anchor, then halving inside it."""
+        lo, hi = (np.searchsorted(self.columns[0], a, side) for side in ("left", "right"))
+        while (lo < hi).any():
+            mid = (lo + hi) // 2
+            low = (lo < hi) & (self.columns[1][np.minimum(mid, len(self.doc) - 1)] < b)
+            lo, hi = np.where(low, mid + 1, lo), np.where(low, hi, mid)
         return lo
 
 
+def refined(bucket: np.ndarray, later: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts each bucket's members on their identifier at later offsets: the smallest document of
+    each member's new bucket, and whether the old one fell apart."""
+    order = np.lexsort([doc, later, bucket])
+    a, b, d = bucket[order], later[order], doc[order]
+    new_a = np.append(True, a[1:] != a[:-1])
+    new_b = new_a | np.append(True, b[1:] != b[:-1])
+    old, new = np.cumsum(new_a) - 1, np.cumsum(new_b) - 1
+    least, apart = np.empty(len(a), np.int64), np.empty(len(a), bool)
+    least[order] = d[new_b][new]
+    apart[order] = np.bincount(old, new_b)[old] > 1
+    return least, apart
+
+
 SENT = "block long, shard int, kind int, a binary, b binary, doc binary"
 
 
-def remove(docs: DataFrame, shards: int | None = None) -> DataFrame:
+def remove(docs: DataFrame, shards: int | None = None, anchors: int = ANCHOR_BUCKETS, step: int = STEP_BYTES) -> DataFrame:
     """The rows of ``docs`` (``doc_id, text``, others) without ``text``, with ``kept binary``
     (the bytes that are left), ``n_bytes, n_removed, n_spans``."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     total = text_bytes(docs)
-    shards = shards or min(MAX_SHARDS, max(1, math.ceil(total / SHARD_BYTES)))
+    shards = shards or max(1, math.ceil(total / SHARD_BYTES))
     # other columns under names of their own, so that none clashes
     plain = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"other_{k}") for k, c in enumerate(others)])
     whole = blocked(plain, total)
     rows = whole.select("doc_id", "text", "block")
 
     def send_units(key, f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_units(list(parts_of(f)), shards).rows(int(key[0]), UNITS), columns=SENT_COLUMNS)
-
-    def sort_units(key, f: pd.DataFrame) -> pd.DataFrame:
-        a, b, doc = (np.concatenate([unpack_array(x) for x in f[c]]) for c in ("a", "b", "doc"))
-        order = np.lexsort([doc, b, a])
-        a, b, d = a[order], b[order], doc[order]
-        new_a = np.append(True, a[1:] != a[:-1])
-        new_u = new_a | np.append(True, b[1:] != b[:-1])
-        unit = np.cumsum(new_u) - 1
-        least = d[new_u][unit]
-        anchor_units = np.bincount(np.cumsum(new_a) - 1, new_u).astype(np.int64)  # units of each anchor
-        alone = anchor_units[np.cumsum(new_a) - 1] == 1
-        # twice the smallest document, plus 1 where other units have the anchor
-        answer = np.empty(len(a), np.int64)
-        answer[order] = least * 2 + ~alone
-        return _answers(key, UNITS, f, answer)
+        return pd.DataFrame(_units(list(parts_of(f, anchors, step)), shards).rows(int(key[0]), UNITS), columns=SENT_COLUMNS)
+
+    def refine(key, f: pd.DataFrame) -> pd.DataFrame:
+        columns = [[unpack_array(x) for x in f[c]] for c in ("a", "b", "doc")]
+        least, apart = refined(*map(np.concatenate, columns))
+        ends = np.cumsum([len(x) for x in columns[2]])[:-1]
+        return pd.DataFrame(
+            {
+                "block": f["block"],
+                "shard": key[0],
+                "kind": f["kind"],
+                "least": [pack_array(x) for x in np.split(least, ends)],
+                "apart": [pack_array(x) for x in np.split(apart.astype(np.int64), ends)],
+            }
+        )
 
     def send_windows(f: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         if not len(f):
             return pd.DataFrame(columns=SENT_COLUMNS)
-        parts = list(parts_of(f))
-        keys, docs_ = [], []
+        parts = list(parts_of(f, anchors, step))
+        of, keys, docs_ = [], [], []
         for (ids, part), unclear in zip(parts, _unit_verdicts(parts, got, shards)[1], strict=True):
             w, _, unit = part.windows(unclear)
+            of.append(part.anchor[unit])
             keys.append(w)
             docs_.append(ids[part.row[unit]])
-        sent = Sent([keys], docs_, shards)
-        return pd.DataFrame([(*r[:4], b"", r[4]) for r in sent.rows(int(f["block"].iloc[0]), WINDOWS)], columns=SENT_COLUMNS)
-
-    def sort_windows(key, f: pd.DataFrame) -> pd.DataFrame:
-        a, doc = (np.concatenate([unpack_array(x) for x in f[c]]) for c in ("a", "doc"))
-        order = np.lexsort([doc, a])
-        s, d = a[order], doc[order]
-        new = np.append(True, s[1:] != s[:-1])
-        answer = np.empty(len(a), np.int64)
-        answer[order] = d[new][np.cumsum(new) - 1]
-        return _answers(key, WINDOWS, f, answer)
+        sent = Sent([of, keys], docs_, shards)
+        return pd.DataFrame(sent.rows(int(f["block"].iloc[0]), WINDOWS), columns=SENT_COLUMNS)
 
     def cut(f: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -261,17 +270,18 @@ def remove(docs: DataFrame, shards: int | None = None) -> DataFrame:
         for t in lost["text"]:
             raw = (t or "").encode()
             out.append((None, raw, len(raw), 0, 0))
-        parts = list(parts_of(f))
+        parts = list(parts_of(f, anchors, step))
         gone, unclear = _unit_verdicts(parts, got, shards)
         windows = [part.windows(k) for (_, part), k in zip(parts, unclear, strict=True)]
         owner = [ids[part.row[u]] for (ids, part), (_, _, u) in zip(parts, windows, strict=True)]
-        sent = Sent([[w[0] for w in windows]], owner, shards)
-        least = sent.answered(_by_shard(got, WINDOWS), sent.doc)
-        for (ids, part), units, (w, start, _), own in zip(parts, gone, windows, owner, strict=True):
+        of = [part.anchor[u] for (_, part), (_, _, u) in zip(parts, windows, strict=True)]
+        sent = Sent([of, [w[0] for w in windows]], owner, shards)
+        least = sent.answered(_by_shard(got, WINDOWS, "least"), sent.doc)
+        for (ids, part), units, (w, start, _), own, anchor in zip(parts, gone, windows, owner, of, strict=True):
             edge = np.zeros(len(part.data) + 1, np.int64)
             np.add.at(edge, part.lo[units], 1)
             np.add.at(edge, part.hi[units] + WINDOW, -1)
-            hit = start[least[sent.places([w])] < own] if len(w) else start
+            hit = start[least[sent.places(anchor, w)] < own] if len(w) else start
             np.add.at(edge, hit, 1)
             np.add.at(edge, hit + WINDOW, -1)
             covered = np.cumsum(edge[:-1]) > 0
@@ -285,9 +295,9 @@ def remove(docs: DataFrame, shards: int | None = None) -> DataFrame:
         return pd.concat([result.astype({"doc_id": "Int64"}), extra], axis=1)
 
     units = rows.groupBy("block").applyInPandas(send_units, SENT)
-    answers = written(units.groupBy("shard").applyInPandas(sort_units, ANSWERS))
+    answers = written(units.groupBy("shard").applyInPandas(refine, ANSWERS))
     windows = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(send_windows, SENT)
-    more = written(windows.groupBy("shard").applyInPandas(sort_windows, ANSWERS))
+    more = written(windows.groupBy("shard").applyInPandas(refine, ANSWERS))
     result = whole.groupBy("block").cogroup(answers.unionByName(more).groupBy("block"))
     fields = "".join(f", other_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(others))
     left = result.applyInPandas(cut, f"doc_id long, kept binary, n_bytes long, n_removed long, n_spans long{fields}")
@@ -306,33 +316,28 @@ def as_text(kept):
 
 
 SENT_COLUMNS = ["block", "shard", "kind", "a", "b", "doc"]
-ANSWERS = "block long, shard int, kind int, answer binary"
+ANSWERS = "block long, shard int, kind int, least binary, apart binary"
 
 
 def _units(parts: list, shards: int) -> Sent:
     return Sent([[p.anchor for _, p in parts], [p.unit for _, p in parts]], [ids[p.row] for ids, p in parts], shards)
 
 
-def _answers(key, kind: int, f: pd.DataFrame, answer: np.ndarray) -> pd.DataFrame:
-    ends = np.cumsum([len(unpack_array(x)) for x in f["doc"]])
-    pieces = np.split(answer, ends[:-1])
-    return pd.DataFrame({"block": f["block"], "shard": key[0], "kind": kind, "answer": [pack_array(p) for p in pieces]})
-
-
-def _by_shard(got: pd.DataFrame, kind: int) -> dict[int, np.ndarray]:
-    return {int(s): unpack_array(a) for s, k, a in zip(got["shard"], got["kind"], got["answer"], strict=True) if k == kind}
+def _by_shard(got: pd.DataFrame, kind: int, column: str) -> dict[int, np.ndarray]:
+    return {int(s): unpack_array(a) for s, k, a in zip(got["shard"], got["kind"], got[column], strict=True) if k == kind}
 
 
 def _unit_verdicts(parts: list, got: pd.DataFrame, shards: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each part: the units that go, and those whose windows must be looked at."""
     sent = _units(parts, shards)
-    answer = sent.answered(_by_shard(got, UNITS), sent.doc * 2)
+    least = sent.answered(_by_shard(got, UNITS, "least"), sent.doc)
+    apart = sent.answered(_by_shard(got, UNITS, "apart"), np.zeros(len(sent.doc), np.int64))
     gone, unclear = [], []
     for ids, p in parts:
-        mine = answer[sent.places([p.anchor, p.unit])] if len(p.lo) else np.zeros(0, np.int64)
-        own = ids[p.row]
-        gone.append(np.flatnonzero(mine >> 1 < own))
-        unclear.append(np.flatnonzero((mine >> 1 == own) & (mine & 1 == 1)))
+        at = sent.places(p.anchor, p.unit)
+        mine, own = least[at], ids[p.row]
+        gone.append(np.flatnonzero(mine < own))
+        unclear.append(np.flatnonzero((mine == own) & (apart[at] == 1)))
     return gone, unclear
 
 
