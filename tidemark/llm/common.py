@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,12 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors share.
 
-    Without that setting there is no such place, and a folder of the driver's own would lose
-    rows on a cluster: that is an error.
+    Only in local mode may that setting be absent: a temporary folder then takes its place. On
+    a cluster such a folder would be another one on each machine, and lose rows: an error.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
