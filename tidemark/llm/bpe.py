@@ -100,10 +100,13 @@ class Words:
         for library, own in ((r"\p{L}", r"\p{L}"), (r"\p{N}", r"\p{N}"), (r"\s", f"[{WHITE}]")):
             kept = pre_tokenizers.Split(_library_regex(library), "removed").pre_tokenize_str(every)
             odd |= set(every).difference(*(piece for piece, _ in kept)) ^ set(regex.findall(own, every))
-        self.odd = regex.compile(f"[{''.join(map(regex.escape, sorted(odd)))}]") if odd else None
+        self.odd, self.odd_points = frozenset(odd), np.zeros(0x110000, bool)
+        self.odd_points[[ord(c) for c in odd]] = True
 
     def is_odd(self, text: str) -> bool:
-        return self.odd is not None and self.odd.search(text) is not None
+        if len(text) < 40:
+            return not self.odd.isdisjoint(text)
+        return bool(self.odd_points[np.frombuffer(text.encode("utf-32-le"), "<u4")].any())
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
