@@ -141,6 +141,28 @@ def test_quality_removes_lines_first(spark):
     assert sorted(kept) == [1, 4] and kept[4]["text"] == prose and kept[4]["n_chars"] == len(prose)
 
 
+LINES = [
+    ("Licensed under CC BY-NC 4.0.", True), ("This work is licensed under the GNU General Public License.", True), ("© 2020 Someone", True),
+    ("Copyright 2019 Someone", True), ("Copyright law has changed a good deal since then.", False), ("Tous droits réservés", True),
+    ("Alle Rechte vorbehalten.", True), ("Todos los derechos reservados", True), ("Home About Contact Login", True), ("Startseite Kontakt Impressum", True),
+    ("Home sweet home is what they say.", False), ("Please contact the help desk about the news.", False), ("https://a.example/b www.c.example", True),
+    ("See https://a.example/b for the whole story.", False), ("The minister said on Monday ... Read more »", True), ("They read more than ever", False),
+    ("A paragraph " + "of many words " * 12 + "names the privacy policy of the house", False), ("", False), ("!", False), ("home home home", True),
+]
+
+
+def test_quality_lines_by_example_and_by_sql(spark):
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(LINES)], "i int, line string")
+    got = {LINES[r["i"]][0] for r in df.filter(quality.line_fails(F.col("line"))).collect()}
+    assert got == {x for x, fails in LINES if fails}
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [[i, x] for i, (x, _) in enumerate(LINES)])
+    cleaned = con.execute(f"WITH {quality.CTES} SELECT clean FROM c").fetchall()
+    assert sorted(x for (x,) in cleaned if x) == sorted(x for x, fails in LINES if x and not fails)
+
+
 def test_media_round_trip(spark, docs, tmp_path):
     folder = f"file://{tmp_path}/archives"
     media.store(docs, folder)
