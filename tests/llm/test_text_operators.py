@@ -214,7 +214,20 @@ def test_cascade_is_exact(spark, monkeypatch, words):
     universe = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 23 == 0).alias("listed"))
     c = url_filters.build_cascade(universe)
     assert (c.shards > 1) == bool(words) and max(map(len, c.levels)) > 1
-    assert universe.filter(c.test(F.col("key")) != F.col("listed")).count() == 0
+    marked = c.mark(universe.withColumn("shard", F.lit("x")), "key", "found")
+    assert marked.count() == 3000 and marked.filter("found != listed OR shard != 'x'").count() == 0
+
+
+
+@pytest.mark.parametrize("words", [None, 2])
+def test_block_list_as_a_table(spark, monkeypatch, words):
+    if words:
+        monkeypatch.setattr(url_filters, "MAX_WORDS", words)
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.concat(F.lit("http://H"), F.col("id") % 97, F.lit(".org/en/")).alias("url"))
+    listed = spark.createDataFrame([(f"h{i}.org",) for i in range(0, 300, 3)] + [("h3.org",), (None,)], "key string")
+    out = url_filters.judge(pages, listed).collect()
+    assert len(out) == 400 and all((r["verdict"] == "block") == (r["page_id"] % 97 % 3 == 0) for r in out)
+    assert {r["verdict"] for r in url_filters.judge(pages, listed.filter("false")).collect()} == {"allow"}
 
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><header>Site name</header><nav><ul><li><a href=/a>menu entry</a></ul></nav>

@@ -17,13 +17,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import table, written
+from tidemark.llm.common import free_name, shared_folder, table, written
 
 #: Bits for each key and hash functions of a level: about one key in 100 passes wrongly.
 BITS_PER_KEY, HASHES = 10, 7
 #: A level of more 64-bit words than this (8 MB) is not sent with the tasks; keys are then
-#: split into shards by hash, and each shard's levels stay under the limit.
+#: split into shards by hash, each shard's levels stay under the limit, and a job of its own
+#: tests the rows of each shard, so that no task gets the words of two.
 MAX_WORDS = 1 << 20
 
 
@@ -106,17 +108,33 @@ class Cascade:
     shards: int
     levels: list[list[tuple[int, str]]]  # by shard: bits and the folder of each level's row
 
-    def test(self, key: Column) -> Column:
-        result = F.lit(False)
-        for shard, levels in enumerate(self.levels):
-            inside = F.lit(len(levels) % 2 == 1)
-            for n in reversed(range(len(levels))):
-                bits, frame = levels[n]
-                passed = _has(frame.scalar(), key, n, bits)
-                inside = F.when(passed, inside).otherwise(F.lit(n % 2 == 1))
-            mine = F.pmod(F.xxhash64(F.lit(-1), key), F.lit(self.shards)) == shard
-            result = inside if self.shards == 1 else F.when(mine, inside).otherwise(result)
-        return result
+    def shard(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(self.shards)).cast("int")
+
+    def test(self, key: Column, shard: int = 0) -> Column:
+        """Whether a key of this shard is listed; reads the words of this shard alone."""
+        levels = self.levels[shard]
+        inside = F.lit(len(levels) % 2 == 1)
+        for n in reversed(range(len(levels))):
+            bits, frame = levels[n]
+            inside = F.when(_has(frame.scalar(), key, n, bits), inside).otherwise(F.lit(n % 2 == 1))
+        return inside
+
+    def mark(self, rows: DataFrame, key: str, name: str) -> DataFrame:
+        """``rows`` with the test of their column ``key`` under ``name``.
+
+        One shard is tested in place. Of several, rows are written by shard once; each shard's
+        are then read, tested and written by a job that carries that shard's words only.
+        """
+        if self.shards == 1:
+            return rows.withColumn(name, self.test(F.col(key)))
+        at, top = free_name(rows, "shard"), shared_folder(self.spark)
+        dealt = rows.withColumn(at, self.shard(F.col(key)))
+        dealt.write.option("compression", "zstd").partitionBy(at).parquet(f"{top}/dealt")
+        for shard in range(self.shards):
+            mine = self.spark.read.schema(dealt.schema).parquet(f"{top}/dealt").filter(F.col(at) == shard).drop(at)
+            mine.withColumn(name, self.test(F.col(key), shard)).write.option("compression", "zstd").parquet(f"{top}/tested/shard={shard}")
+        return self.spark.read.schema(T.StructType([*rows.schema.fields, T.StructField(name, T.BooleanType())])).option("recursiveFileLookup", True).parquet(f"{top}/tested")
 
 
 def build_cascade(universe: DataFrame) -> Cascade:
@@ -127,7 +145,7 @@ def build_cascade(universe: DataFrame) -> Cascade:
     shards = max(1, math.ceil(listed * BITS_PER_KEY / 64 / MAX_WORDS))
     levels: list[list] = []
     for shard in range(shards):
-        mine = keys.filter(F.pmod(F.xxhash64(F.lit(-1), F.col("key")), F.lit(shards)) == shard)
+        mine = keys.filter(Cascade(spark, shards, []).shard(F.col("key")) == shard)
         into, others, own = mine.filter("listed").select("key"), mine.filter(~F.col("listed")).select("key"), []
         count = into.count()
         while count:
@@ -140,18 +158,28 @@ def build_cascade(universe: DataFrame) -> Cascade:
     return Cascade(spark, shards, levels)
 
 
-def judge(pages: DataFrame, listed: Column, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Adds ``host, path, rule, verdict`` to the rows of ``pages`` (``page_id``, ``url``).
+def judge(pages: DataFrame, listed: Column | DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``page_id, host, path, rule, verdict`` of the rows of ``pages`` (``page_id``, ``url``).
 
-    ``listed`` tells of a column ``key`` (a host) whether it is on the block list; it is
-    evaluated once for each distinct host, and the cascade then stands for it.
+    ``listed`` is the block list: a table with a column ``key`` (hosts, lower case; nulls and
+    repeated keys do no harm), or an expression that tells of a column ``key`` whether it is
+    listed. It is asked once for each distinct host, and the cascade then stands for it. Other
+    columns of ``pages`` are not taken, so that none can clash. Of rules of equal length that
+    fit, the one greater in text order wins.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    universe = rows.select(F.col("host").alias("key")).distinct().withColumn("listed", F.coalesce(listed, F.lit(False)))
-    cascade = build_cascade(universe)
+    hosts = rows.select(F.col("host").alias("key"))
+    if isinstance(listed, DataFrame):
+        own = listed.select(F.col("key").cast("string"), F.lit(True).alias("listed"))
+        # a listed host without pages is no key of the universe
+        both = own.unionByName(hosts.withColumn("listed", F.lit(False))).groupBy("key").agg(F.bool_or("listed").alias("listed"), F.bool_and("listed").alias("alone"))
+        universe = both.filter("NOT alone").select("key", "listed")
+    else:
+        universe = hosts.distinct().withColumn("listed", F.coalesce(listed, F.lit(False)))
+    rows = build_cascade(universe).mark(rows, "host", "listed")
     rows = rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
-    method = F.when(cascade.test(F.col("host")), F.lit("block")).otherwise(F.lit("allow"))
+    method = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
     return rows.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.action"), method).alias("verdict"))
 
 
