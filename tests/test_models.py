@@ -139,3 +139,26 @@ def test_streams_read_a_folder_of_disordered_files(spark, tmp_path, monkeypatch)
     assert all(len(w) > 0 for w in want.values())
     monkeypatch.setattr(T, "SLICE_ROWS", 400)  # three slices: state goes from one batch to the next
     assert {n: rows(n, tmp_path) for n in names} == want
+
+
+def test_lookup_is_written_in_order_with_an_inventory(spark, tmp_path):
+    path = str(tmp_path / "lookup")
+    manifest = S.write_lookup(spark.range(500).select(((F.col("id") * 37) % 500).alias("k"), F.col("id").alias("v")), ["k"], path)
+    known = spark.createDataFrame(manifest.collect(), manifest.schema)
+    assert known.agg(F.sum("rows")).first()[0] == 500 and S.changed_files(spark, path, known).count() == 0
+    parts = spark.read.parquet(path).groupBy(F.input_file_name()).agg(F.collect_list("k")).collect()
+    assert all(p[1] == sorted(p[1]) for p in parts)
+    first = known.orderBy("file").first()["file"]
+    altered = known.filter(F.col("file") != first).withColumn("rows", F.col("rows") + 1)
+    gone = spark.createDataFrame([("gone.parquet", 1, "x", 1)], "file string, bytes long, sha256 string, rows long")
+    states = {r["file"]: r["state"] for r in S.changed_files(spark, path, altered.unionByName(gone)).collect()}
+    assert states.pop(first) == "new" and states.pop("gone.parquet") == "missing" and set(states.values()) <= {"altered"}
+    with pytest.raises(ValueError):
+        S.write_lookup(spark.createDataFrame([(1,), (1,)], "k int"), ["k"], str(tmp_path / "twice"))
+    assert not (tmp_path / "twice").exists()
+
+
+def test_report_lines_have_all_names(spark, tmp_path):
+    S.write_report(spark.createDataFrame([("a", None), ("b", 2)], "split string, rows int"), str(tmp_path / "r"))
+    lines = sorted(r["value"] for r in spark.read.text(str(tmp_path / "r")).collect())
+    assert lines == ['{"split":"a","rows":null}', '{"split":"b","rows":2}']

@@ -103,6 +103,20 @@ def sparse_lines(spark, sf):
     return P.sparse_lines(_sparse(spark, sf))
 
 
+def lookup_sink(spark, sf):
+    """The fitted device lookup, written in order of its key and read back."""
+    folder = S.shared_folder(spark)
+    S.write_lookup(covariate_lookup(spark, sf), ["device_ip"], folder)
+    return spark.read.parquet(folder)
+
+
+def report_json(spark, sf):
+    """The report of both splits, written as JSON and read back."""
+    folder, report = S.shared_folder(spark), dataset_report(spark, sf)
+    S.write_report(report, folder)
+    return spark.read.schema(report.schema).json(folder)
+
+
 # ---- row-local features
 
 
@@ -205,6 +219,13 @@ def eligible_users(spark, sf):
     return users(spark, sf).groupBy("profile_user").agg(F.count("*").alias("rows")).filter(F.col("rows") < FEW_ROWS)
 
 
+def user_eligibility(spark, sf):
+    """By inventory: users, those with too few rows for a profile, and the span of rows a user."""
+    rows = users(spark, sf).groupBy("inventory_type", "profile_user").agg(F.count("*").alias("n"))
+    few = F.count_if(F.col("n") < FEW_ROWS)
+    return rows.groupBy("inventory_type").agg(F.count("*").alias("users"), few.alias("few"), F.min("n").alias("least"), F.max("n").alias("most"))
+
+
 # ---- lookups
 
 

@@ -240,6 +240,8 @@ SQL: dict[str, str] = {
     "population_counts": _with("SELECT * FROM pc", "pc"),
     "population_checks": _with("SELECT training_app + training_site = training AS training_adds_up, scoring_app + scoring_site = scoring AS scoring_adds_up, scoring_proxy <= scoring_app AS proxy_in_app, scoring_history <= scoring_proxy AS history_in_proxy, scoring_cold <= scoring_site AS cold_in_site FROM pc", "pc"),
     "eligible_users": _with("SELECT profile_user, count(*) AS rows FROM u GROUP BY 1 HAVING count(*) < 40", "u"),
+    "user_eligibility": _with("SELECT inventory_type, count(*) AS users, count(*) FILTER (n < 40) AS few, min(n) AS least, max(n) AS most FROM (SELECT inventory_type, profile_user, count(*) AS n FROM u GROUP BY 1, 2) GROUP BY 1", "u"),
+    "lookup_sink": _with("SELECT * FROM cov", "cov"),
     "vocabulary": _with(f"SELECT site_id, v AS site_id__id FROM ({_VOC('site_id', 5)})", "tr"),
     "frequency": _with("SELECT device_ip, count(*) AS device_ip__frequency FROM i GROUP BY 1", "i"),
     "distinct_counts": _with("SELECT device_ip, count(DISTINCT a) + max(CAST(a IS NULL AS BIGINT)) AS apps__raw, count(DISTINCT site_id) AS sites__raw FROM (SELECT *, nullif(app_id, 'app_none') AS a FROM i) GROUP BY 1", "i"),
@@ -288,6 +290,7 @@ SQL: dict[str, str] = {
     "submission_check": _with("SELECT count(*) AS rows, count(DISTINCT id) AS ids, count(*) FILTER (p IS NULL OR isnan(p)) AS bad FROM comp", "comp"),
     "raw_report": _with(f"SELECT count(*) AS rows, min(hour) AS first_hour, max(hour) AS last_hour, round(avg(click), 9) AS click_rate, {_CARD} FROM i", "i"),
     "dataset_report": _with("SELECT CASE WHEN scoring THEN 'scoring' ELSE 'training' END AS split, count(*) AS rows, round(avg(click), 9) AS click_rate, min(hour_no) AS first_hour, max(hour_no) AS last_hour, count(DISTINCT site_id) + count(DISTINCT app_id) AS cardinality FROM i GROUP BY 1", "i"),
+    "report_json": _with("SELECT CASE WHEN scoring THEN 'scoring' ELSE 'training' END AS split, count(*) AS rows, round(avg(click), 9) AS click_rate, min(hour_no) AS first_hour, max(hour_no) AS last_hour, count(DISTINCT site_id) + count(DISTINCT app_id) AS cardinality FROM i GROUP BY 1", "i"),
     "row_losses": _with(f"SELECT row_index, round({_LOSS('p1')}, 6) AS loss FROM sc", "sc"),
     "eval_metrics": _with(f"SELECT count(*) AS rows, round(avg({_LOSS('p1')}), 6) AS logloss, round(avg((p1 - click) ** 2), 6) AS brier FROM i", "i"),
     "roc_auc": _with("SELECT round(sum(pos * (b + neg / 2e0)) / (sum(pos) * sum(neg)), 9) AS roc_auc FROM (SELECT pos, neg, sum(neg) OVER (ORDER BY p1) - neg AS b FROM (SELECT p1, sum(click) AS pos, sum(1 - click) AS neg FROM i GROUP BY 1))", "i"),

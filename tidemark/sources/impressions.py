@@ -56,9 +56,11 @@ def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one where that is unset."""
+    """A new folder below ``spark.checkpoint.dir``; a temporary one where that is unset, in local mode only."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
@@ -115,3 +117,35 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     """``file, bytes, sha256`` of every Parquet file below ``path``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def inventory(spark: SparkSession, path: str) -> DataFrame:
+    """``file, bytes, sha256, rows`` of every Parquet file below ``path``."""
+    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    rows = spark.read.option("recursiveFileLookup", True).parquet(path).groupBy(name.alias("file")).agg(F.count("*").alias("rows"))
+    return checksums(spark, path).join(rows, "file", "left").withColumn("rows", F.coalesce("rows", F.lit(0).cast("bigint")))
+
+
+def changed_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """``file, state`` of files that are missing, new or altered against an earlier ``inventory``."""
+    now = inventory(spark, path).select("file", F.struct("bytes", "sha256", "rows").alias("now"))
+    then = manifest.select("file", F.struct("bytes", "sha256", "rows").alias("then"))
+    state = F.when(F.col("now").isNull(), "missing").when(F.col("then").isNull(), "new").when(F.col("now") != F.col("then"), "altered")
+    return now.join(then, "file", "full").select("file", state.alias("state")).filter("state IS NOT NULL")
+
+
+def write_lookup(lookup: DataFrame, keys: list[str], path: str) -> DataFrame:
+    """Writes a fitted lookup in the order of its keys, as zstd Parquet; returns the inventory.
+
+    Repeated keys raise before anything is written: a join with them would repeat rows.
+    """
+    repeated = lookup.groupBy(*keys).count().filter("count > 1").limit(1).count()
+    if repeated:
+        raise ValueError(f"the lookup repeats values of {keys}")
+    lookup.orderBy(*keys).write.option("compression", "zstd").parquet(path)
+    return inventory(lookup.sparkSession, path)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A report as JSON, a line for each row; nulls are written, so that every line has all names."""
+    report.write.option("ignoreNullFields", False).json(path)
