@@ -1,8 +1,8 @@
 """Queries of the training-data operators and their SQL."""
 
-from tidemark.llm import bpe, html_text, jaccard_join, lm_scoring, media, mixing, packing, quality, substring_dedup, toxicity, url_filters
+from tidemark.llm import bpe, collocations, html_text, jaccard_join, lm_scoring, media, mixing, packing, prefix_trie, quality, substring_dedup, toxicity, url_filters
 
-MODULES = (packing, quality, lm_scoring, substring_dedup, media, toxicity, bpe, html_text, url_filters, jaccard_join, mixing)
+MODULES = (packing, quality, lm_scoring, substring_dedup, media, toxicity, bpe, html_text, url_filters, jaccard_join, prefix_trie, mixing, collocations)
 
 
 def queries():
