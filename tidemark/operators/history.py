@@ -1,7 +1,8 @@
 """Causal history. Labels count once their hour is complete.
 
-Impression counters are windows over rows. Click counters work on hourly sums, which are far
-fewer than rows, and are joined back by key and hour.
+Impression counters number rows inside segments of a key and add the sums of earlier segments.
+Click counters work on hourly sums, which are far fewer than rows, and are joined back by key and
+hour.
 """
 
 from __future__ import annotations
@@ -12,21 +13,42 @@ from pyspark.sql import functions as F
 from tidemark.functions.rowlocal import logit
 
 
-def impression_history(rows: DataFrame, key: str, time: str = "hour_no", order: str = "row_index") -> DataFrame:
-    """Earlier rows of the key, hours since the last of them, earlier rows in the hour; scoring rows come last."""
-    by_key = Window.partitionBy(key).orderBy(time, "scoring", order)
-    by_hour = Window.partitionBy(key, time).orderBy("scoring", order)
-    return rows.withColumns(
-        {
-            "prior_impressions": (F.row_number().over(by_key) - 1).cast("bigint"),
-            "hours_since_previous": F.coalesce(F.col(time) - F.lag(time).over(by_key), F.lit(0)).cast("bigint"),
-            "prior_in_hour": (F.row_number().over(by_hour) - 1).cast("bigint"),
-        }
+#: Orders of a key's rows in one hour that are numbered together.
+SLICE = 1 << 20
+
+
+def impression_history(rows: DataFrame, key: str, time: str = "hour_no", order: str = "row_index", width: int = SLICE) -> DataFrame:
+    """Earlier rows of the key, hours since the last of them, earlier rows in the hour; scoring rows come last.
+
+    A segmented scan: rows are numbered inside segments (key, hour, scoring, ``width`` orders) only,
+    and a segment starts at the prefix sums of its key's earlier segments. So a key with most of
+    the log is as many tasks as it has segments. Rows with equal keys, nulls included, belong together.
+    """
+    names = [key, time, "scoring", "__slice"]
+    cut = rows.withColumn("__slice", F.floor(F.col(order) / width)).withColumn("__segment", F.struct(*names))
+    totals = cut.groupBy("__segment").agg(F.count("*").alias("__n")).select("__segment", "__n", *[F.col(f"__segment.{c}").alias(c) for c in names])
+    by_key = Window.partitionBy(key).orderBy(time, "scoring", "__slice")
+    by_hour = Window.partitionBy(key, time).orderBy("scoring", "__slice")
+    starts = totals.select(
+        "__segment",
+        (F.sum("__n").over(by_key) - F.col("__n")).alias("__before"),
+        (F.sum("__n").over(by_hour) - F.col("__n")).alias("__inside"),
+        # the hour of the last row outside this hour
+        F.max(time).over(Window.partitionBy(key).orderBy(time).rangeBetween(Window.unboundedPreceding, -1)).alias("__last"),
+    )
+    place = F.row_number().over(Window.partitionBy("__segment").orderBy(order)) - 1
+    numbered = cut.withColumn("__place", place).join(starts, "__segment")
+    first = F.col("__inside") + F.col("__place") == 0
+    return numbered.select(
+        *rows.columns,
+        (F.col("__before") + F.col("__place")).cast("bigint").alias("prior_impressions"),
+        F.when(first, F.coalesce(F.col(time) - F.col("__last"), F.lit(0))).otherwise(0).cast("bigint").alias("hours_since_previous"),
+        (F.col("__inside") + F.col("__place")).cast("bigint").alias("prior_in_hour"),
     )
 
 
-def click_state(rows: DataFrame, key: str, bits: int = 4, time: str = "hour_no", label: str = "click") -> DataFrame:
-    """Per key and hour that has rows: the labelled past before that hour."""
+def click_hours(rows: DataFrame, key: str, bits: int = 4, time: str = "hour_no", label: str = "click") -> DataFrame:
+    """Per key and hour that has rows: the labelled past before that hour, and as ``after`` the past with it."""
     known = ~F.col("scoring")
     hourly = rows.groupBy(key, time).agg(F.count_if(known).alias("n"), F.coalesce(F.sum(F.when(known, F.col(label))), F.lit(0)).cast("bigint").alias("pos"))
     w = Window.partitionBy(key).orderBy(time)
@@ -38,18 +60,26 @@ def click_state(rows: DataFrame, key: str, bits: int = 4, time: str = "hour_no",
         pattern = pattern + F.coalesce(hit, F.lit(0)) * (1 << d)
     code = F.least(F.col(time) - first + 1, F.lit(bits)) * (1 << bits) + pattern
     hourly = hourly.withColumns({"cum": F.sum("n").over(here), "code": F.when(F.col("n") > 0, code)})
-    n, pos = (F.coalesce(F.sum(c).over(past), F.lit(0)) for c in ("n", "pos"))
     clicked = F.col("pos") > 0
-    return hourly.select(
-        key,
-        time,
-        n.alias("prior_labelled"),
-        pos.alias("prior_clicks"),
-        (n - pos).alias("prior_nonclicks"),
-        F.coalesce(F.col(time) - F.max(F.when(clicked, F.col(time))).over(past), F.lit(0)).alias("hours_since_click"),
-        (n - F.coalesce(F.max(F.when(clicked, F.col("cum"))).over(past), F.lit(0))).alias("impressions_since_click"),
-        F.coalesce(F.last("code", ignorenulls=True).over(past), F.lit(0)).alias("click_pattern"),
-    )
+
+    def state(frame) -> dict[str, Column]:
+        n, pos = (F.coalesce(F.sum(c).over(frame), F.lit(0)) for c in ("n", "pos"))
+        return {
+            "prior_labelled": n,
+            "prior_clicks": pos,
+            "prior_nonclicks": n - pos,
+            "last_click": F.max(F.when(clicked, F.col(time))).over(frame),
+            "impressions_since_click": n - F.coalesce(F.max(F.when(clicked, F.col("cum"))).over(frame), F.lit(0)),
+            "click_pattern": F.coalesce(F.last("code", ignorenulls=True).over(frame), F.lit(0)),
+        }
+
+    return hourly.select(key, time, *[c.alias(n) for n, c in state(past).items()], F.struct(*[c.alias(n) for n, c in state(here).items()]).alias("after"))
+
+
+def click_state(rows: DataFrame, key: str, bits: int = 4, time: str = "hour_no", label: str = "click") -> DataFrame:
+    """Per key and hour that has rows: the labelled past before that hour."""
+    since = F.coalesce(F.col(time) - F.col("last_click"), F.lit(0)).alias("hours_since_click")
+    return click_hours(rows, key, bits, time, label).select(key, time, "prior_labelled", "prior_clicks", "prior_nonclicks", since, "impressions_since_click", "click_pattern")
 
 
 def click_history(rows: DataFrame, key: str, bits: int = 4, time: str = "hour_no") -> DataFrame:

@@ -46,6 +46,26 @@ def covariate_lookup(population: DataFrame, key: str, frequency: bool, distinct:
     return population.groupBy(key).agg(*outputs)
 
 
+def distinct_sketches(df: DataFrame, key: str, columns: dict[str, str], time: str = "hour_no", precision: int = 12) -> DataFrame:
+    """``key, <time>, <name>__sketch``: a HyperLogLog of each key, hour and column, for ``estimated``.
+
+    Sketches of hours add up to those of any window and population, where exact counts cannot. The
+    standard error is about 1.04 / sqrt(2 ** precision): 1.6 % at 12, 0.8 % at 14.
+    """
+    text = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n"))  # noqa: E731  null is a value
+    return df.groupBy(key, time).agg(*[F.hll_sketch_agg(text(c), precision).alias(f"{n}__sketch") for n, c in columns.items()])
+
+
+def estimated(sketches: DataFrame, key: str, start: int | None = None, end: int | None = None, time: str = "hour_no") -> DataFrame:
+    """``key, <name>__raw``: about how many distinct values the hours ``start`` to before ``end`` have."""
+    if start is not None:
+        sketches = sketches.filter(F.col(time) >= start)
+    if end is not None:
+        sketches = sketches.filter(F.col(time) < end)
+    names = [c.removesuffix("__sketch") for c in sketches.columns if c.endswith("__sketch")]
+    return sketches.groupBy(key).agg(*[F.hll_sketch_estimate(F.hll_union_agg(f"{n}__sketch")).alias(f"{n}__raw") for n in names])
+
+
 def covariate_features(df: DataFrame, lookups: dict[str, DataFrame]) -> DataFrame:
     """log1p of every lookup output; 0 where the key is unknown."""
     for key, lookup in lookups.items():

@@ -22,10 +22,28 @@ def eval_metrics(df: DataFrame, y: str = "click", p: str = "p1") -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.avg(loss(F.col(y), F.col(p))).alias("logloss"), F.avg((q - F.col(y)) ** 2).alias("brier"))
 
 
+def score_ranges(scores: DataFrame, column: str, ranges: int) -> DataFrame:
+    """``r``: which of at most ``ranges`` ranges of about as many rows each a value lies in.
+
+    The edges are quantiles of a mergeable sketch, at most ``ranges`` numbers; equal values share a range.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    inner = sorted(set(scores.stat.approxQuantile(column, [i / ranges for i in range(1, ranges)], 0.5 / ranges)))
+    splits = [-float("inf"), *inner, float("inf")]
+    if len(splits) < 3:
+        return scores.withColumn("r", F.lit(0).cast("bigint"))
+    return Bucketizer(splits=splits, inputCol=column, outputCol="r").transform(scores).withColumn("r", F.col("r").cast("bigint"))
+
+
 def roc_auc(df: DataFrame, y: str = "click", p: str = "p1", ranges: int = 1024) -> DataFrame:
-    """Ties share their rank; NaN with one class. Only ranges of scores, then scores of a range, are ordered."""
+    """Ties share their rank; NaN with one class. Only ranges of scores, then scores of a range, are ordered.
+
+    Ranges hold equally many distinct scores, so that crowded scores spread over all tasks too.
+    """
     q = clipped(F.col(p))
-    scores = df.groupBy(q.alias("s")).agg(F.sum(y).cast("bigint").alias("pos"), F.sum(1 - F.col(y)).cast("bigint").alias("neg")).withColumn("r", F.floor(F.col("s") * ranges))
+    scores = df.groupBy(q.alias("s")).agg(F.sum(y).cast("bigint").alias("pos"), F.sum(1 - F.col(y)).cast("bigint").alias("neg"))
+    scores = score_ranges(scores, "s", ranges)
     below = scores.groupBy("r").agg(F.sum("neg").alias("n")).select(F.col("r").alias("br"), (F.sum("n").over(Window.orderBy("r")) - F.col("n")).alias("base"))
     inside = F.sum("neg").over(Window.partitionBy("r").orderBy("s")) - F.col("neg")
     ranked = scores.withColumn("inside", inside).join(F.broadcast(below), F.col("r") == F.col("br"))
@@ -51,6 +69,21 @@ def paired_losses(df: DataFrame, candidate: str, incumbent: str, y: str = "click
     return a.join(b, row).withColumn("difference", F.col("candidate") - F.col("incumbent"))
 
 
+def paired_mismatch(candidate: DataFrame, incumbent: DataFrame, row: str = "row_index", label: str = "click") -> DataFrame:
+    """How two models' rows fit before their losses are paired: on both sides, on one alone, repeated, with another label."""
+    side = lambda df, name: df.groupBy(row).agg(F.count("*").alias(f"n_{name}"), F.min(label).alias(f"least_{name}"), F.max(label).alias(f"most_{name}"))
+    both = side(candidate, "a").join(side(incumbent, "b"), row, "full_outer")
+    same = (F.col("least_a") == F.col("most_b")) & (F.col("most_a") == F.col("least_b"))
+    once = (F.col("n_a") == 1) & (F.col("n_b") == 1)
+    return both.agg(
+        F.count_if(once & same).alias("matched"),
+        F.count_if(F.col("n_b").isNull()).alias("only_candidate"),
+        F.count_if(F.col("n_a").isNull()).alias("only_incumbent"),
+        F.count_if((F.col("n_a") > 1) | (F.col("n_b") > 1)).alias("repeated"),
+        F.count_if(once & ~same).alias("other_label"),
+    )
+
+
 def block_means(losses: DataFrame, rows: int, block_rows: int, index: str = "dense_index") -> DataFrame:
     """Mean difference of each of ceil(rows / block_rows) contiguous, nearly equal blocks."""
     k = max(1, min(rows, -(-rows // block_rows)))

@@ -13,6 +13,7 @@ from tidemark.operators import history as Y
 from tidemark.operators import lookups as L
 from tidemark.operators import metrics as E
 from tidemark.operators import profiles as P
+from tidemark.plans import datasets as D
 from tidemark.plans.recipe import Bucket, Recipe
 from tidemark.sources import impressions as S
 from tidemark.streaming import history as T
@@ -82,6 +83,24 @@ def shard_stats(spark, sf):
     return spark.read.parquet(folder).groupBy("shard").agg(F.count("*").alias("rows"), F.min("row_index").alias("first_row"), F.max("row_index").alias("last_row"))
 
 
+def shard_manifest(spark, sf):
+    """The log committed as parts of 4,096 rows: what the manifest says of each, and that all can be read back."""
+    folder = S.shared_folder(spark)
+    log_ = S.dense_index(log(spark, sf), "hour_no", "row_index", name="place")
+    manifest = S.write_parts(log_.withColumn("place", F.col("place").cast("bigint")), folder, "place", 4096)
+    back = S.read_parts(spark, folder).groupBy(F.floor(F.col("place") / 4096).cast("int").alias("part")).agg(F.sum("click").cast("bigint").alias("clicks"))
+    return manifest.select("part", "file", "rows", "first_row", "last_row").join(back, "part")
+
+
+def raw_row_index(spark, sf):
+    """The log as raw files, the later half gzipped, numbered in source order as they are scanned."""
+    folder, df = S.shared_folder(spark), log(spark, sf)
+    a, b = hours(df)
+    for k, (part, codec) in enumerate(((F.col("hour_no") < (a + b) // 2, "none"), (F.col("hour_no") >= (a + b) // 2, "gzip"))):
+        df.filter(part).orderBy("row_index").select(*[f.name for f in S.RAW_SCHEMA]).write.option("header", True).option("compression", codec).csv(f"{folder}/{k}")
+    return S.source_order(S.scan_raw(spark, [f"{folder}/0", f"{folder}/1"])).select("id", "source_index")
+
+
 def artifact_checksums(spark, sf):
     folder = S.shared_folder(spark)
     log(spark, sf).select("row_index", "click").write.parquet(folder)
@@ -246,6 +265,21 @@ def covariate_lookup(spark, sf):
     return L.covariate_lookup(split(log(spark, sf))[0], "device_ip", True, {"ip_apps": "app_id", "ip_models": "device_model"})
 
 
+def approx_distinct_counts(spark, sf):
+    """Distinct values from hourly sketches, for the training hours and for all: beside the exact counts, and whether they agree within 5 %."""
+    df = log(spark, sf)
+    _, end = hours(df)
+    sketches = L.distinct_sketches(df, "device_ip", {"apps": "app_id", "models": "C14"})
+    kinds = ((end - 24, "train", split(df)[0]), (end, "all", df))
+    out = None
+    for until, name, population in kinds:
+        exact = L.covariate_lookup(population, "device_ip", False, {"apps": "app_id", "models": "C14"}).withColumnsRenamed({"apps__raw": "apps", "models__raw": "models"})
+        near = [F.abs(F.col(f"{c}__raw") - F.col(c)) <= F.greatest(0.05 * F.col(c), F.lit(1)) for c in ("apps", "models")]
+        one = exact.join(L.estimated(sketches, "device_ip", end=until), "device_ip").select(F.lit(name).alias("population"), "device_ip", "apps", "models", (near[0] & near[1]).alias("near"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def covariate_population(spark, sf):
     train, score = split(log(spark, sf))
     return L.covariate_lookup(train.unionByName(score), "device_ip", True, {"ip_apps": "app_id"})
@@ -493,6 +527,11 @@ def raw_report(spark, sf):
     return df.agg(F.count("*").alias("rows"), F.min("hour").alias("first_hour"), F.max("hour").alias("last_hour"), r(F.avg("click"), 9).alias("click_rate"), *[L.distinct_with_null(c).alias(f"{c}_cardinality") for c in S.STRINGS])
 
 
+def raw_column_report(spark, sf):
+    """Every raw column's values, nulls and most frequent value, from one pass."""
+    return S.column_report(S.raw_columns(log(spark, sf)), S.RAW_STRINGS)
+
+
 def dataset_report(spark, sf):
     df = log(spark, sf).withColumn("split", F.when(F.col("scoring"), "scoring").otherwise("training"))
     return df.groupBy("split").agg(F.count("*").alias("rows"), r(F.avg("click"), 9).alias("click_rate"), F.min("hour_no").alias("first_hour"), F.max("hour_no").alias("last_hour"), (F.countDistinct("site_id") + F.countDistinct("app_id")).alias("cardinality"))
@@ -587,6 +626,21 @@ def population_fingerprint(spark, sf):
     return df.groupBy("scoring").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("row_index", "id", "hour")).alias("content"), F.sha2(F.to_json(F.struct(F.min("hour_no").alias("a"), F.max("hour_no").alias("b"))), 256).alias("range"))
 
 
+def population_identity(spark, sf):
+    """An identity of training and scoring rows that sees their order and repeated rows."""
+    parts = []
+    for name, df in zip(("training", "scoring"), split(log(spark, sf)), strict=True):
+        placed = S.dense_index(df, "hour_no", "row_index", name="place")
+        parts.append(S.ordered_identity(placed.withColumn("place", F.col("place").cast("bigint")), "place", ["id", "hour", "site_id", "app_id", "device_id"]).withColumn("population", F.lit(name)))
+    return parts[0].unionByName(parts[1])
+
+
+def paired_mismatch(spark, sf):
+    """The rows of the composed predictions against those of the holdout."""
+    holdout = _holdout(spark, sf).select("row_index", "click")
+    return E.paired_mismatch(_composed(spark, sf).join(log(spark, sf).select("row_index", "click"), "row_index"), holdout)
+
+
 def ensemble_mean_logit(spark, sf):
     return log(spark, sf).select("row_index", r(E.mean_logit(None, ["p1", "p2"])).alias("p"))
 
@@ -677,6 +731,28 @@ def production_dataset(spark, sf):
     return _dataset(spark, sf, True)
 
 
+def _recipe_rows(spark, sf):
+    return R.crosses(R.time_features(users(spark, sf)), RECIPE.crosses)
+
+
+def _rounded(df):
+    lanes = {d[0]: d[1] for d in RECIPE.definitions()}
+    return df.select(*[r(c).alias(c) if lanes.get(c) == "numerical" else F.col(c) for c in df.columns])
+
+
+def evaluation_windows(spark, sf):
+    """All features of the contract in every walk-forward window and the final holdout of the labelled log."""
+    df = _recipe_rows(spark, sf).filter("NOT scoring")
+    return _rounded(D.dataset(df, RECIPE, D.folds(Y.windows(df, HOLDOUT, FOLDS, FOLD_HOURS, MINIMUM))))
+
+
+def production_window(spark, sf):
+    """The same features for all labelled rows and the scoring rows; frequencies and distinct counts are of both."""
+    df = _recipe_rows(spark, sf)
+    span = df.agg(F.min("hour_no").alias("a"), F.min(F.when(F.col("scoring"), F.col("hour_no"))).alias("e"), F.max("hour_no").alias("b")).first()
+    return _rounded(D.dataset(df.withColumn("click", F.when(~F.col("scoring"), F.col("click"))), RECIPE, [D.Fold("production", span["a"], span["e"], span["b"] + 1, True)]))
+
+
 def _dataset(spark, sf, transductive):
     df = R.crosses(R.time_features(users(spark, sf)), RECIPE.crosses)
     train, score = split(df)

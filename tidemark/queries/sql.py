@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from tidemark.plans.recipe import Recipe
-from tidemark.sources.impressions import STRINGS
+from tidemark.queries.dataset_sql import parts as dataset_parts
+from tidemark.sources.impressions import PRIME, RAW_STRINGS, STRINGS, powers
 
 RECIPE = Recipe()
 
@@ -326,6 +327,53 @@ FROM (SELECT *, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour_no FROM events)
     ),
     "stream_enrich": _with("SELECT row_index, coalesce(device_ip__frequency, 0) AS frequency, coalesce(ip_apps__raw, 0) AS apps, coalesce(positive, 0) AS positive, coalesce(stats.n, 0) AS n FROM i LEFT JOIN cov USING (device_ip) LEFT JOIN stats USING (site_id)", "i", "cov", "stats"),
 }
+SQL["shard_manifest"] = _with(
+    """SELECT CAST(r // 4096 AS INTEGER) AS part, concat('part-', lpad(CAST(r // 4096 AS VARCHAR), 5, '0'), '.parquet') AS file, count(*) AS rows, min(r) AS first_row, max(r) AS last_row, CAST(sum(click) AS BIGINT) AS clicks
+ FROM (SELECT click, row_number() OVER (ORDER BY hour_no, row_index) - 1 AS r FROM i) GROUP BY 1, 2""",
+    "i",
+)
+SQL["raw_row_index"] = _with("SELECT id, row_number() OVER (ORDER BY row_index) - 1 AS source_index FROM i", "i")
+SQL["approx_distinct_counts"] = _with(
+    "SELECT 'train' AS population, device_ip, count(DISTINCT app_id) AS apps, count(DISTINCT C14) AS models, true AS near FROM tr GROUP BY 2 UNION ALL SELECT 'all', device_ip, count(DISTINCT app_id), count(DISTINCT C14), true FROM i GROUP BY 2", "i", "tr"
+)
+_RAW = """SELECT *, 'c1_' || CAST(regexp_extract(C20, '[0-9]+$') AS INTEGER) % 3 AS C1, CASE WHEN device_id = 'D_UNKNOWN' THEN '1' ELSE '0' END AS device_type, CASE WHEN site_id = 'S_APP' THEN 'c15_320' ELSE 'c15_300' END AS C15,
+ CASE WHEN C21 = 'c21_0' THEN 'c16_250' ELSE 'c16_50' END AS C16, 'c18_' || CAST(regexp_extract(C17, '[0-9]+$') AS INTEGER) % 4 AS C18,
+ CASE WHEN CAST(regexp_extract(C14, '[0-9]+$') AS INTEGER) % 7 <> 0 THEN 'c19_' || CAST(regexp_extract(C14, '[0-9]+$') AS INTEGER) % 9 END AS C19 FROM i"""
+SQL["raw_column_report"] = _with(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) AS \"distinct\", CAST(coalesce(sum(n) FILTER (v IS NULL), 0) AS BIGINT) AS nulls, arg_min(v, p) AS top, max(n) AS top_rows FROM (SELECT *, row_number() OVER (ORDER BY n DESC, v NULLS LAST) AS p FROM (SELECT {c} AS v, count(*) AS n FROM ({_RAW}) GROUP BY 1))"
+        for c in RAW_STRINGS
+    ).replace("arg_min(v, p)", "max(v) FILTER (p = 1)"),
+    "i",
+)
+
+
+def _identity_sql() -> str:
+    """Each digit of a row's place multiplies its hash by a power of the base."""
+    value = "CAST(('0x' || md5(" + " || '|' || ".join(f"coalesce('v' || {c}, 'n')" for c in ("id", "hour", "site_id", "app_id", "device_id")) + ")[1:15])::UBIGINT AS HUGEINT)"
+    step = f"SELECT s, r, {value} AS v FROM (SELECT *, scoring AS s, row_number() OVER (PARTITION BY scoring ORDER BY hour_no, row_index) - 1 AS r FROM i)"
+    for k, digits in enumerate(powers()):
+        step = f"SELECT s, r, v * ({digits}::HUGEINT[])[CAST((r // {64**k}) % 64 + 1 AS BIGINT)] % {PRIME} AS v FROM ({step})"
+    return f"SELECT CASE WHEN s THEN 'scoring' ELSE 'training' END AS population, count(*) AS rows, CAST(sum(v) % {PRIME} AS BIGINT) AS identity FROM ({step}) GROUP BY 1"
+
+
+SQL["population_identity"] = _with(_identity_sql(), "i")
+SQL["paired_mismatch"] = _with("SELECT count(*) FILTER (a AND b) AS matched, count(*) FILTER (a AND NOT b) AS only_candidate, count(*) FILTER (b AND NOT a) AS only_incumbent, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS other_label FROM (SELECT comp.row_index IS NOT NULL AS a, coalesce(scoring, false) AS b FROM comp FULL JOIN sc USING (row_index))", "comp", "sc")
+
+
+def _dataset_sql(windows: str, everything: bool, rows: str) -> str:
+    """The windows of ``rows`` (a condition on the log), with their own names for the subqueries."""
+    given, last = dataset_parts(RECIPE, windows, everything)
+    crossed = "device_ip || chr(31) || device_model AS ip_model, device_ip || chr(31) || device_model || chr(31) || site_id AS ip_model_site"
+    d = f"SELECT * REPLACE (CASE WHEN NOT scoring THEN click END AS click), {crossed} FROM u WHERE {rows}"
+    named = "".join(f",\n{n} AS MATERIALIZED ({body})" for n, body in {"d": d, **given}.items())
+    return _with("", "u").rstrip() + named + "\n" + last
+
+
+_FOLDS = """SELECT CASE WHEN f = 3 THEN 'final_holdout' ELSE 'walk_forward_' || f END AS name, f AS w, a, s AS e, CASE WHEN f = 3 THEN b + 1 ELSE s + 48 END AS v
+ FROM (SELECT a, b, f, CASE WHEN f = 3 THEN b - 23 ELSE b - 23 - (3 - f) * 48 END AS s FROM (SELECT min(hour_no) AS a, max(hour_no) AS b FROM d), (SELECT unnest(range(4)) AS f))"""
+SQL["evaluation_windows"] = _dataset_sql(_FOLDS, False, "NOT scoring")
+SQL["production_window"] = _dataset_sql("SELECT 'production' AS name, 0 AS w, min(hour_no) AS a, min(hour_no) FILTER (scoring) AS e, max(hour_no) + 1 AS v FROM d", True, "true")
 # the same history, by the table's own user, for the stream
 _STREAM_PARTS = {"hours": _hours_sql("user_id").replace("FROM u", "FROM (SELECT e.user_id, i.hour_no, scoring, click FROM i JOIN events e ON event_id = row_index)")}
 
