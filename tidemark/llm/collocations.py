@@ -28,9 +28,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BATCH_ROWS, batches_of, discard, shared_folder, table, written
+from tidemark.llm.common import BATCH_ROWS, batches_of, discard, release, shared_folder, table, written
 
-MINIMUM, OVERLAP, TOP, SHARDS = 10, 50, 2000, 4
+MINIMUM, OVERLAP, TOP, SHARDS = 10, 50, 2000, 2
 #: Bytes of text after which a block ends.
 BLOCK_BYTES = 8 << 20
 #: Bits of a Bloom filter: at most, and for each of its keys.
@@ -86,7 +86,9 @@ def _encode(shards: int):
                 if size >= BLOCK_BYTES:
                     yield from flush(block, texts)
                     block, size, texts = block + 1, 0, {}
+                    release()
         yield from flush(block, texts)
+        release()
 
     return run
 
@@ -176,6 +178,7 @@ def _count(step: int, shards: int, filters):
                 b.append(ids[2:][three][where].astype(np.int32))
                 until.append(np.full(len(codes), 3 * shards, np.int32))
                 n.append(many)
+        release()  # what the block before has left
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "until": np.concatenate(until), "n": np.concatenate(n)})
 
     return run
