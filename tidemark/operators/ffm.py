@@ -29,9 +29,27 @@ def dot(x: str, y: str) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
 
 
+def packed(weights: DataFrame) -> DataFrame:
+    """``feature, w``: a feature's weights as a map from field to factors, one row a feature."""
+    return weights.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("field", "w"))).alias("w"))
+
+
 def score(rows: DataFrame, weights: DataFrame) -> DataFrame:
-    """``row_index, click, logit, p``; features or fields without weights are skipped."""
-    sums = pairs(rows, weights).groupBy("row_index").agg(F.sum(dot("wa", "wb") * F.col("a.value") * F.col("b.value")).alias("logit"))
+    """``row_index, click, logit, p``; features or fields without weights are skipped.
+
+    Each feature of a row fetches its packed weights once; pairs are formed inside the row.
+    """
+    each = rows.select("row_index", F.posexplode("features").alias("i", "x")).select("row_index", "i", F.col("x.feature").alias("feature"), "x.field", "x.value")
+    gathered = each.join(packed(weights), "feature").groupBy("row_index").agg(F.collect_list(F.struct("i", "field", "value", "w")).alias("fs"))
+    nothing = F.lit(0.0)
+
+    def pair(x: Column, y: Column) -> Column:
+        mine, other = F.try_element_at(x["w"], y["field"]), F.try_element_at(y["w"], x["field"])
+        both = F.aggregate(F.zip_with(mine, other, lambda p, q: p * q), nothing, lambda s, v: s + v)
+        return F.when((x["i"] < y["i"]) & (x["field"] != y["field"]), F.coalesce(x["value"] * y["value"] * both, nothing)).otherwise(nothing)
+
+    logit = F.aggregate("fs", nothing, lambda s, x: s + F.aggregate(F.col("fs"), nothing, lambda t, y: t + pair(x, y)))
+    sums = gathered.select("row_index", logit.alias("logit"))
     joined = rows.select("row_index", "click").join(sums, "row_index", "left").withColumn("logit", F.coalesce("logit", F.lit(0.0)))
     return joined.withColumn("p", 1 / (1 + F.exp(-F.col("logit"))))
 

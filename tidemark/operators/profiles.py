@@ -39,11 +39,17 @@ def identity_counts(df: DataFrame) -> DataFrame:
 
 def base_tokens(df: DataFrame, counts: dict[str, DataFrame], history: DataFrame, roles: Roles = Roles(), identity: int = 1000, threshold: int = 30) -> DataFrame:
     """``tokens array<bigint>`` of 15 fields. counts: by kind, ``key, n``; history: ``base_user, hour_no, history`` of known devices."""
-    key = {"device_id": "device_id", "device_ip": "device_ip", "user": "base_user", "user_hour": "user_hour"}
+    key = {"device_ip": "device_ip", "user": "base_user", "user_hour": "user_hour"}
     rows = df.withColumn("user_hour", F.concat_ws("-", "base_user", "hour"))
     for kind, column in key.items():
         one = counts[kind].select(F.col("key").alias(column), F.col("n").alias(f"n_{kind}"))
         rows = rows.join(one, column, "left")
+    # the unknown device is most rows: one number, and keys that meet nothing, in place of a hot key
+    unknown = counts["device_id"].filter(F.col("key") == roles.no_device).select("n").first()
+    known = F.when(F.col(roles.device) == roles.no_device, F.concat(F.lit("\x1f"), F.col("row_index").cast("string"))).otherwise(F.col(roles.device))
+    one = counts["device_id"].filter(F.col("key") != roles.no_device).select(F.col("key").alias("__device"), "n")
+    rows = rows.withColumn("__device", known).join(one, "__device", "left").drop("__device")
+    rows = rows.withColumn("n_device_id", F.when(F.col(roles.device) == roles.no_device, F.lit(unknown["n"] if unknown else None)).otherwise(F.col("n"))).drop("n")
     rows = rows.join(history, ["base_user", "hour_no"], "left")
     text = F.when(F.col(roles.device) != roles.no_device, F.coalesce("history", F.lit(""))).otherwise("")
     backed = lambda c: F.when(F.col(f"n_{c}") > identity, F.concat(F.lit(f"{c}-"), F.col(c))).otherwise(F.concat(F.lit(f"{c}-less-"), F.col(f"n_{c}").cast("string")))
@@ -70,6 +76,32 @@ def profile_edges(df: DataFrame, kind: str, field: str, names: dict[str, str], i
     return counted.select(F.lit(kind).alias("inventory"), F.col(user).alias("user"), F.lit(index).cast("bigint").alias("field"), "token", (norm * F.col("c") / length).alias("weight"), "first_row")
 
 
+def publisher_pairs(df: DataFrame, fields: tuple[str, ...] = ("pub_id", "pub_domain"), user: str = "profile_user", order: str = "row_index") -> DataFrame:
+    """``inventory, field, user, value, c, first_row``: rows of each user and publisher (or domain), from one pass."""
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])
+    rows = df.select(F.col("inventory_type").alias("inventory"), F.col(user).alias("user"), F.col(order).alias("o"), F.explode(each).alias("x"))
+    return rows.groupBy("inventory", "x.field", "user", "x.value").agg(F.count("*").alias("c"), F.min("o").alias("first_row"))
+
+
+def edges_of_pairs(pairs: DataFrame, names: dict[tuple[str, str], str], identity: int = 100, most_rows: int = 100, norm: float = 0.5) -> DataFrame:
+    """What ``profile_edges`` gives for every inventory and field, from ``publisher_pairs`` alone.
+
+    names: (inventory, field) -> the word its tokens begin with.
+    """
+    total = pairs.groupBy("inventory", "field", "value").agg(F.sum("c").alias("total"))
+    one = min(f for _, f in names)  # each row is in every field's pairs
+    few = pairs.filter(F.col("field") == one).groupBy("inventory", "user").agg(F.sum("c").alias("n")).filter(F.col("n") < most_rows).select("inventory", "user")
+    word = F.lit(None).cast("string")
+    for (kind, field), name in names.items():
+        word = F.when((F.col("inventory") == kind) & (F.col("field") == field), name).otherwise(word)
+    token = F.when(F.col("total") >= identity, F.concat(word, F.lit("-"), F.col("value"))).when(F.col("total") >= 2, F.concat(word, F.lit("-less-"), F.col("total").cast("string"))).otherwise(F.concat(word, F.lit("-less")))
+    joined = pairs.join(few, ["inventory", "user"], "left_semi").join(total, ["inventory", "field", "value"], "left").withColumn("token", token)
+    counted = joined.groupBy("inventory", "user", "field", "token").agg(F.sum("c").alias("c"), F.min("first_row").alias("first_row"))
+    length = F.sqrt(F.sum(F.col("c").cast("double") * F.col("c")).over(Window.partitionBy("inventory", "user", "field")))
+    index = F.when(F.col("field") == "pub_id", PUBLISHER_FIELD).otherwise(DOMAIN_FIELD).cast("bigint")
+    return counted.select("inventory", "user", index.alias("field"), "token", (norm * F.col("c") / length).alias("weight"), "first_row")
+
+
 def profile_vectors(edges: DataFrame) -> DataFrame:
     """``inventory, user, profile``: (field, feature, weight) by field and first row, weights of 5 decimals."""
     part = F.struct("field", "first_row", "token", hash_profile_token(F.col("token")).alias("feature"), F.bround("weight", 5).alias("value"))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import hashing as H
 from tidemark.functions import rowlocal as R
 from tidemark.operators import checks as C
+from tidemark.operators import baseline as B
 from tidemark.operators import ffm as M
+from tidemark.operators import ffm_fit as W
 from tidemark.operators import history as Y
 from tidemark.operators import lookups as L
 from tidemark.operators import metrics as E
@@ -452,13 +454,26 @@ def proxy_counts(spark, sf):
 
 
 def _sparse(spark, sf, history=True):
-    df = users(spark, sf)
-    return P.sparse_rows(_base_tokens(df), P.profile_vectors(_edges(df)), _history_tokens(df) if history else None)
+    """The sparse rows; the resolved log, its pairs, counts and histories are each made once and read from there."""
+    df = W.staged(users(spark, sf))
+    counts = W.staged(P.identity_counts(df))
+    proxy = (F.col("identity_kind") == "proxy") & (F.col("inventory_type") == "app")
+    # proxies and devices have names of their own, so one pass serves both
+    past = W.staged(Y.history_strings(df.filter((F.col("identity_kind") == "device") | proxy), "base_user", EVENTS))
+    tokens = P.base_tokens(df, {k: counts.filter(F.col("kind") == k).select("key", "n") for k in P.identity_columns()}, past, identity=BASE_IDENTITY, threshold=THRESHOLD)
+    names = {(kind, f): n[f] for kind, n in (("app", APP_NAMES), ("site", SITE_NAMES)) for f in n}
+    vectors = P.profile_vectors(P.edges_of_pairs(W.staged(P.publisher_pairs(df)), names, IDENTITY, FEW_ROWS))
+    if not history:
+        return P.sparse_rows(tokens, vectors)
+    proxies = P.proxy_rows(df)
+    own = P.history_tokens(proxies.select("row_index", "base_user", "hour_no"), proxies.groupBy("base_user").agg(F.count("*").alias("n")), past, THRESHOLD)
+    return P.sparse_rows(tokens, vectors, own)
 
 
 def sparse_rows(spark, sf):
-    each = _sparse(spark, sf).select("row_index", F.explode("features").alias("x"))
-    return each.groupBy("row_index").agg(F.count("*").alias("entries"), F.sum("x.feature").alias("feature_sum"), F.sum("x.field").alias("field_sum"), r(F.sum("x.value"), 4).alias("weight_sum"))
+    total = lambda c, zero: F.aggregate("features", zero, lambda s, x: s + x[c])
+    whole = F.lit(0).cast("bigint")
+    return _sparse(spark, sf).select("row_index", F.size("features").cast("bigint").alias("entries"), total("feature", whole).alias("feature_sum"), total("field", whole).alias("field_sum"), r(total("value", F.lit(0.0)), 4).alias("weight_sum"))
 
 
 def cold_publisher_rows(spark, sf):
@@ -684,6 +699,58 @@ def baseline_ctr(spark, sf):
     return model.transform(hashed.filter("scoring")).select("row_index", "click", vector_to_array("probability")[1].alias("p"))
 
 
+SPECIAL = {"app": "app_special", "site": "site_special"}
+
+
+def _sources(spark, sf):
+    """The rows of the four sources: both inventories' single tokens and profiles, app rows with histories, site rows with masked publishers."""
+    rows = W.staged(_sparse(spark, sf))
+    plain = F.filter("features", lambda x: x["field"] < P.HISTORY_FIELD)
+    cold = P.cold_publisher(rows.withColumn("features", plain)).select("row_index", F.col("features").alias("cold"))
+    one = lambda name, features: F.struct(F.lit(name).alias("source"), features.alias("features"))
+    kinds = F.when(F.col("inventory_type") == "app", F.array(one("app_baseline", plain), one("app_special", F.col("features")))).otherwise(F.array(one("site_baseline", plain), one("site_special", F.col("cold"))))
+    both = rows.join(cold, "row_index").select("row_index", "click", "scoring", F.explode(kinds).alias("x"))
+    return W.staged(both.select("x.source", "row_index", "click", "scoring", "x.features"))
+
+
+def source_fit_losses(spark, sf):
+    """Log loss of the four sources' models over their training rows, epoch by epoch."""
+    return W.fit(_sources(spark, sf).filter("NOT scoring"))[1]
+
+
+def _fitted(spark, sf):
+    """Composed predictions of the four fitted sources."""
+    rows = _sources(spark, sf)
+    state, _ = W.fit(rows.filter("NOT scoring"))
+    scored = W.staged(W.predict(rows.filter("scoring"), state))
+    of = lambda name, column: scored.filter(F.col("source") == name).select("row_index", F.col("p").alias(column))
+    df = W.staged(users(spark, sf).filter("inventory_type = 'app' OR scoring OR inventory_type = 'site'").select("row_index", "id", "hour_no", "click", "scoring", "inventory_type", "identity_kind", "base_user", "publisher_id"))
+    use = {"app": _history_tokens(df).select("row_index", F.col("use_history").alias("selected")), "site": P.cold_selector(df).select("row_index", F.col("use_cold").alias("selected"))}
+    sides = []
+    for kind, chosen in use.items():
+        side = df.filter((F.col("inventory_type") == kind) & F.col("scoring")).select("row_index", "id").join(chosen, "row_index", "left")
+        side = side.join(of(f"{kind}_special", "special"), "row_index", "left").join(of(f"{kind}_baseline", "baseline"), "row_index", "left")
+        sides.append(side.withColumn("selected", F.coalesce("selected", F.lit(False))))
+    return P.compose(*sides)
+
+
+def fitted_predictions(spark, sf):
+    return _fitted(spark, sf).withColumn("p", r("p"))
+
+
+def fitted_prediction_stats(spark, sf):
+    """By source and for all: rows, ids, range, mean and the first row with a bad probability."""
+    out = _fitted(spark, sf).rollup("source").agg(F.count("*").alias("rows"), F.countDistinct("id").alias("ids"), r(F.min("p")).alias("least"), r(F.max("p")).alias("most"), r(F.avg("p")).alias("mean"), W.one_value("p").alias("first_bad_row"))
+    return out.withColumn("source", F.coalesce("source", F.lit("all")))
+
+
+def sparse_fold_losses(spark, sf):
+    """A factorization machine on the sparse rows of each walk-forward fold: its log loss there, beside that of the training click rate."""
+    rows = W.staged(_sparse(spark, sf, False).join(log(spark, sf).select("row_index", "hour_no"), "row_index"))
+    table = Y.windows(rows, HOLDOUT, FOLDS, FOLD_HOURS, MINIMUM).filter("NOT final_holdout")
+    return E.fold_losses(B.fold_predictions(rows, table), {"model": "p", "click_rate": "rate"}).select("window", "rows", r("model").alias("model"), r("click_rate").alias("click_rate"))
+
+
 # ---- streams
 
 
