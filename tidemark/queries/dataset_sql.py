@@ -72,4 +72,4 @@ def parts(recipe: Recipe, windows: str, everything: bool) -> tuple[dict[str, str
     circle = "hour(ts) * (2 * pi() / 24)"
     names |= {"hour_of_day": "hour(ts)", "day_of_week": "isodow(ts)", "hour_of_week": "(isodow(ts) - 1) * 24 + hour(ts)", "hour_sin": f"sin({circle})", "hour_cos": f"cos({circle})"}
     listed = ", ".join(f"round({names[n]}, 6) + 0e0 AS {n}" if lane == "numerical" else f"CAST({names[n]} AS BIGINT) AS {n}" for n, lane, *_ in recipe.definitions())
-    return out, f'SELECT wr.row_index, "window", role, wr.click, {listed} FROM wr {" ".join(joins)}'
+    return out, f'SELECT wr.row_index, "window", role, CAST(wr.click AS DOUBLE) AS click, {listed} FROM wr {" ".join(joins)}'

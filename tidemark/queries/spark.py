@@ -19,6 +19,7 @@ from tidemark.plans import datasets as D
 from tidemark.plans.recipe import Bucket, Recipe
 from tidemark.sources import impressions as S
 from tidemark.streaming import history as T
+from tidemark.streaming import timed as T2
 
 RECIPE = Recipe()
 # Parameters of the queries, the same in the SQL.
@@ -30,6 +31,7 @@ HOLDOUT, FOLDS, FOLD_HOURS, MINIMUM = 24, 3, 48, 48
 COEFFICIENTS, OFFSET, BUCKETS = (1103515245 % 2**21, 69069, 1664525 % 2**21, 22695477 % 2**21), 12345, 1 << 20
 APP_NAMES, SITE_NAMES = {"pub_id": "app_id", "pub_domain": "app_domain"}, {"pub_id": "site_id", "pub_domain": "site_domain"}
 FFM_FACTORS, FFM_FIELDS = 4, 19
+ALLOWED = 48
 
 
 def log(spark: SparkSession, sf: str) -> DataFrame:
@@ -777,6 +779,17 @@ def stream_late_rows(spark, sf):
     return late.groupBy(F.col("batch").cast("bigint").alias("batch")).agg(F.count("*").alias("late_rows"), F.max("hour_no").alias("last_hour"))
 
 
+def stream_timed_history(spark, sf):
+    """Three parts, each over the whole time, arrive one by one with a restart between: histories in closed hours, and late rows."""
+    folder, events = S.shared_folder(spark), spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = events.select("user_id", "event_id", "ts", "event_type")
+    last = log(spark, sf).agg(F.max("hour_no").alias("h")).first()["h"]
+    rows.limit(0).write.parquet(folder)  # the folder must be there
+    parts = [rows.filter(F.col("event_id") % 3 == k) for k in range(3)]
+    stream = lambda: T2.timed_history(spark.readStream.schema(rows.schema).parquet(folder), ALLOWED, last - 23, bits=BITS)
+    return T2.run_arrivals(stream, [lambda p=p: p.write.mode("append").parquet(folder) for p in parts]).fillna(0)  # late rows have no history
+
+
 def stream_enrich(spark, sf):
     train, _ = split(log(spark, sf))
     lookups = {"device_ip": L.covariate_lookup(train, "device_ip", True, {"ip_apps": "app_id"}), "site_id": L.target_stats(train, "site_id")}
@@ -804,7 +817,7 @@ def _recipe_rows(spark, sf):
 
 def _rounded(df):
     lanes = {d[0]: d[1] for d in RECIPE.definitions()}
-    return df.select(*[r(c).alias(c) if lanes.get(c) == "numerical" else F.col(c) for c in df.columns])
+    return df.withColumn("click", F.col("click").cast("double")).select(*[r(c).alias(c) if lanes.get(c) == "numerical" else F.col(c) for c in df.columns])
 
 
 def evaluation_windows(spark, sf):

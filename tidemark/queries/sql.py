@@ -374,6 +374,23 @@ _FOLDS = """SELECT CASE WHEN f = 3 THEN 'final_holdout' ELSE 'walk_forward_' ||
  FROM (SELECT a, b, f, CASE WHEN f = 3 THEN b - 23 ELSE b - 23 - (3 - f) * 48 END AS s FROM (SELECT min(hour_no) AS a, max(hour_no) AS b FROM d), (SELECT unnest(range(4)) AS f))"""
 SQL["evaluation_windows"] = _dataset_sql(_FOLDS, False, "NOT scoring")
 SQL["production_window"] = _dataset_sql("SELECT 'production' AS name, 0 AS w, min(hour_no) AS a, min(hour_no) FILTER (scoring) AS e, max(hour_no) + 1 AS v FROM d", True, "true")
+# what a stream with a watermark 48 hours behind has seen: rows of hours not closed when their part came, in hours closed at the end
+_TIMED = {
+    "e": "SELECT user_id, event_id, event_id % 3 AS part, epoch_ms(ts) AS ms, hour_no, click, scoring FROM (SELECT events.*, i.hour_no, i.click, i.scoring FROM events JOIN i ON row_index = event_id)",
+    "m": "SELECT part, max(ms) - 48 * 3600000 AS edge FROM (SELECT a.part, b.ms FROM (SELECT unnest(range(1, 4)) AS part) a JOIN e b ON b.part < a.part) GROUP BY 1",
+    "g": "SELECT e.*, coalesce(hour_no < edge // 3600000, false) AS late FROM e LEFT JOIN m USING (part)",
+    "ok": "SELECT * FROM g WHERE NOT late AND hour_no < (SELECT edge // 3600000 FROM m WHERE part = 3)",
+    "hours": "SELECT user_id AS key, hour_no, count(*) FILTER (NOT scoring) AS n, coalesce(sum(click) FILTER (NOT scoring), 0) AS pos FROM ok GROUP BY 1, 2",
+    "past": _PAST,
+}
+SQL["stream_timed_history"] = (
+    _with("", "i").rstrip()
+    + "".join(f",\n{n} AS MATERIALIZED ({q})" for n, q in _TIMED.items())
+    + """
+SELECT event_id, false AS late, row_number() OVER w - 1 AS prior_impressions, coalesce(ok.hour_no - lag(ok.hour_no) OVER w, 0) AS hours_since_previous, row_number() OVER (PARTITION BY user_id, ok.hour_no ORDER BY scoring, event_id) - 1 AS prior_in_hour,
+ prior_clicks, prior_nonclicks, hours_since_click, impressions_since_click, click_pattern FROM ok JOIN past ON past.key = user_id AND past.hour_no = ok.hour_no WINDOW w AS (PARTITION BY user_id ORDER BY ok.hour_no, scoring, event_id)
+UNION ALL SELECT event_id, true, 0, 0, 0, 0, 0, 0, 0, 0 FROM g WHERE late"""
+)
 # the same history, by the table's own user, for the stream
 _STREAM_PARTS = {"hours": _hours_sql("user_id").replace("FROM u", "FROM (SELECT e.user_id, i.hour_no, scoring, click FROM i JOIN events e ON event_id = row_index)")}
 
