@@ -91,6 +91,21 @@ def test_bpe_merges_at_random():
         assert ids[ends[i] - n[i] : ends[i]].tolist() == e.ids
 
 
+def test_bpe_tells_special_tokens_from_words_that_look_like_them():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, words, g = Tokenizer.from_file(path), bpe.Words(path), random.Random(9)
+    special = list(words.special)
+    looks = special + [s.upper() for s in special] + [s.title() for s in special] + ["".join(g.choice((c.lower(), c.upper())) for c in s) for s in special * 4]
+    assert special and len(set(looks)) > len(special) + 2
+    texts = [g.choice(("", " ", "x")).join(g.choice((g.choice(looks), "a b", " ", "Word", "<|", "|>", "\u00c9")) for _ in range(g.randint(1, 8))) for _ in range(4000)]
+    ids, n = words.encode(texts)
+    ends = np.cumsum(n)
+    for i, e in enumerate(t.encode_batch(texts, add_special_tokens=False)):
+        assert ids[ends[i] - n[i] : ends[i]].tolist() == e.ids, texts[i]
+
+
 def test_bpe_agrees_on_every_code_point():
     from tokenizers import Tokenizer
 

@@ -111,8 +111,8 @@ class Words:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.at, self.len = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for text, i in self.special.items():
-            self._append([text], np.array([i], np.int32), np.array([1]))
+        for text, i in self.special.items():  # under a name with a space, which no chunk has
+            self._append([" " + text], np.array([i], np.int32), np.array([1]))
 
     def _append(self, new: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
         self.known.update(zip(new, range(len(self.len), len(self.len) + len(new)), strict=True))
@@ -121,11 +121,11 @@ class Words:
         self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
 
     def chunks(self, text: str) -> list[str]:
-        """The text, normalised and cut at white space; special tokens stand alone."""
+        """The text, normalised and cut at white space; special tokens stand alone, behind a space."""
         out: list[str] = []
         for part in self.cut.split(text) if self.special and any(s in text for s in self.special) else [text]:
             if part in self.special:
-                out.append(part)
+                out.append(" " + part)
                 continue
             if not part.isascii() and self.is_odd(part):
                 out += self.normal(part).strip(" ").split(" ")
