@@ -75,6 +75,28 @@ def test_join_keys_meet():
                     assert keys[0] & keys[1]
 
 
+def test_join_keys_of_unrelated_sets_do_not_meet():
+    g = np.random.default_rng(8)
+    for n in (12, 60, 400, 2500):
+        seen: dict = {}
+        for i in range(300):
+            for k in set(jaccard_join.join_keys(np.unique(g.integers(0, 1 << 63, n).astype(np.uint64)), 80).tolist()):
+                seen.setdefault(k, []).append(i)
+        assert max(map(len, seen.values())) == 1
+
+
+def test_join_keys_of_sets_at_the_threshold_meet():
+    g = np.random.default_rng(9)
+    for percent in (80, 90):
+        for n in [*range(1, 40), 64, 65, 150, 400, 1111]:
+            for _ in range(6):
+                both = np.unique(g.integers(0, 1 << 63, n).astype(np.uint64))
+                most = (100 - percent) * len(both) // percent  # common / union is at the threshold
+                own = np.unique(np.append(both, g.integers(0, 1 << 63, most).astype(np.uint64)))
+                keys = [set(jaccard_join.join_keys(x, percent).tolist()) for x in (both, own)]
+                assert keys[0] & keys[1], (percent, n)
+
+
 def test_join_odd_rows(spark):
     out = jaccard_join.join(frame(spark, ODD).select("doc_id", "text")).collect()
     assert len(out) == len(ODD)

@@ -4,7 +4,7 @@ A document's set holds its distinct word shingles. Two sets of similarity t diff
 most (1 - t) / (1 + t) of the sum of their sizes. So, per band of sizes, tokens are dealt by
 hash to more buckets than a linked pair can differ in; each bucket is sketched by XOR. A
 pair that links has at least one bucket, and one that is not empty, with the same sketch:
-these are the join keys (documents with too many empty buckets use those as well). A longer
+these are the join keys (see ``join_keys`` for documents with too many empty buckets). A longer
 parity sketch, whose Hamming distance is never above the sets' difference, rejects pairs
 early; texts of the rest are compared exactly.
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import discard, table, written
 
 SHINGLE, PERCENT = 3, 90
-#: Sizes of a band differ by this factor; spare buckets let a few be empty; bits of the long sketch for each token.
-BAND_RATIO, SPARE, SKETCH_BITS = 1.5, 2, 4
+#: Sizes of a band differ by this factor; least spare buckets; ways to deal tokens to buckets; bits of the long sketch for each token.
+BAND_RATIO, SPARE, SEEDS, SKETCH_BITS = 1.5, 2, 24, 4
 #: Larger groups of a key are compared in numpy; so many members at a time with as many others.
 FEW, CHUNK = 32, 2000
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -98,11 +99,23 @@ def bands_of(n: int, percent: int) -> list[int]:
     return out
 
 
+@functools.lru_cache(maxsize=1024)
 def band_buckets(band: int, percent: int) -> tuple[int, int]:
-    """Buckets of a band and how many of a document's may be empty."""
+    """Buckets of a band and how many of a document's may be empty.
+
+    So many buckets that the smallest set with a partner in the band leaves no more of them
+    empty than that, three deviations included.
+    """
     d = (100 - percent) * 2 * (int(band_edges()[band + 1]) - 1) // (100 + percent)
-    spare = SPARE if d else 0
-    return d + 1 + spare, spare
+    if not d:
+        return 1, 0
+    n, k = max(1, percent * int(band_edges()[band]) // 100), d + 1 + SPARE
+    while k <= d + d // 2:  # beyond, buckets hold single tokens; the few sets that fail try other seeds
+        empty = math.exp(-n / k)
+        if k * empty + 3 * math.sqrt(k * empty * (1 - empty)) <= k - d - 1:
+            break
+        k += 1 + k // 64
+    return k, k - d - 1
 
 
 def most_different(n: int, band: int, percent: int) -> int:
@@ -115,22 +128,30 @@ def join_keys(h: np.ndarray, percent: int) -> np.ndarray:
     """Keys of a set of token hashes, at least one of them shared with any set that links.
 
     Of a band's buckets the first ones do: as many as the set may differ in from its largest
-    partner there, and one more, and the spare ones.
+    partner there, and one more, and the spare ones. A set with more empty buckets than spare ones
+    deals its tokens once more by another seed, and so on: of two sets, the one that ends first
+    shares a full bucket with the other by its last seed. Empty buckets are keys only after the
+    last of the seeds.
     """
     out = []
     for band in bands_of(len(h), percent):
         k, spare = band_buckets(band, percent)
         used = min(k, most_different(len(h), band, percent) + 1 + spare)
-        bucket = ((h >> np.uint64(32)) % np.uint64(k)).astype(np.int64)
-        inside = np.flatnonzero(bucket < used)
-        order = inside[np.argsort(bucket[inside], kind="stable")]
-        b = bucket[order]
-        first = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else b
-        full, sketch = b[first], np.bitwise_xor.reduceat(mix(h[order]), first) if len(b) else h[:0]
-        if used - len(full) > spare:
-            none = np.setdiff1d(np.arange(used), full)
-            full, sketch = np.append(full, none), np.append(sketch, np.zeros(len(none), np.uint64))
-        out.append(mix(sketch ^ mix(np.array([band], np.uint64) * _K[0] + full.astype(np.uint64))))
+        for seed in range(SEEDS):
+            g = mix(h + np.uint64(seed * int(_K[2]) % 2**64)) if seed else h
+            bucket = ((g >> np.uint64(32)) % np.uint64(k)).astype(np.int64)
+            inside = np.flatnonzero(bucket < used)
+            order = inside[np.argsort(bucket[inside], kind="stable")]
+            b = bucket[order]
+            first = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else b
+            full, sketch = b[first], np.bitwise_xor.reduceat(mix(h[order]), first) if len(b) else h[:0]
+            enough = used - len(full) <= spare
+            if not enough and seed == SEEDS - 1:
+                none = np.setdiff1d(np.arange(used), full)
+                full, sketch = np.append(full, none), np.append(sketch, np.zeros(len(none), np.uint64))
+            out.append(mix(sketch ^ mix(np.array([band + (seed << 16)], np.uint64) * _K[0] + full.astype(np.uint64))))
+            if enough:
+                break
     return np.concatenate(out).view(np.int64)
 
 
