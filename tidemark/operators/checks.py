@@ -17,17 +17,25 @@ def label_check(df: DataFrame, label: str = "click") -> DataFrame:
 def hour_order_check(df: DataFrame, hour: str = "hour", order: str = "row_index", width: int = 65536) -> DataFrame:
     """Malformed hours, and rows whose hour is below the previous row's.
 
-    Rows are compared inside ranges of ``width`` rows; range ends meet in a second, small step.
+    Rows are compared inside ranges of ``width`` rows, ends of ranges inside ranges of ranges, and so
+    on: no task has more than ``width`` rows to put in order, until as many are left in all.
     """
-    part = F.floor(F.col(order) / width)
-    rows = df.select(part.alias("part"), F.col(order).alias("o"), F.col(hour).alias("h"))
-    inside = rows.withColumn("before", F.lag("h").over(Window.partitionBy("part").orderBy("o")))
-    ranges = inside.groupBy("part").agg(
-        F.count_if(~F.col("h").rlike("^[0-9]{8}$")).alias("malformed"), F.count_if(F.col("h") < F.col("before")).alias("backward"), F.min_by("h", "o").alias("first"), F.max_by("h", "o").alias("last")
-    )
-    ends = ranges.withColumn("before", F.lag("last").over(Window.orderBy("part")))
-    back = F.sum("backward") + F.count_if(F.col("first") < F.col("before"))
-    return ends.agg(F.sum("malformed").alias("malformed"), back.alias("backward"))
+    part = lambda c: F.floor(F.col(c) / width)
+    rows = df.select(part(order).alias("part"), F.col(order).alias("o"), F.col(hour).alias("first"), F.col(hour).alias("last"), (~F.col(hour).rlike("^[0-9]{8}$")).cast("bigint").alias("malformed"), F.lit(0).cast("bigint").alias("backward"))
+
+    def ends(rows: DataFrame) -> DataFrame:
+        before = F.lag("last").over(Window.partitionBy("part").orderBy("o"))
+        found = rows.withColumn("backward", F.col("backward") + F.coalesce(F.col("first") < before, F.lit(False)).cast("bigint"))
+        sums = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("malformed", "backward")]
+        return found.groupBy("part").agg(F.min_by("first", "o").alias("first"), F.max_by("last", "o").alias("last"), *sums)
+
+    least, most = df.agg(F.min(order), F.max(order)).first()
+    span = max(1, (most or 0) // width - (least or 0) // width + 1)
+    rows = ends(rows)
+    while span > 1:
+        span = -(-span // width)
+        rows = ends(rows.withColumn("o", F.col("part")).withColumn("part", part("o") if span > 1 else F.lit(0).cast("bigint")))
+    return rows.agg(F.coalesce(F.sum("malformed"), F.lit(0)).alias("malformed"), F.coalesce(F.sum("backward"), F.lit(0)).alias("backward"))
 
 
 def missing_hours(df: DataFrame, hour: str = "hour_no", most: int = 10) -> DataFrame:

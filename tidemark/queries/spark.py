@@ -126,6 +126,14 @@ def sparse_lines(spark, sf):
     return P.sparse_lines(_sparse(spark, sf))
 
 
+def sparse_dataset(spark, sf):
+    """The sparse rows written as text by split and inventory, and read back."""
+    folder, rows = S.shared_folder(spark), W.staged(_sparse(spark, sf))
+    names = rows.select("row_index", F.when(F.col("scoring"), "scoring").otherwise("training").alias("split"), F.col("inventory_type").alias("inventory"))
+    S.write_lines(P.sparse_lines(rows).join(names, "row_index"), folder, "split", "inventory")
+    return spark.read.schema("line string, split string, inventory string").text(folder)
+
+
 def lookup_sink(spark, sf):
     """The fitted device lookup, written in order of its key and read back."""
     folder = S.shared_folder(spark)
@@ -416,12 +424,15 @@ def _base_tokens(df):
 
 
 def base_tokens(spark, sf):
-    return _base_tokens(users(spark, sf)).select("row_index", F.array_join(F.col("tokens").cast("array<string>"), " ").alias("tokens"))
+    return _base_tokens(W.staged(users(spark, sf))).select("row_index", F.array_join(F.col("tokens").cast("array<string>"), " ").alias("tokens"))
+
+
+_NAMES = {(kind, f): names[f] for kind, names in (("app", APP_NAMES), ("site", SITE_NAMES)) for f in names}
 
 
 def _edges(df):
-    out = [P.profile_edges(df, kind, f, names, IDENTITY, FEW_ROWS) for kind, names in (("app", APP_NAMES), ("site", SITE_NAMES)) for f in ("pub_id", "pub_domain")]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+    """Edges of both inventories and both fields, from one pass over the log."""
+    return P.edges_of_pairs(W.staged(P.publisher_pairs(df)), _NAMES, IDENTITY, FEW_ROWS)
 
 
 def profile_edges(spark, sf):
@@ -437,13 +448,13 @@ def profile_vectors(spark, sf):
 
 
 def profile_attach(spark, sf):
-    df = users(spark, sf)
+    df = W.staged(users(spark, sf))
     vectors = P.profile_vectors(_edges(df)).withColumnsRenamed({"inventory": "inventory_type", "user": "profile_user"})
     return df.select("row_index", "inventory_type", "profile_user").join(vectors, ["inventory_type", "profile_user"], "left").select("row_index", F.coalesce(F.size("profile"), F.lit(0)).cast("bigint").alias("entries"))
 
 
 def profile_coverage(spark, sf):
-    df = users(spark, sf)
+    df = W.staged(users(spark, sf))
     edges = _edges(df)
     per = edges.groupBy("inventory").agg(F.countDistinct("user").alias("users"), F.count_if(F.col("field") == 16).alias("publisher_edges"), F.count_if(F.col("field") == 17).alias("domain_edges"))
     have = edges.select(F.col("inventory").alias("inventory_type"), F.col("user").alias("profile_user")).distinct()
@@ -463,8 +474,7 @@ def _sparse(spark, sf, history=True):
     # proxies and devices have names of their own, so one pass serves both
     past = W.staged(Y.history_strings(df.filter((F.col("identity_kind") == "device") | proxy), "base_user", EVENTS))
     tokens = P.base_tokens(df, {k: counts.filter(F.col("kind") == k).select("key", "n") for k in P.identity_columns()}, past, identity=BASE_IDENTITY, threshold=THRESHOLD)
-    names = {(kind, f): n[f] for kind, n in (("app", APP_NAMES), ("site", SITE_NAMES)) for f in n}
-    vectors = P.profile_vectors(P.edges_of_pairs(W.staged(P.publisher_pairs(df)), names, IDENTITY, FEW_ROWS))
+    vectors = P.profile_vectors(_edges(df))
     if not history:
         return P.sparse_rows(tokens, vectors)
     proxies = P.proxy_rows(df)
@@ -488,7 +498,7 @@ def cold_publisher_selector(spark, sf):
 
 
 def population_counts(spark, sf):
-    df = users(spark, sf)
+    df = W.staged(users(spark, sf))
     app, s = F.col("inventory_type") == "app", F.col("scoring")
     proxy = app & s & (F.col("identity_kind") == "proxy")
     used = _history_tokens(df).filter("use_history").select("row_index", F.lit(True).alias("used"))
@@ -515,7 +525,7 @@ def aligned_predictions(spark, sf):
 
 
 def _composed(spark, sf):
-    df = users(spark, sf)
+    df = W.staged(users(spark, sf))
     app = df.filter("scoring AND inventory_type = 'app'").join(_history_tokens(df).select("row_index", "use_history"), "row_index", "left")
     app = app.select("row_index", "id", F.coalesce("use_history", F.lit(False)).alias("selected"), F.col("p2").alias("special"), F.col("p1").alias("baseline"))
     site = df.filter("scoring AND inventory_type = 'site'").join(P.cold_selector(df).select("row_index", "use_cold"), "row_index")
@@ -540,8 +550,11 @@ def submission_check(spark, sf):
 
 
 def raw_report(spark, sf):
+    """Rows, hours, click rate, and the distinct values of each column, counted as (column, value) pairs."""
     df = log(spark, sf)
-    return df.agg(F.count("*").alias("rows"), F.min("hour").alias("first_hour"), F.max("hour").alias("last_hour"), r(F.avg("click"), 9).alias("click_rate"), *[L.distinct_with_null(c).alias(f"{c}_cardinality") for c in S.STRINGS])
+    distinct = S.column_report(df, S.STRINGS)
+    wide = distinct.agg(*[F.coalesce(F.max(F.when(F.col("column") == c, F.col("distinct"))), F.lit(0).cast("bigint")).alias(f"{c}_cardinality") for c in S.STRINGS])
+    return df.agg(F.count("*").alias("rows"), F.min("hour").alias("first_hour"), F.max("hour").alias("last_hour"), r(F.avg("click"), 9).alias("click_rate")).crossJoin(wide)  # one row and one row
 
 
 def raw_column_report(spark, sf):
@@ -834,7 +847,7 @@ def production_window(spark, sf):
 
 
 def _dataset(spark, sf, transductive):
-    df = R.crosses(R.time_features(users(spark, sf)), RECIPE.crosses)
+    df = W.staged(R.crosses(R.time_features(users(spark, sf)), RECIPE.crosses))
     train, score = split(df)
     population = df if transductive else train
     span, prior = hours(train), L.global_prior(train).first()["prior"]

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,8 +114,6 @@ def source_order(df: DataFrame, name: str = "source_index") -> DataFrame:
     compressed file is one split; ``write_parts`` deals its rows out by their numbers afterwards.
     ``df`` must be the scan itself, with nothing that moves rows.
     """
-    from pyspark.sql import Window
-
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
     split = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     # written once: both uses below see the same numbers
@@ -188,15 +186,18 @@ def read_parts(spark: SparkSession, path: str) -> DataFrame:
 def dense_index(df: DataFrame, coarse: str, *order: str, name: str = "dense_index") -> DataFrame:
     """Numbers rows 0, 1, ... in the order of ``coarse`` and then ``order``.
 
-    Rows are counted for each value of ``coarse`` (few: hours, ranges); prefix sums of the
-    counts give each one's first number, and only rows of equal ``coarse`` are sorted together.
+    Rows are dealt out in ranges of that order and sorted there, once; a row's number is its place in
+    its range and the rows of earlier ranges. So neither one hour nor one value is a task of its own.
     """
-    from pyspark.sql import Window
-
-    counts = df.groupBy(coarse).agg(F.count("*").alias("__n"))
-    base = counts.select(F.col(coarse).alias("__c"), (F.sum("__n").over(Window.orderBy(coarse)) - F.col("__n")).alias("__base"))
-    own = F.row_number().over(Window.partitionBy(coarse).orderBy(*order)) - 1
-    return df.withColumn("__own", own).join(base, F.col(coarse).eqNullSafe(F.col("__c"))).withColumn(name, F.col("__base") + F.col("__own")).drop("__own", "__base", "__c")
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = df.repartitionByRange(parts, coarse, *order).sortWithinPartitions(coarse, *order).withColumn("__at", F.monotonically_increasing_id())
+    sorted_.write.option("compression", "zstd").parquet(path)  # the numbers below must be those of one run
+    rows = spark.read.schema(sorted_.schema).parquet(path)
+    part, place = F.shiftrightunsigned("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    base = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__base"))  # a row for each range
+    return rows.join(F.broadcast(base), part == F.col("__part")).withColumn(name, F.col("__base") + place).drop("__at", "__part", "__base")
 
 
 def write_shards(df: DataFrame, path: str, order: str, rows: int, low: int, high: int) -> None:
@@ -227,6 +228,19 @@ def changed_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFr
     return now.join(then, "file", "full").select("file", state.alias("state")).filter("state IS NOT NULL")
 
 
+def write_lines(rows: DataFrame, path: str, *by: str) -> DataFrame:
+    """Writes the column ``line`` as text files, in a folder for each value of ``by``; returns ``by, files, lines, bytes``.
+
+    No rows raise. Lines are whole rows: a line break inside one would be read back as two, and raises.
+    """
+    broken = rows.agg(F.count("*").alias("n"), F.count_if(F.col("line").rlike("[\\r\\n]") | F.col("line").isNull()).alias("bad")).first()
+    if not broken["n"] or broken["bad"]:
+        raise ValueError(f"{broken['bad']} of {broken['n']} rows are no lines")
+    rows.select("line", *by).write.partitionBy(*by).text(path)
+    back = rows.sparkSession.read.text(path).withColumn("__file", F.input_file_name())
+    return back.groupBy(*by).agg(F.countDistinct("__file").alias("files"), F.count("*").alias("lines"), F.sum(F.octet_length("value") + 1).alias("bytes"))
+
+
 def write_lookup(lookup: DataFrame, keys: list[str], path: str) -> DataFrame:
     """Writes a fitted lookup in the order of its keys, as zstd Parquet; returns the inventory.
 
