@@ -69,3 +69,30 @@ def test_the_state_store_setting_is_put_back(spark, tmp_path):
     before = spark.conf.get(name)
     run(spark, str(tmp_path / "in"), [log(spark, 40)], 1, 10**9)
     assert spark.conf.get(name) == before
+
+
+def test_a_row_older_than_the_state_raises(spark, tmp_path):
+    import pytest
+
+    from tidemark.streaming import history as H
+
+    df = log(spark, 60).filter("user_id = 'hot'")
+    for k, make in enumerate((H.prior_impressions, lambda s: H.click_history(s, 10**9))):
+        folder = str(tmp_path / f"in{k}")
+        df.filter("event_id >= 30").coalesce(1).write.parquet(folder)  # the earlier file has the later hours
+        df.filter("event_id < 30").coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+        with pytest.raises(Exception, match="comes after one of hour"):
+            H.run(make(stream))
+
+
+def test_slices_are_read_in_order_whatever_their_number(spark, monkeypatch):
+    from tidemark.queries import spark as Q
+    from tidemark.streaming import history as H
+
+    small = "/root/testdata/sf0.001"
+    rows = lambda: sorted(map(tuple, Q.stream_click_history(spark, small).collect()))
+    monkeypatch.setattr(H, "LEAST_SLICES", 1)
+    one = rows()
+    monkeypatch.setattr(H, "LEAST_SLICES", 7)
+    assert rows() == one and len(one) > 0

@@ -641,6 +641,16 @@ def selection_gate(spark, sf):
     return one.select(r("mean_difference").alias("mean_difference"), r("upper").alias("upper"), r("candidate").alias("candidate"), r("incumbent").alias("incumbent"), reason.alias("reason"))
 
 
+def checked_gate(spark, sf):
+    """The gate behind a check that both models' losses are of one population: same rows, order and labels."""
+    rows = S.dense_index(_holdout(spark, sf), "hour_no", "row_index", name="place").withColumn("place", F.col("place").cast("bigint"))
+    of = lambda p: S.ordered_identity(rows.filter(F.col(p).isNotNull()), "place", ["row_index", "id", "click"])
+    a, b = of("p1"), of("p2")
+    same = a.crossJoin(b.withColumnsRenamed({"rows": "other_rows", "identity": "other_identity"})).select("rows", (F.col("identity") == F.col("other_identity")).alias("same_population"))  # one row and one row
+    one = selection_gate(spark, sf).crossJoin(same)
+    return one.withColumn("reason", F.when(~F.col("same_population") | (F.col("rows") == 0), "other populations").otherwise(F.col("reason")))
+
+
 def residual_correlation(spark, sf):
     df = log(spark, sf).withColumn("p3", 1 - F.col("p2"))
     return E.residual_correlation(df, ["p1", "p2", "p3"]).select(*[r(c).alias(c) for c in ("p1_p2", "p1_p3", "p2_p3", "penalty")])

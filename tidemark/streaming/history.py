@@ -3,7 +3,8 @@
 Micro-batches come from ``maxFilesPerTrigger`` and ``availableNow``; results go to Parquet in
 the shared folder. State is per key. Rows of a key that reach the processor in one batch are
 put in order there, so batches must follow each other in time: ``ordered_stream`` sees to that
-and bounds a batch. Rows later than the watermark go to a side table.
+and bounds a batch, and a row older than its key's state raises. Streams that do come out of order
+are for ``timed.timed_history``. Rows later than the watermark go to a side table.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidemark.sources.impressions import shared_folder
 
 #: Rows of a slice of whole hours, about; an hour with more is a slice of its own.
-SLICE_ROWS = 2_000_000
+SLICE_ROWS, LEAST_SLICES = 2_000_000, 3
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -34,28 +35,39 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ordered_stream(spark: SparkSession, sf_dir: str, key: str = "user_id") -> DataFrame:
-    """``event_stream`` for state per key: batches hold about ``SLICE_ROWS`` rows and a key's rows come in order.
+    """``event_stream`` for state per key: at least ``LEAST_SLICES`` batches, of about ``SLICE_ROWS`` rows, and a key's rows come in order.
 
-    Slices of whole hours are written one after another, so their files are read in that order,
-    and a key's rows of a slice are in one file. How files are dealt to batches does not matter.
+    One job writes the log by slices of whole hours, with a key's rows of a slice in one file; files
+    then get the slices' order as their times, which is the order they are read in. How files are
+    dealt to batches does not matter.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     hour = F.floor(F.unix_timestamp("ts") / 3600)
-    number, rows, sliced = -1, SLICE_ROWS, []
-    for h, n in events.groupBy(hour.alias("h")).count().orderBy(F.asc_nulls_first("h")).collect():  # one row an hour
-        if h is None:
-            raise ValueError("events without a time have no place in the order")
-        number, rows = (number, rows + n) if rows + n <= SLICE_ROWS and number >= 0 else (number + 1, n)
+    counts = [(r["h"], r["count"]) for r in events.groupBy(hour.alias("h")).count().orderBy(F.asc_nulls_first("h")).collect()]  # one row an hour
+    if counts and counts[0][0] is None:
+        raise ValueError("events without a time have no place in the order")
+    most = min(SLICE_ROWS, -(-sum(n for _, n in counts) // LEAST_SLICES))
+    number, rows, sliced = -1, most, []
+    for h, n in counts:
+        number, rows = (number, rows + n) if rows + n <= most and number >= 0 else (number + 1, n)
         sliced.append((h, number))
-    if number < 1:
-        return event_stream(spark, sf_dir)
-    folder, files = shared_folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder, files = f"{shared_folder(spark)}/slices", int(spark.conf.get("spark.sql.shuffle.partitions"))
     slices = F.broadcast(spark.createDataFrame(sliced, "h long, slice int"))
-    events.join(slices, hour == F.col("h")).drop("h").write.partitionBy("slice").parquet(f"{folder}/sliced")
-    for k in range(number + 1):
-        spark.read.schema(events.schema).parquet(f"{folder}/sliced/slice={k}").repartition(files, key).write.mode("append").parquet(f"{folder}/ordered")
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/ordered")
+    events.join(slices, hour == F.col("h")).drop("h").repartition(files, key).sortWithinPartitions("slice").write.partitionBy("slice").parquet(folder)
+    _order_files(spark, folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True).parquet(folder)
+
+
+def _order_files(spark: SparkSession, folder: str) -> None:
+    """Sets the files' times in the order of their slices, a second apart."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath() for s in store.listStatus(top) if s.getPath().getName().startswith("slice=")]
+    for path in names:
+        at = 1_000_000_000_000 + 1000 * int(path.getName().removeprefix("slice="))
+        for file in store.listStatus(path):
+            store.setTimes(file.getPath(), at, -1)
 
 
 def run(df: DataFrame, mode: str = "append") -> DataFrame:
@@ -74,6 +86,12 @@ def hourly_clicks(events: DataFrame, key: str = "user_id") -> DataFrame:
     return sums.select(key, F.floor(F.unix_timestamp("window.start") / 3600).alias("hour_no"), "n", "clicks")
 
 
+def refuse(hour: int, last: int | None) -> None:
+    """Raises for a row of an hour before that of the state: its history would be wrong, and that of later rows."""
+    if last is not None and hour < last:
+        raise ValueError(f"a row of hour {hour} comes after one of hour {last}: order the stream, or use timed_history")
+
+
 class Impressions(StatefulProcessor):
     """Earlier rows, hours since the last, earlier rows in the hour."""
 
@@ -85,6 +103,7 @@ class Impressions(StatefulProcessor):
         total, last, inside = self.state.get() if self.state.exists() else (0, None, 0)
         out = []
         for event, hour in zip(new["event_id"], new["hour_no"], strict=True):
+            refuse(hour, last)
             inside = inside if last == hour else 0
             out.append((event, total, hour - last if last is not None else 0, inside))
             total, last, inside = total + 1, hour, inside + 1
@@ -110,6 +129,7 @@ class Clicks(StatefulProcessor):
         s = dict(zip(names, self.state.get() if self.state.exists() else (0,) * 10, strict=True))
         mask, out = (1 << self.bits) - 1, []
         for event, hour, click, scoring in zip(new["event_id"], new["hour_no"], new["click"], new["scoring"], strict=True):
+            refuse(hour, s["hour"] if s["hour_n"] or s["n"] else None)
             if s["hour_n"] and s["hour"] < hour:  # the waiting hour is complete
                 hit, gap = s["hour_pos"] > 0, s["hour"] - s["labelled"] if s["n"] else 1
                 s["pattern"] = ((s["pattern"] << min(gap, self.bits)) | hit) & mask
