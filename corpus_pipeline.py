@@ -64,8 +64,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A text that goes whole becomes empty and stays as a row; null and empty texts become empty.
     """
     others = {c: f"other{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}  # no name clashes with an added one
-    left = substring_dedup.remove(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(o) for c, o in others.items()]))
-    left = left.withColumn("text", substring_dedup.as_text(F.col("kept"))).withColumn("n_chars", F.length("text").cast("long"))
+    left = substring_dedup.remove(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(o) for c, o in others.items()]), as_string=True)
+    left = left.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("text").cast("long"))
     return left.select(*[F.col(others.get(c, c)).alias(c) for c in docs.columns])
 
 

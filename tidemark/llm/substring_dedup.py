@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import blocked, pack_array, unpack_array
-from tidemark.llm.common import table, text_bytes, written
+from tidemark.llm.common import release, table, text_bytes, written
 
 WINDOW, Q = 50, 20
 SPAN = WINDOW - Q + 1  # Q-byte strings of a window
@@ -223,9 +223,21 @@ def refined(bucket: np.ndarray, later: np.ndarray, doc: np.ndarray) -> tuple[np.
 SENT = "block long, shard int, kind int, a binary, b binary, doc binary"
 
 
-def remove(docs: DataFrame, shards: int | None = None, anchors: int = ANCHOR_BUCKETS, step: int = STEP_BYTES) -> DataFrame:
+def frees(run):
+    """``run`` of two arguments, after which the worker gives its memory back: it may idle while others work."""
+
+    def both(x, y):
+        out = run(x, y)
+        release()
+        return out
+
+    return both
+
+
+def remove(docs: DataFrame, shards: int | None = None, anchors: int = ANCHOR_BUCKETS, step: int = STEP_BYTES, as_string: bool = False) -> DataFrame:
     """The rows of ``docs`` (``doc_id, text``, others) without ``text``, with ``kept binary``
-    (the bytes that are left), ``n_bytes, n_removed, n_spans``."""
+    (the bytes that are left; with ``as_string`` their text, without characters that a cut left
+    incomplete), ``n_bytes, n_removed, n_spans``."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     total = text_bytes(docs)
     shards = shards or max(1, math.ceil(total / SHARD_BYTES))
@@ -291,16 +303,18 @@ def remove(docs: DataFrame, shards: int | None = None, anchors: int = ANCHOR_BUC
                 spans = int(np.count_nonzero(c[1:] & ~c[:-1]) + c[0]) if removed else 0
                 out.append((doc, part.data[s : s + n][~c].tobytes() if removed else part.data[s : s + n].tobytes(), n, removed, spans))
         result = pd.DataFrame(out, columns=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+        if as_string:
+            result["kept"] = [b.decode("utf-8", "ignore") for b in result["kept"]]
         extra = pd.concat([lost, rest])[[c for c in f.columns if c.startswith("other_")]].reset_index(drop=True)
         return pd.concat([result.astype({"doc_id": "Int64"}), extra], axis=1)
 
-    units = rows.groupBy("block").applyInPandas(send_units, SENT)
-    answers = written(units.groupBy("shard").applyInPandas(refine, ANSWERS))
-    windows = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(send_windows, SENT)
-    more = written(windows.groupBy("shard").applyInPandas(refine, ANSWERS))
+    units = rows.groupBy("block").applyInPandas(frees(send_units), SENT)
+    answers = written(units.groupBy("shard").applyInPandas(frees(refine), ANSWERS))
+    windows = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(frees(send_windows), SENT)
+    more = written(windows.groupBy("shard").applyInPandas(frees(refine), ANSWERS))
     result = whole.groupBy("block").cogroup(answers.unionByName(more).groupBy("block"))
     fields = "".join(f", other_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(others))
-    left = result.applyInPandas(cut, f"doc_id long, kept binary, n_bytes long, n_removed long, n_spans long{fields}")
+    left = result.applyInPandas(frees(cut), f"doc_id long, kept {'string' if as_string else 'binary'}, n_bytes long, n_removed long, n_spans long{fields}")
     return left.select("doc_id", *[F.col(f"other_{k}").alias(c) for k, c in enumerate(others)], "kept", "n_bytes", "n_removed", "n_spans")
 
 
@@ -314,7 +328,6 @@ def as_text(kept):
     return decoded(kept)
 
 
-
 SENT_COLUMNS = ["block", "shard", "kind", "a", "b", "doc"]
 ANSWERS = "block long, shard int, kind int, least binary, apart binary"
 
