@@ -42,7 +42,7 @@ def test_matches_sql(spark, con, name):
     assert rows(ours) == rows(theirs)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"ffm_epoch"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"ffm_epoch", "source_fit_losses", "fitted_predictions"}))
 def test_has_rows(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
