@@ -295,6 +295,50 @@ def test_the_cut_changes_labels():
     assert [html_text.score(b, t) > 0 for b, t in found] == [True, False, True]
 
 
+BUDGET = "The council met on Tuesday to discuss the new budget, and members agreed that further work was needed before a vote."
+
+#: Pages with the text that a reader would call the article.
+LABELLED = [
+    ("sponsor article", f'<article id="sponsor-story-12"><p>{BUDGET}</p><p>{BUDGET}</p></article>',f"{BUDGET}\n{BUDGET}"),
+    ("share price", f'<article><p>{BUDGET}</p><p class="share-price">The share rose to 12.40 euros.</p><p>{BUDGET}</p></article>',f"{BUDGET}\nThe share rose to 12.40 euros.\n{BUDGET}"),
+    ("entry header", f'<article><header class="entry-header"><h1>Budget agreed</h1><p class="byline">By A. Writer</p></header><p>{BUDGET}</p></article>',f"Budget agreed\n{BUDGET}"),
+    ("table", f'<div><p>{BUDGET}</p><table><tr><th>Year</th><th>Sum</th></tr><tr><td>2020</td><td>14 million</td></tr></table><p>{BUDGET}</p></div>',f"{BUDGET}\nYear\nSum\n2020\n14 million\n{BUDGET}"),
+    ("dl", '<body><dl><dt>Coffee</dt><dd>Black hot drink</dd><dt>Milk</dt><dd>White cold drink</dd></dl></body>',"Coffee\nBlack hot drink\nMilk\nWhite cold drink"),
+    ("one short p", '<body><p>Hello there</p></body>',"Hello there"),
+    ("link item", f'<article><p>{BUDGET}</p><ul><li><a href="/x">The annual report</a></li><li><a href="/y">Minutes of the meeting</a></li></ul><p>{BUDGET}</p></article>',f"{BUDGET}\nThe annual report\nMinutes of the meeting\n{BUDGET}"),
+    ("copyright", f'<div><p>{BUDGET}</p></div><div>Copyright 2024 Example Media Ltd. All rights reserved.</div>',BUDGET),
+    ("cookies", f'<div>We use cookies to improve your experience on our site.</div><div><p>{BUDGET}</p><p>{BUDGET}</p></div>',f"{BUDGET}\n{BUDGET}"),
+    ("related heading", f'<article><p>{BUDGET}</p><h3>Related articles</h3><ul class="related"><li><a href=a>One more story here</a></li><li><a href=b>Another story to read</a></li></ul></article>',BUDGET),
+    ("related div", f'<div><p>{BUDGET}</p><h3>Related articles</h3><ul class="related"><li><a href=a>One more story here</a></li></ul></div>',BUDGET),
+    ("menu only", '<nav><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul></nav>',""),
+    ("links only", '<div><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul></div>',""),
+    ("comments", f'<article><p>{BUDGET}</p></article><section class="comments"><h2>3 Comments</h2><p>{BUDGET}</p></section>',BUDGET),
+    ("post-comments", f'<div class="post"><p>{BUDGET}</p></div><div class="post-comments"><p>{BUDGET}</p></div>',BUDGET),
+    ("cookie text", f'<article><p>{BUDGET}</p><p>We use cookies in this recipe because they hold the cream well.</p></article>',f"{BUDGET}\nWe use cookies in this recipe because they hold the cream well."),
+]
+
+
+@pytest.mark.parametrize("name,page,want", LABELLED)
+def test_html_labelled_pages(name, page, want):
+    assert html_text.main_text(page) == want
+
+
+NEIGHBOURS = [
+    (f"<div><p>{BUDGET}</p><p>So it was</p><p>{BUDGET}</p><p>{BUDGET}</p></div>", f"{BUDGET}\nSo it was\n{BUDGET}\n{BUDGET}"),
+    (f"<div><p>{BUDGET}</p><ul><li>first</li><li>second thing</li></ul><p>{BUDGET}</p></div>", f"{BUDGET}\nfirst\nsecond thing\n{BUDGET}"),
+]
+
+
+def test_the_cut_decides_on_the_labelled_pages():
+    """Blocks whose own costs say the opposite of what the cut says, and the cut is right."""
+    changed = 0
+    for _, page, want in LABELLED + [("", *p) for p in NEIGHBOURS]:
+        for b, t in [(b, " ".join(html_text.html.unescape("".join(b.parts)).split())) for b in html_text.blocks_of(page)]:
+            changed += bool(t) and (html_text.score(b, t) > 0) != (t in want.split("\n"))
+        assert html_text.main_text(page) == want
+    assert changed >= 6
+
+
 def test_minimum_cut_against_all_labellings():
     g = random.Random(2)
     for _ in range(200):

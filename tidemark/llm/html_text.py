@@ -58,6 +58,18 @@ ENDED_BY = {"p": BLOCK, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}),
 
 #: The classifier: costs in hundredths. Positive speaks for content.
 BIAS, PER_WORD, MOST_WORDS, SENTENCE, LINKED, HEADING = -60, 12, 25, 80, -400, 40
+#: Cells and entries are short by their kind; links count less in a content tag; what a text says itself.
+ENTRY, LINKED_INSIDE, NOTICE, POINTER = 60, -250, -480, -520
+ENTRIES = frozenset("td th dt dd".split())
+NOTICES = re.compile(r"(?:copyright|©|\(c\))\s*(?:©|\(c\))?\s*(?:19|20)\d\d\b|\ball rights reserved\.?$|^(?:we|this (?:web)?site|our (?:web)?site)\b.{0,40}\buses? cookies\b", re.I)
+POINTERS = re.compile(r"(?:related|recommended|more from|you may also like|read next|share this|leave a (?:comment|reply)|comments?\b|subscribe|newsletter|advertisement)\b", re.I)
+#: Words of a notice or of such a heading, at most.
+NOTICE_WORDS, POINTER_WORDS = 30, 5
+#: A page on which nothing is content is cut again with so much more for every block that elements do not speak against.
+SECOND = 130
+#: A name of more than boilerplate words on an element that holds running text: of the order of the ties.
+PART_NAME = -130
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd span em strong b i blockquote figure figcaption pre table tr tbody article main".split())
 #: What an element says of the text in it: its tag, its class or id, hidden; content tags and words.
 BOILER_TAG, BOILER_NAME, HIDDEN, CONTENT_TAG, CONTENT_NAME = -700, -700, -900, 400, 120
 #: A wrapper's name counts so much; each level up counts so much of the one below; outside a
@@ -68,12 +80,12 @@ NEXT, SAME_PARENT, SAME_GRANDPARENT = 60, 80, 30
 
 
 class Block:
-    __slots__ = ("parts", "linked", "path", "weight", "heading")
+    __slots__ = ("parts", "linked", "path", "weight", "heading", "entry", "inside")
 
-    def __init__(self, path: tuple[int, ...], weight: int, heading: bool):
+    def __init__(self, path: tuple[int, ...], weight: int, heading: bool, entry: bool = False, inside: bool = False):
         self.parts: list[str] = []
         self.linked = 0
-        self.path, self.weight, self.heading = path, weight, heading
+        self.path, self.weight, self.heading, self.entry, self.inside = path, weight, heading, entry, inside
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -83,14 +95,18 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def _named(value: str) -> float:
-    """What the names in a class or id say: from ``BOILER_NAME`` to ``CONTENT_NAME``."""
+def _named(value: str, tag: str = "div") -> float:
+    """What the names in a class or id say: from ``BOILER_NAME`` to ``CONTENT_NAME``.
+
+    On elements that hold running text, a name with other words besides (share-price) says little.
+    """
     found = 0.0
     for name in value.split():
         words = [w for w in re.split(r"[^a-z]+", name) if w]
         told = [w for k, w in enumerate(words) if w in BOILER_WORDS and (k == 0 or words[k - 1] not in HOLDS_WORDS)]
         if told:
-            found = min(found, BOILER_NAME * (WRAPPER if not WRAP_WORDS.isdisjoint(words) else 1))
+            part = tag in TEXT_TAGS and len(told) < len(words)
+            found = min(found, PART_NAME if part else BOILER_NAME * (WRAPPER if not WRAP_WORDS.isdisjoint(words) else 1))
         elif found == 0 and not CONTENT_WORDS.isdisjoint(words):
             found = CONTENT_NAME
     return found
@@ -105,17 +121,24 @@ def _evidence(tag: str, raw: str) -> tuple[float, float, bool]:
         at = _attributes(raw)
         if "hidden" in at or at.get("aria-hidden") == "true" or re.search(r"display:\s*none|visibility:\s*hidden", at.get("style", "")):
             return 0.0, HIDDEN, False
-        role, named = at.get("role", ""), min((_named(at[x]) for x in ("class", "id") if x in at), key=lambda n: (n >= 0, -abs(n)), default=0.0)
+        role, named = at.get("role", ""), min((_named(at[x], tag) for x in ("class", "id") if x in at), key=lambda n: (n >= 0, -abs(n)), default=0.0)
     if tag in BOILER_TAGS or role in BOILER_ROLES:
         return 0.0, BOILER_TAG, False
-    content = (tag in CONTENT_TAGS or role in ("main", "article")) and named >= 0
+    content = (tag in CONTENT_TAGS or role in ("main", "article")) and named >= PART_NAME
     return named, CONTENT_TAG if content else 0.0, content
 
 
-def _surroundings(stack: list[tuple[str, int, tuple[float, float, bool]]]) -> int:
-    """The bounded sum of what the open elements say, the innermost first."""
+def _surroundings(stack: list[tuple[str, int, tuple[float, float, bool]]], heading: bool = False) -> int:
+    """The bounded sum of what the open elements say, the innermost first.
+
+    A content tag's own header says nothing against the headings in it.
+    """
     total, share, outside, within = 0.0, 1.0, False, False
-    for _, _, (named, kind, content) in reversed(stack):
+    inside = [k for k, (_, _, e) in enumerate(stack) if e[2]]
+    for k in range(len(stack) - 1, -1, -1):
+        tag, _, (named, kind, content) = stack[k]
+        if tag == "header" and heading and inside and k > inside[0]:
+            named, kind = 0.0, 0.0
         if outside:
             named, kind = named * NAME_OUTSIDE, kind * TAG_OUTSIDE if LEAST < kind < 0 else min(kind, 0.0)
         if within:  # a form in an article is a form
@@ -141,7 +164,7 @@ def blocks_of(page: str) -> list[Block]:
         if current is None:
             if raw.isspace():
                 return
-            current = Block(tuple(n for _, n, _ in stack), _surroundings(stack), any(t[0] == "h" and t[1:].isdigit() for t, _, _ in stack))
+            current = Block(tuple(n for _, n, _ in stack), _surroundings(stack, heading := any(t[0] == "h" and t[1:].isdigit() for t, _, _ in stack)), heading, bool(stack) and any(t in ENTRIES for t, _, _ in stack[-3:]), any(e[2] for _, _, e in stack))
             out.append(current)
         current.parts.append(raw)
         if links:
@@ -204,7 +227,14 @@ def score(block: Block, text: str) -> int:
         s += SENTENCE
     if block.heading:
         s += HEADING
-    return s + round(LINKED * min(1.0, block.linked / max(1, len(text))))
+    if block.entry and block.weight >= 0:
+        s += ENTRY
+    if n <= NOTICE_WORDS and not block.inside and NOTICES.search(text):
+        s += NOTICE
+    elif n <= POINTER_WORDS and block.heading and POINTERS.match(text):
+        s += POINTER
+    linked = LINKED_INSIDE if block.inside and block.weight > 0 else LINKED
+    return s + round(linked * min(1.0, block.linked / max(1, len(text))))
 
 
 def smoothness(a: Block, b: Block) -> int:
@@ -280,7 +310,10 @@ def main_text(page: str | None) -> str:
         if before < k - 1:
             edges.append((before, k, SAME_PARENT))
         last[b.path[:-1]] = k
-    return "\n".join(t for (_, t), keep in zip(found, min_cut(margin, edges), strict=True) if keep)
+    labels = min_cut(margin, edges)
+    if not any(labels):  # such a page has no long text: short ones are judged against each other
+        labels = min_cut([m + SECOND if b.weight >= 0 else m for m, (b, _) in zip(margin, found, strict=True)], edges)
+    return "\n".join(t for (_, t), keep in zip(found, labels, strict=True) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:
