@@ -144,8 +144,11 @@ def build_cascade(universe: DataFrame) -> Cascade:
     listed = keys.filter("listed").count()
     shards = max(1, math.ceil(listed * BITS_PER_KEY / 64 / MAX_WORDS))
     levels: list[list] = []
+    if shards > 1:  # dealt out once, so that a shard's job reads its own keys only
+        path, dealt = shared_folder(spark), keys.withColumn("shard", Cascade(spark, shards, []).shard(F.col("key")))
+        dealt.write.option("compression", "zstd").partitionBy("shard").parquet(path)
     for shard in range(shards):
-        mine = keys.filter(Cascade(spark, shards, []).shard(F.col("key")) == shard)
+        mine = keys if shards == 1 else spark.read.schema(dealt.schema).parquet(path).filter(F.col("shard") == shard)
         into, others, own = mine.filter("listed").select("key"), mine.filter(~F.col("listed")).select("key"), []
         count = into.count()
         while count:
