@@ -73,6 +73,14 @@ def test_source_order_of_many_files_and_splits(spark, tmp_path):
     assert [r["rows"] for r in parts.orderBy("part").collect()] == [500, 500, 500, 500, 1]
 
 
+def test_source_order_sends_splits_and_not_rows(spark, tmp_path):
+    spark.range(3000).selectExpr("concat('name-', id) AS name").repartition(3).write.csv(str(tmp_path / "in"))
+    df = S.source_order(spark.read.schema("name string").csv(str(tmp_path / "in")))
+    assert df.count() == 3000
+    joined = [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x and "__split" in x]
+    assert joined and all("BuildRight" in x for x in joined)
+
+
 def identity(spark, values):
     df = spark.createDataFrame(list(enumerate(values)), "i long, v string").repartition(3)
     return S.ordered_identity(df, "i", ["v"]).first()

@@ -125,7 +125,8 @@ def source_order(df: DataFrame, name: str = "source_index") -> DataFrame:
     w = Window.partitionBy("__split.file").orderBy("__split.start")
     starts = splits.select("__split", "__first", (F.sum("__n").over(w) - F.col("__n")).alias("__own"), F.col("__split.file").alias("__file")).join(files, "__file")
     index = F.col("__base") + F.col("__own") + F.col("__at") - F.col("__first")
-    return rows.join(starts, "__split").select(*df.columns, index.alias(name))
+    # a row for each split; by the size of its packed files Spark may take the rows themselves for the small side
+    return rows.join(F.broadcast(starts), "__split").select(*df.columns, index.alias(name))
 
 
 def write_parts(df: DataFrame, path: str, index: str, rows: int) -> DataFrame:
