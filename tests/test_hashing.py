@@ -24,6 +24,32 @@ def test_mask_bounds(spark):
     assert rows.filter(H.row_masked(F.col("id"), 10_000)).count() == 200
 
 
+def test_mask_equals_plain_splitmix(spark):
+    rows = [0, 1, 7, -1, 2**63 - 1, -(2**63), *range(10**6, 10**6 + 300), *(k * 0x0123456789ABCDEF % 2**63 for k in range(300))]
+    low = 2**64 - 1
+
+    def mixed(r):
+        v = (r + 0x9E3779B97F4A7C15) & low
+        v = ((v ^ v >> 30) * 0xBF58476D1CE4E5B9) & low
+        v = ((v ^ v >> 27) * 0x94D049BB133111EB) & low
+        return (v ^ v >> 31) % 10000
+
+    df = spark.createDataFrame([(r,) for r in rows], "row long")
+    for points in (1800, 5001, 9999):
+        got = {r["row"]: r["m"] for r in df.select("row", H.row_masked(F.col("row"), points).alias("m")).collect()}
+        assert got == {r: mixed(r) < points for r in rows}
+
+
+def test_mask_is_worked_out_once_a_row(spark):
+    """As text, the mask is no longer than its steps, also when it decides over an array's elements."""
+    from tidemark.operators import profiles as P
+
+    df = spark.createDataFrame([(5, True, [(1, 2, 0.5)])], "row_index long, scoring boolean, features array<struct<field:bigint,feature:bigint,value:double>>")
+    plan = P.cold_publisher(df).select("features")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(str(H.row_masked(F.col("id"), 1800))) < 20_000
+    assert plan.count("shiftrightunsigned") < 200
+
+
 def test_bucket_location(spark):
     value, c, offset, buckets = -123456789012345, (5, 7, 11, 13), 3, 1000
     v = value & (2**64 - 1)

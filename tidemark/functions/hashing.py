@@ -53,27 +53,49 @@ def bucket_location(value: Column, coefficients: tuple[int, int, int, int], offs
     return F.pmod(F.pmod(total, F.lit(PRIME)), F.lit(buckets))
 
 
+def _let(value: Column, of) -> Column:
+    """``of(value)`` with the value worked out once, however often ``of`` names it."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def _times(x: Column, constant: int) -> Column:
-    """Product modulo 2**64 of two 64-bit patterns, by 32-bit halves (overflow raises otherwise)."""
-    low = F.lit((1 << 32) - 1)
-    a0, a1 = x.bitwiseAND(low), F.shiftrightunsigned(x, 32)
-    b0, b1 = constant & 0xFFFFFFFF, constant >> 32
-    dec = lambda c: c.cast("decimal(38,0)")
-    two32, two64 = F.lit(2**32).cast("decimal(38,0)"), F.lit(str(2**64)).cast("decimal(38,0)")
-    cross = (dec(a0) * F.lit(b1).cast("decimal(20,0)") + dec(a1) * F.lit(b0).cast("decimal(20,0)")) % two32
-    whole = (dec(a0) * F.lit(b0).cast("decimal(20,0)") + cross * two32) % two64
-    half = F.lit(str(2**63)).cast("decimal(38,0)")
-    return F.when(whole >= half, whole - two64).otherwise(whole).cast("bigint")
+    """Product modulo 2**64 of two 64-bit patterns; no step passes 63 bits but by shifts (overflow raises otherwise)."""
+    low, small = F.lit((1 << 32) - 1), F.lit((1 << 16) - 1)
+    x0, x1 = x.bitwiseAND(low), F.shiftrightunsigned(x, 32)
+    c0, c1 = constant & 0xFFFFFFFF, constant >> 32
+
+    def cross(half: Column, c: int) -> Column:  # modulo 2**32
+        return (half * F.lit(c & 0xFFFF)).bitwiseAND(low) + F.shiftleft((half * F.lit(c >> 16)).bitwiseAND(small), 16)
+
+    # x0 * c0 is top * 2**16 and the 16 lowest bits of x0's lower half times c0
+    def joined(lowest: Column) -> Column:
+        top = F.shiftrightunsigned(x0, 16) * F.lit(c0) + F.shiftrightunsigned(lowest, 16)
+        upper = F.shiftrightunsigned(top, 16) + cross(x0, c1) + cross(x1, c0)
+        return F.shiftleft(upper, 32).bitwiseOR(F.shiftleft(top.bitwiseAND(small), 16)).bitwiseOR(lowest.bitwiseAND(small))
+
+    return _let(x0.bitwiseAND(small) * F.lit(c0), joined)
 
 
 def row_masked(row: Column, basis_points: int) -> Column:
-    """Whether the row number's SplitMix64 value, unsigned modulo 10000, is below ``basis_points``."""
+    """Whether the row number's SplitMix64 value, unsigned modulo 10000, is below ``basis_points``.
+
+    Each step's value is bound once: named in the next step's text instead, it would be worked out
+    some thousand times a row.
+    """
     golden, first, second = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
-    dec = row.cast("decimal(38,0)") + F.lit(str(golden)).cast("decimal(38,0)")
-    dec = dec % F.lit(str(2**64)).cast("decimal(38,0)")
-    v = F.when(dec >= F.lit(str(2**63)).cast("decimal(38,0)"), dec - F.lit(str(2**64)).cast("decimal(38,0)")).otherwise(dec).cast("bigint")
-    v = _times(v.bitwiseXOR(F.shiftrightunsigned(v, 30)), first)
-    v = _times(v.bitwiseXOR(F.shiftrightunsigned(v, 27)), second)
-    v = v.bitwiseXOR(F.shiftrightunsigned(v, 31))
-    rest = (F.shiftrightunsigned(v, 1) % 5000) * 2 + v.bitwiseAND(F.lit(1))
-    return rest < basis_points
+    low = F.lit((1 << 32) - 1)
+    mixed = lambda v, n: _let(v, lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, n)))
+    times = lambda v, c: _let(v, lambda x: _times(x, c))
+
+    def plus(r: Column) -> Column:
+        under = r.bitwiseAND(low) + F.lit(golden & 0xFFFFFFFF)
+        upper = F.shiftrightunsigned(r, 32) + F.lit(golden >> 32) + F.shiftrightunsigned(under, 32)
+        return F.shiftleft(upper, 32).bitwiseOR(under.bitwiseAND(low))
+
+    def below(v: Column) -> Column:
+        return (F.shiftrightunsigned(v, 1) % 5000) * 2 + v.bitwiseAND(F.lit(1).cast("bigint")) < basis_points
+
+    v = _let(row.cast("bigint"), plus)
+    v = times(mixed(v, 30), first)
+    v = times(mixed(v, 27), second)
+    return _let(mixed(v, 31), below)

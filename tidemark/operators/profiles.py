@@ -153,8 +153,9 @@ def cold_publisher(rows: DataFrame, basis_points: int = 1800) -> DataFrame:
     """Field 1 becomes the cold token in scoring rows and in masked training rows."""
     cold = hash_token(F.lit(COLD_TOKEN), BINS)
     masked = F.col("scoring") | row_masked(F.col("row_index"), basis_points)
-    swap = F.transform("features", lambda x: F.when((x["field"] == SITE_FIELD) & masked, F.struct(x["field"].alias("field"), cold.alias("feature"), x["value"].alias("value"))).otherwise(x))
-    return rows.withColumn("masked", masked).withColumn("features", swap)
+    swap = F.transform("features", lambda x: F.when(x["field"] == SITE_FIELD, F.struct(x["field"].alias("field"), cold.alias("feature"), x["value"].alias("value"))).otherwise(x))
+    # asked once a row, outside the features
+    return rows.withColumn("masked", masked).withColumn("features", F.when(F.col("masked"), swap).otherwise(F.col("features")))
 
 
 def cold_selector(rows: DataFrame) -> DataFrame:
