@@ -64,6 +64,44 @@ def test_late_rows_are_marked_and_change_nothing(spark, tmp_path):
     assert len(marked) == late.count() and got == want | marked
 
 
+class Waiting:
+    """A key's state in memory; counts what is read of the waiting rows."""
+
+    def __init__(self):
+        self.rows, self.past, self.timers, self.read = [], None, set(), 0
+
+    def getValueState(self, *_):
+        return type("V", (), {"exists": lambda _: self.past is not None, "get": lambda _: self.past, "update": lambda _, v: setattr(self, "past", v)})()
+
+    def getListState(self, *_):
+        def get(_):
+            self.read += len(self.rows)
+            return iter(list(self.rows))
+
+        return type("L", (), {"get": get, "appendList": lambda _, r: self.rows.extend(r), "put": lambda _, r: setattr(self, "rows", list(r)), "clear": lambda _: setattr(self, "rows", [])})()
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+def test_waiting_rows_are_read_once_for_each_advance():
+    """A key with a row in each of 500 hours: half of them closed at one advance, the others at the next."""
+    import pandas as pd
+
+    at = lambda ms: type("T", (), {"getCurrentWatermarkInMs": lambda _: ms, "getExpiryTimeInMs": lambda _: ms})()
+    state, op, out = Waiting(), T.TimedHistory(), []
+    op.init(state)
+    rows = pd.DataFrame({"hour_no": range(1000, 1500), "event_id": range(500), "click": [i % 3 == 0 for i in range(500)], "scoring": False})
+    list(op.handleInputRows(("k",), iter([rows[250:], rows[:250]]), at(0)))
+    for mark in (1250 * T.HOUR, 1500 * T.HOUR):
+        while min(state.timers, default=mark + 1) <= mark:
+            timer = min(state.timers)
+            state.timers.remove(timer)
+            out += [x for f in op.handleExpiredTimer(("k",), at(mark), at(timer)) for x in f["event_id"].tolist()]
+    assert out == list(range(500)) and not state.rows
+    assert state.read < 2000  # 125,000 with a timer for each hour
+
+
 def test_the_state_store_setting_is_put_back(spark, tmp_path):
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)

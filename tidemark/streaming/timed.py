@@ -1,8 +1,9 @@
 """Impression and click history in event time, for streams whose rows come out of order.
 
 A key's rows wait in the state store until the watermark has passed their hour; an event-time timer
-then closes the hour, puts its rows in order and emits them with their history, which so is that of
-a batch over the same rows. Rows whose hour was closed before they came change nothing: the same
+of the key's earliest waiting hour then closes all hours that the watermark has passed, puts their
+rows in order and emits them with their history, which so is that of a batch over the same rows. So
+waiting rows are read once for each advance of the watermark, not once for each hour. Rows whose hour was closed before they came change nothing: the same
 operator emits them, marked late. Watermark, timers and waiting rows are in the checkpoint, so that
 a restarted query goes on as if it had not stopped. Input is handled chunk by chunk; what a task
 holds at a time is the rows of one key in one hour.
@@ -39,7 +40,7 @@ class TimedHistory(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         closed = timerValues.getCurrentWatermarkInMs() // HOUR  # hours before it
-        hours: set[int] = set()
+        earliest = None
         for chunk in rows:
             late = chunk[chunk["hour_no"] < closed]
             if len(late):
@@ -48,12 +49,12 @@ class TimedHistory(StatefulProcessor):
             new = list(zip(kept["hour_no"].tolist(), kept["event_id"].tolist(), kept["click"].tolist(), kept["scoring"].tolist(), strict=True))
             if new:
                 self.waiting.appendList(new)
-            for hour in {r[0] for r in new} - hours:
-                self.handle.registerTimer((hour + 1) * HOUR)
-                hours.add(hour)
+                earliest = min(r[0] for r in new) if earliest is None else min(earliest, min(r[0] for r in new))
+        if earliest is not None:
+            self.handle.registerTimer((earliest + 1) * HOUR)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs() // HOUR
+        until = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) // HOUR  # hours before it
         due, rest = [], []
         for r in self.waiting.get():
             (due if r[0] < until else rest).append(tuple(r))
@@ -61,6 +62,7 @@ class TimedHistory(StatefulProcessor):
             return
         if rest:
             self.waiting.put(rest)
+            self.handle.registerTimer((min(r[0] for r in rest) + 1) * HOUR)
         else:
             self.waiting.clear()
         due.sort(key=lambda r: (r[0], r[3], r[1]))  # scoring rows of an hour come last
