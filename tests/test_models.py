@@ -162,3 +162,14 @@ def test_report_lines_have_all_names(spark, tmp_path):
     S.write_report(spark.createDataFrame([("a", None), ("b", 2)], "split string, rows int"), str(tmp_path / "r"))
     lines = sorted(r["value"] for r in spark.read.text(str(tmp_path / "r")).collect())
     assert lines == ['{"split":"a","rows":null}', '{"split":"b","rows":2}']
+
+
+def test_scores_broadcast_no_table_that_grows(spark):
+    """Features, weights and profiles are packed well in files: by their sizes Spark would send them through the driver."""
+    from tidemark.queries import spark as Q
+
+    for df in (Q.ffm_score(spark, "/root/testdata/sf0.001"), Q._sparse(spark, "/root/testdata/sf0.001")):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        joined = [x for x in plan if "BroadcastHashJoin" in x]
+        # the tables that are counted first
+        assert len([x for x in plan if "SortMergeJoin" in x]) >= 2 and all("device_ip" in x or "value" in x for x in joined)

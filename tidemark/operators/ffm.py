@@ -40,7 +40,8 @@ def score(rows: DataFrame, weights: DataFrame) -> DataFrame:
     Each feature of a row fetches its packed weights once; pairs are formed inside the row.
     """
     each = rows.select("row_index", F.posexplode("features").alias("i", "x")).select("row_index", "i", F.col("x.feature").alias("feature"), "x.field", "x.value")
-    gathered = each.join(packed(weights), "feature").groupBy("row_index").agg(F.collect_list(F.struct("i", "field", "value", "w")).alias("fs"))
+    # weights and sums are wider than the files they come from: never broadcast
+    gathered = each.join(packed(weights).hint("merge"), "feature").groupBy("row_index").agg(F.collect_list(F.struct("i", "field", "value", "w")).alias("fs"))
     nothing = F.lit(0.0)
 
     def pair(x: Column, y: Column) -> Column:
@@ -50,7 +51,7 @@ def score(rows: DataFrame, weights: DataFrame) -> DataFrame:
 
     logit = F.aggregate("fs", nothing, lambda s, x: s + F.aggregate(F.col("fs"), nothing, lambda t, y: t + pair(x, y)))
     sums = gathered.select("row_index", logit.alias("logit"))
-    joined = rows.select("row_index", "click").join(sums, "row_index", "left").withColumn("logit", F.coalesce("logit", F.lit(0.0)))
+    joined = rows.select("row_index", "click").join(sums.hint("merge"), "row_index", "left").withColumn("logit", F.coalesce("logit", F.lit(0.0)))
     return joined.withColumn("p", 1 / (1 + F.exp(-F.col("logit"))))
 
 

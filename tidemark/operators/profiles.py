@@ -15,6 +15,14 @@ NAMED_FIELDS = ("pub_id", "pub_domain", "pub_category", "banner_pos", "device_mo
 FIELDS, PUBLISHER_FIELD, DOMAIN_FIELD, HISTORY_FIELD, COUNT_FIELD, SITE_FIELD = 15, 16, 17, 18, 19, 1
 SINGLE_WEIGHT = math.sqrt(2.0 / FIELDS)
 COLD_TOKEN = "pub_id-learned-cold"
+_PROXY = "inventory_type = 'app' AND identity_kind = 'proxy'"
+#: Rows of a table of short keys and numbers that is broadcast.
+SIDE_ROWS = 100_000
+
+
+def side(table: DataFrame) -> DataFrame:
+    """The table as the small side of a join if it has few rows, counted, and as one to be shuffled otherwise."""
+    return F.broadcast(table) if table.limit(SIDE_ROWS + 1).count() <= SIDE_ROWS else table.hint("merge")
 
 
 def with_publisher(df: DataFrame) -> DataFrame:
@@ -37,29 +45,47 @@ def identity_counts(df: DataFrame) -> DataFrame:
     return df.select(F.explode(pairs).alias("x")).groupBy("x.kind", "x.key").agg(F.count("*").alias("n"))
 
 
-def base_tokens(df: DataFrame, counts: dict[str, DataFrame], history: DataFrame, roles: Roles = Roles(), identity: int = 1000, threshold: int = 30) -> DataFrame:
-    """``tokens array<bigint>`` of 15 fields. counts: by kind, ``key, n``; history: ``base_user, hour_no, history`` of known devices."""
-    key = {"device_ip": "device_ip", "user": "base_user", "user_hour": "user_hour"}
-    rows = df.withColumn("user_hour", F.concat_ws("-", "base_user", "hour"))
-    for kind, column in key.items():
-        one = counts[kind].select(F.col("key").alias(column), F.col("n").alias(f"n_{kind}"))
-        rows = rows.join(one, column, "left")
-    # the unknown device is most rows: one number, and keys that meet nothing, in place of a hot key
-    unknown = counts["device_id"].filter(F.col("key") == roles.no_device).select("n").first()
-    known = F.when(F.col(roles.device) == roles.no_device, F.concat(F.lit("\x1f"), F.col("row_index").cast("string"))).otherwise(F.col(roles.device))
-    one = counts["device_id"].filter(F.col("key") != roles.no_device).select(F.col("key").alias("__device"), "n")
-    rows = rows.withColumn("__device", known).join(one, "__device", "left").drop("__device")
-    rows = rows.withColumn("n_device_id", F.when(F.col(roles.device) == roles.no_device, F.lit(unknown["n"] if unknown else None)).otherwise(F.col("n"))).drop("n")
-    rows = rows.join(history, ["base_user", "hour_no"], "left")
+def user_hours(df: DataFrame, history: DataFrame) -> DataFrame:
+    """``user_key, hour_key, n_user_hour, n_user, n_proxy, history``: all that tokens ask of a user and an hour, in one narrow table.
+
+    n_user, n_proxy: all rows, and those ``proxy_rows`` has, of the user; history: ``base_user, hour_no, history``.
+    A user's hours, not its rows, are one window.
+    """
+    hours = df.groupBy("base_user", "hour_no").agg(F.count("*").alias("n_user_hour"), F.count_if(F.expr(_PROXY)).alias("p"))
+    w = Window.partitionBy("base_user")
+    whole = hours.select("base_user", "hour_no", "n_user_hour", F.sum("n_user_hour").over(w).alias("n_user"), F.sum("p").over(w).alias("n_proxy"))
+    return whole.join(history.hint("merge"), ["base_user", "hour_no"], "left").select(*_user_hour_keys(), "n_user_hour", "n_user", "n_proxy", "history")
+
+
+def _user_hour_keys() -> list[Column]:
+    """Rows without user or hour have a count of their own."""
+    return [F.coalesce("base_user", F.lit("\x1f")).alias("user_key"), F.coalesce("hour_no", F.lit(-(2**62))).alias("hour_key")]
+
+
+def base_tokens(df: DataFrame, hours: DataFrame, addresses: DataFrame, roles: Roles = Roles(), identity: int = 1000, threshold: int = 30) -> DataFrame:
+    """``tokens array<bigint>`` of 15 fields. hours: ``user_hours``; addresses: ``key, n``. Also ``n_proxy`` and ``history``.
+
+    What needs no counts is hashed before the rows move. Both tables grow with the log and are packed well
+    on disk, where Spark would take them for small: only counted ones are broadcast.
+    """
+    named = [F.concat(F.lit(f"{c}-"), F.col(c)) for c in NAMED_FIELDS]
+    rows = df.withColumn("__first", hash_tokens(F.array(*named, F.concat(F.lit("hour-"), F.right("hour", F.lit(2))))))
+    rows = rows.join(side(addresses.select(F.col("key").alias("device_ip"), F.col("n").alias("n_device_ip"))), "device_ip", "left")
+    user, hour = _user_hour_keys()
+    rows = rows.withColumns({"user_key": user, "hour_key": hour}).join(hours.hint("merge"), ["user_key", "hour_key"], "left").drop("user_key", "hour_key")
+    rows = rows.withColumn("n_user", F.when(F.col("base_user").isNotNull(), F.col("n_user")))
+    # a known device is a user; the unknown one is most rows: one number
+    unknown = df.filter(F.col(roles.device) == roles.no_device).count()
+    n_device = F.when(F.col(roles.device) == roles.no_device, F.lit(unknown)).when(F.col(roles.device).isNotNull(), F.col("n_user"))
+    rows = rows.withColumn("n_device_id", n_device)
     text = F.when(F.col(roles.device) != roles.no_device, F.coalesce("history", F.lit(""))).otherwise("")
     backed = lambda c: F.when(F.col(f"n_{c}") > identity, F.concat(F.lit(f"{c}-"), F.col(c))).otherwise(F.concat(F.lit(f"{c}-less-"), F.col(f"n_{c}").cast("string")))
     few = F.when(F.col("n_user_hour") > threshold, F.lit(0)).otherwise(F.col("n_user_hour"))
     n = F.col("n_user").cast("string")
     # the third word is spelt as in the trained vocabularies
     past = F.when(F.col("n_user") > threshold, F.concat(F.lit("user_click_histroy-"), n)).otherwise(F.concat(F.lit("user_click_histroy-"), n, F.lit("-"), text))
-    tokens = [F.concat(F.lit(f"{c}-"), F.col(c)) for c in NAMED_FIELDS]
-    tokens += [F.concat(F.lit("hour-"), F.right("hour", F.lit(2))), backed("device_ip"), backed("device_id"), F.concat(F.lit("smooth_user_hour_count-"), few.cast("string")), past]
-    return rows.withColumn("tokens", hash_tokens(F.array(*tokens)))
+    tokens = [backed("device_ip"), backed("device_id"), F.concat(F.lit("smooth_user_hour_count-"), few.cast("string")), past]
+    return rows.withColumn("tokens", F.concat("__first", hash_tokens(F.array(*tokens)))).drop("__first")
 
 
 def profile_edges(df: DataFrame, kind: str, field: str, names: dict[str, str], identity: int = 100, most_rows: int = 100, norm: float = 0.5, user: str = "profile_user", order: str = "row_index") -> DataFrame:
@@ -88,14 +114,15 @@ def edges_of_pairs(pairs: DataFrame, names: dict[tuple[str, str], str], identity
 
     names: (inventory, field) -> the word its tokens begin with.
     """
-    total = pairs.groupBy("inventory", "field", "value").agg(F.sum("c").alias("total"))
+    total = side(pairs.groupBy("inventory", "field", "value").agg(F.sum("c").alias("total")))
     one = min(f for _, f in names)  # each row is in every field's pairs
-    few = pairs.filter(F.col("field") == one).groupBy("inventory", "user").agg(F.sum("c").alias("n")).filter(F.col("n") < most_rows).select("inventory", "user")
+    own = F.sum(F.when(F.col("field") == one, F.col("c"))).over(Window.partitionBy("inventory", "user"))
+    few = pairs.filter("inventory IS NOT NULL AND user IS NOT NULL").withColumn("__n", own).filter(F.col("__n") < most_rows).drop("__n")
     word = F.lit(None).cast("string")
     for (kind, field), name in names.items():
         word = F.when((F.col("inventory") == kind) & (F.col("field") == field), name).otherwise(word)
     token = F.when(F.col("total") >= identity, F.concat(word, F.lit("-"), F.col("value"))).when(F.col("total") >= 2, F.concat(word, F.lit("-less-"), F.col("total").cast("string"))).otherwise(F.concat(word, F.lit("-less")))
-    joined = pairs.join(few, ["inventory", "user"], "left_semi").join(total, ["inventory", "field", "value"], "left").withColumn("token", token)
+    joined = few.join(total, ["inventory", "field", "value"], "left").withColumn("token", token)
     counted = joined.groupBy("inventory", "user", "field", "token").agg(F.sum("c").alias("c"), F.min("first_row").alias("first_row"))
     length = F.sqrt(F.sum(F.col("c").cast("double") * F.col("c")).over(Window.partitionBy("inventory", "user", "field")))
     index = F.when(F.col("field") == "pub_id", PUBLISHER_FIELD).otherwise(DOMAIN_FIELD).cast("bigint")
@@ -111,16 +138,21 @@ def profile_vectors(edges: DataFrame) -> DataFrame:
 
 def proxy_rows(df: DataFrame) -> DataFrame:
     """App rows of unknown devices, under the proxy's name."""
-    return df.filter((F.col("inventory_type") == "app") & (F.col("identity_kind") == "proxy"))
+    return df.filter(_PROXY)
 
 
 def history_tokens(rows: DataFrame, counts: DataFrame, history: DataFrame, threshold: int = 30) -> DataFrame:
     """Tokens of fields 18 and 19 for proxy rows, and whether the history is used."""
     joined = rows.join(counts, "base_user").join(history, ["base_user", "hour_no"], "left")
-    text, n = F.coalesce("history", F.lit("")), F.col("n").cast("string")
-    token = F.when(F.col("n") > threshold, F.concat(F.lit("user_click_history-"), n)).otherwise(F.concat(F.lit("user_click_history2-"), n, F.lit("-"), text))
-    count = F.concat(F.lit("user_count-"), n)
-    return joined.select("row_index", text.alias("history"), hash_token(token).alias("history_feature"), hash_token(count).alias("count_feature"), (text != "").alias("use_history"))
+    text, features = _history_features(F.col("n"), threshold)
+    return joined.select("row_index", text.alias("history"), *features, (text != "").alias("use_history"))
+
+
+def _history_features(n: Column, threshold: int) -> tuple[Column, list[Column]]:
+    text, word = F.coalesce("history", F.lit("")), n.cast("string")
+    token = F.when(n > threshold, F.concat(F.lit("user_click_history-"), word)).otherwise(F.concat(F.lit("user_click_history2-"), word, F.lit("-"), text))
+    count = F.concat(F.lit("user_count-"), word)
+    return text, [hash_token(token).alias("history_feature"), hash_token(count).alias("count_feature")]
 
 
 def _single(field: Column | int, feature: Column, weight: float = SINGLE_WEIGHT) -> Column:
@@ -128,16 +160,18 @@ def _single(field: Column | int, feature: Column, weight: float = SINGLE_WEIGHT)
     return F.struct(f.cast("bigint").alias("field"), feature.cast("bigint").alias("feature"), F.lit(weight).alias("value"))
 
 
-def sparse_rows(tokens: DataFrame, profiles: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """``row_index, click, scoring, features``: 15 single tokens, the profile, the history if there is one."""
+def sparse_rows(tokens: DataFrame, profiles: DataFrame, history: int | None = None) -> DataFrame:
+    """``row_index, click, scoring, features``: 15 single tokens, the profile, and for proxy rows the history if ``history``, its threshold, is given."""
     base = F.transform("tokens", lambda t, i: _single(i + 1, t))
     vectors = profiles.withColumnsRenamed({"inventory": "inventory_type", "user": "profile_user"})
-    rows = tokens.join(vectors, ["inventory_type", "profile_user"], "left")
     none = F.array().cast("array<struct<field:bigint,feature:bigint,value:double>>")
     parts = [base, F.coalesce("profile", none)]
     if history is not None:
-        rows = rows.join(history, "row_index", "left")
-        parts.append(F.when(F.col("history_feature").isNotNull(), F.array(_single(HISTORY_FIELD, F.col("history_feature")), _single(COUNT_FIELD, F.col("count_feature")))).otherwise(none))
+        _, (own, count) = _history_features(F.col("n_proxy"), history)
+        tokens = tokens.withColumn("__own", F.when(F.expr(_PROXY) & F.col("base_user").isNotNull(), F.array(own, count)))
+        parts.append(F.when(F.col("__own").isNotNull(), F.array(_single(HISTORY_FIELD, F.col("__own")[0]), _single(COUNT_FIELD, F.col("__own")[1]))).otherwise(none))
+    # profiles grow with the users: never broadcast
+    rows = tokens.join(vectors.hint("merge"), ["inventory_type", "profile_user"], "left")
     return rows.select("row_index", "id", "click", "scoring", "inventory_type", F.concat(*parts).alias("features"))
 
 

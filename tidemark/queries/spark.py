@@ -418,13 +418,15 @@ def identity_counts(spark, sf):
     return P.identity_counts(users(spark, sf))
 
 
-def _base_tokens(df):
-    devices = df.filter("identity_kind = 'device'")
-    return P.base_tokens(df, {k: P.identity_count(df, k) for k in P.identity_columns()}, Y.history_strings(devices, "base_user", EVENTS), identity=BASE_IDENTITY, threshold=THRESHOLD)
+def _base_tokens(df, past):
+    hours, addresses = W.staged(P.user_hours(df, past)), W.staged(P.identity_count(df, "device_ip"))
+    return P.base_tokens(df, hours, addresses, identity=BASE_IDENTITY, threshold=THRESHOLD)
 
 
 def base_tokens(spark, sf):
-    return _base_tokens(W.staged(users(spark, sf))).select("row_index", F.array_join(F.col("tokens").cast("array<string>"), " ").alias("tokens"))
+    df = W.staged(users(spark, sf))
+    past = Y.history_strings(df.filter("identity_kind = 'device'"), "base_user", EVENTS)
+    return _base_tokens(df, past).select("row_index", F.array_join(F.col("tokens").cast("array<string>"), " ").alias("tokens"))
 
 
 _NAMES = {(kind, f): names[f] for kind, names in (("app", APP_NAMES), ("site", SITE_NAMES)) for f in names}
@@ -469,17 +471,10 @@ def proxy_counts(spark, sf):
 def _sparse(spark, sf, history=True):
     """The sparse rows; the resolved log, its pairs, counts and histories are each made once and read from there."""
     df = W.staged(users(spark, sf))
-    counts = W.staged(P.identity_counts(df))
     proxy = (F.col("identity_kind") == "proxy") & (F.col("inventory_type") == "app")
     # proxies and devices have names of their own, so one pass serves both
-    past = W.staged(Y.history_strings(df.filter((F.col("identity_kind") == "device") | proxy), "base_user", EVENTS))
-    tokens = P.base_tokens(df, {k: counts.filter(F.col("kind") == k).select("key", "n") for k in P.identity_columns()}, past, identity=BASE_IDENTITY, threshold=THRESHOLD)
-    vectors = P.profile_vectors(_edges(df))
-    if not history:
-        return P.sparse_rows(tokens, vectors)
-    proxies = P.proxy_rows(df)
-    own = P.history_tokens(proxies.select("row_index", "base_user", "hour_no"), proxies.groupBy("base_user").agg(F.count("*").alias("n")), past, THRESHOLD)
-    return P.sparse_rows(tokens, vectors, own)
+    past = Y.history_strings(df.filter((F.col("identity_kind") == "device") | proxy), "base_user", EVENTS)
+    return P.sparse_rows(_base_tokens(df, past), P.profile_vectors(_edges(df)), THRESHOLD if history else None)
 
 
 def sparse_rows(spark, sf):
@@ -689,7 +684,7 @@ def ensemble_mean_logit(spark, sf):
 
 
 def ffm_score(spark, sf):
-    rows = _sparse(spark, sf, False).filter("scoring")
+    rows = W.staged(_sparse(spark, sf, False).filter("scoring"))
     features = rows.select(F.explode("features").alias("x")).select("x.feature")
     return M.score(rows, M.synthetic_weights(features, FFM_FIELDS, FFM_FACTORS)).select("row_index", r("logit", 4).alias("logit"), r("p", 4).alias("p"))
 
