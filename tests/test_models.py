@@ -173,3 +173,29 @@ def test_scores_broadcast_no_table_that_grows(spark):
         joined = [x for x in plan if "BroadcastHashJoin" in x]
         # the tables that are counted first
         assert len([x for x in plan if "SortMergeJoin" in x]) >= 2 and all("device_ip" in x or "value" in x for x in joined)
+
+
+def test_full_batch_step_is_the_same_in_small_blocks(spark):
+    """Repeated fields, features and fields without weights, rows without label or features."""
+    g = np.random.default_rng(8)
+    rows = [(i, None if i % 9 == 5 else int(g.integers(2)), [] if i % 11 == 3 else [(f, int(g.integers(1, 5)) + 10 * f, float(g.random())) for f in (1, 2, 2, 3)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_index long, click int, features array<struct<field:bigint,feature:bigint,value:double>>")
+    state = M.synthetic_weights(df.select(F.explode("features").alias("x")).select("x.feature"), 3, 2).withColumn("g", F.transform("w", lambda x: F.lit(1.0)))
+    state = state.filter("feature <> 12 AND NOT (feature = 23 AND field = 1)").localCheckpoint()
+    w = {(r["feature"], r["field"]): np.array(r["w"]) for r in state.collect()}
+    grad, logits = {}, {}
+    for i, y, fs in rows:
+        pairs = [(a, b) for k, a in enumerate(fs) for b in fs[k + 1 :] if a[0] != b[0] and (a[1], b[0]) in w and (b[1], a[0]) in w]
+        z = logits[i] = sum(w[a[1], b[0]] @ w[b[1], a[0]] * a[2] * b[2] for a, b in pairs)
+        for a, b in pairs if y is not None else []:
+            c = -(2 * y - 1) / (1 + np.exp((2 * y - 1) * z)) * a[2] * b[2]
+            grad[a[1], b[0]] = grad.get((a[1], b[0]), 0) + c * w[b[1], a[0]]
+            grad[b[1], a[0]] = grad.get((b[1], a[0]), 0) + c * w[a[1], b[0]]
+    for size in (7, 1000):
+        scored, after = M.epoch(df, state, size=size)
+        assert {r["row_index"]: r["logit"] for r in scored.collect()} == pytest.approx(logits)
+        got = {(r["feature"], r["field"]): r["w"] for r in after.collect()}
+        assert set(got) == set(w)
+        for k, x in got.items():
+            d = grad[k] + 2e-5 * w[k] if k in grad else np.zeros(2)
+            assert x == pytest.approx(list(w[k] - 0.05 * d / np.sqrt(1 + d * d)))

@@ -6,9 +6,13 @@ updates row by row, and gives other numbers.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ffm_fit import BLOCK_ROWS, staged
+
 
 def synthetic_weights(features: DataFrame, fields: int, factors: int) -> DataFrame:
     """Weights ``((feature * 31 + field * 17 + factor * 7) % 1000) / 2000`` of all seen features."""
@@ -17,18 +21,6 @@ def synthetic_weights(features: DataFrame, fields: int, factors: int) -> DataFra
     return one.withColumn("field", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(fields).cast("bigint")))).withColumn("w", w)
 
 
-def pairs(rows: DataFrame, weights: DataFrame) -> DataFrame:
-    """One row for each pair of a row's features of different fields, with both weight vectors."""
-    each = rows.select("row_index", "click", F.posexplode("features").alias("i", "a"), "features")
-    each = each.select("row_index", "click", "a", F.explode(F.slice("features", F.col("i") + 2, F.size("features"))).alias("b")).filter("a.field <> b.field")
-    a, b = weights.select(F.col("feature").alias("fa"), F.col("field").alias("ga"), F.col("w").alias("wa")), weights.select(F.col("feature").alias("fb"), F.col("field").alias("gb"), F.col("w").alias("wb"))
-    return each.join(a, (F.col("a.feature") == F.col("fa")) & (F.col("b.field") == F.col("ga"))).join(b, (F.col("b.feature") == F.col("fb")) & (F.col("a.field") == F.col("gb")))
-
-
-def dot(x: str, y: str) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-
-
 def packed(weights: DataFrame) -> DataFrame:
     """``feature, w``: a feature's weights as a map from field to factors, one row a feature."""
     return weights.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("field", "w"))).alias("w"))
@@ -55,17 +47,73 @@ def score(rows: DataFrame, weights: DataFrame) -> DataFrame:
     return joined.withColumn("p", 1 / (1 + F.exp(-F.col("logit"))))
 
 
-def epoch(rows: DataFrame, state: DataFrame, rate: float = 0.05, l2: float = 2e-5) -> tuple[DataFrame, DataFrame]:
-    """One step. state: ``feature, field, w, g`` (g: sums of squared gradients). Returns scores and the new state."""
-    scored = score(rows, state)
-    y = 2 * F.col("click") - 1
-    kappa = scored.select("row_index", (-y / (1 + F.exp(y * F.col("logit")))).alias("kappa"))
-    both = pairs(rows, state).join(kappa, "row_index").withColumn("c", F.col("kappa") * F.col("a.value") * F.col("b.value"))
-    one = both.select(F.col("fa").alias("feature"), F.col("ga").alias("field"), F.posexplode(F.transform("wb", lambda v: v * F.col("c"))).alias("k", "d"))
-    other = both.select(F.col("fb").alias("feature"), F.col("gb").alias("field"), F.posexplode(F.transform("wa", lambda v: v * F.col("c"))).alias("k", "d"))
-    summed = one.unionByName(other).groupBy("feature", "field", "k").agg(F.sum("d").alias("d"))
-    gradient = summed.groupBy("feature", "field").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]).alias("d"))
-    joined = state.join(gradient, ["feature", "field"], "left")
+class _Block:
+    """A block's rows, padded, and the weights of its features for every field; ``has`` tells those there are."""
+
+    def __init__(self, rows: pa.Table, model: pa.Table):
+        lists = [rows.column(c).combine_chunks() for c in ("feature", "field", "value")]
+        sizes = np.diff(lists[0].offsets.to_numpy()).astype(np.int64)
+        feature, field, value = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+        self.feature = np.unique(model.column("feature").to_numpy())
+        own, of = np.searchsorted(self.feature, model.column("feature").to_numpy()), model.column("field").to_numpy()
+        self.fields = int(max(field.max(initial=0), of.max(initial=0))) + 1
+        vectors = np.stack(model.column("w").to_numpy(zero_copy_only=False)).astype(np.float64) if len(own) else np.zeros((0, 1))
+        self.w, self.has = np.zeros((len(self.feature) + 1, self.fields, vectors.shape[1])), np.zeros((len(self.feature) + 1, self.fields), bool)
+        self.w[own, of], self.has[own, of] = vectors, True
+        place = np.searchsorted(self.feature, feature)
+        place[place < len(self.feature)] = np.where(self.feature[place[place < len(self.feature)]] == feature[place < len(self.feature)], place[place < len(self.feature)], len(self.feature))
+        self.width = int(sizes.max(initial=0))
+        self.inside = np.arange(self.width) < sizes[:, None]
+        self.at, self.field, self.value = np.full(self.inside.shape, len(self.feature)), np.zeros(self.inside.shape, np.int64), np.zeros(self.inside.shape)
+        self.at[self.inside], self.field[self.inside], self.value[self.inside] = place, field, value
+        self.d, self.seen = np.zeros((self.has.size, vectors.shape[1])), np.zeros(self.has.size, bool)
+
+    def add(self, s: slice, y: np.ndarray) -> np.ndarray:
+        """The logits of rows; their gradients are added to ``d`` where there is a label."""
+        at, field, value = self.at[s], self.field[s], self.value[s]
+        mine = self.w[at[:, :, None], field[:, None, :]]  # [row, i, j]: of feature i for field j
+        there = self.has[at[:, :, None], field[:, None, :]] & self.inside[s][:, :, None] & (field[:, :, None] != field[:, None, :])
+        there &= there.transpose(0, 2, 1)
+        pair = np.where(there, value[:, :, None] * value[:, None, :], 0.0)
+        z = np.einsum("bijk,bjik,bij->b", mine, mine, np.triu(pair, 1))
+        kappa = -y / (1 + np.exp(y * z))
+        b, i, j = np.nonzero(there & ~np.isnan(y)[:, None, None])
+        cell, c = at[b, i] * self.fields + field[b, j], kappa[b] * pair[b, i, j]
+        for k in range(self.d.shape[1]):
+            self.d[:, k] += np.bincount(cell, c * mine[b, j, i, k], len(self.d))
+        self.seen[cell] = True
+        return z
+
+
+def _gradients(key, rows: pa.Table, model: pa.Table) -> pa.Table:
+    block, click = _Block(rows, model), rows.column("click").to_numpy(zero_copy_only=False).astype(np.float64)
+    step = max(1, 2_000_000 // (block.width**2 * block.d.shape[1] + 1))
+    z = np.concatenate([block.add(slice(i, i + step), 2 * click[i : i + step] - 1) for i in range(0, len(click), step)] or [np.zeros(0)])
+    cells = np.flatnonzero(block.seen)
+    scored = pa.table({"row_index": rows.column("row_index"), "click": rows.column("click"), "logit": z})
+    summed = pa.table({"feature": block.feature[cells // block.fields], "field": cells % block.fields, "d": pa.array(list(block.d[cells]), pa.list_(pa.float64()))})
+    names = {"row_index": pa.int64(), "click": pa.int32(), "logit": pa.float64(), "feature": pa.int64(), "field": pa.int64(), "d": pa.list_(pa.float64())}
+    whole = lambda t: pa.table({n: t.column(n).cast(x) if n in t.column_names else pa.nulls(len(t), x) for n, x in names.items()})
+    return pa.concat_tables([whole(scored), whole(summed)])
+
+
+def epoch(rows: DataFrame, state: DataFrame, rate: float = 0.05, l2: float = 2e-5, size: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """One step. state: ``feature, field, w, g`` (g: sums of squared gradients). Returns scores and the new state.
+
+    Rows lie in blocks, which get their features' weights by one join; pairs are formed inside a block,
+    and only its sums of gradients by feature and field leave it.
+    """
+    blocks = max(1, -(-rows.count() // size))
+    part = lambda x, kind: F.transform(F.coalesce("features", F.array().cast("array<struct<field:bigint,feature:bigint,value:double>>")), lambda f: f[x].cast(kind)).alias(x)
+    dealt = rows.select(F.pmod(F.xxhash64("row_index"), F.lit(blocks)).alias("block"), "row_index", F.col("click").cast("int").alias("click"), part("feature", "long"), part("field", "long"), part("value", "double"))
+    need = dealt.select(F.col("block").alias("to"), F.explode("feature").alias("feature")).distinct()
+    model = need.join(state.select("feature", F.col("field").cast("long").alias("field"), "w").hint("merge"), "feature")
+    out = staged(dealt.groupBy("block").cogroup(model.groupBy("to")).applyInArrow(_gradients, "row_index long, click int, logit double, feature long, field long, d array<double>"))
+    scored = out.filter("logit IS NOT NULL").select("row_index", "click", "logit", (1 / (1 + F.exp(-F.col("logit")))).alias("p"))
+    factors = state.select(F.size("w").alias("n")).first()
+    sums = F.array(*[F.sum(F.get("d", F.lit(k))) for k in range(factors["n"] if factors else 0)])
+    gradient = out.filter("feature IS NOT NULL").groupBy("feature", "field").agg(sums.alias("d"))
+    joined = state.join(gradient.hint("merge"), ["feature", "field"], "left")
     full = F.zip_with("d", "w", lambda d, w: d + l2 * w)
     moved = joined.withColumn("grad", F.when(F.col("d").isNotNull(), full))
     g = F.zip_with("g", "grad", lambda g, d: g + d * d)
