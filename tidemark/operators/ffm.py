@@ -1,4 +1,4 @@
-"""Field-aware pairwise models over sparse rows, as joins and sums.
+"""Field-aware pairwise models over sparse rows: scores as joins, the fit as sums over blocks of rows.
 
 The fit takes one full-batch AdaGrad step an epoch. That is another algorithm than online
 updates row by row, and gives other numbers.
