@@ -134,3 +134,28 @@ def test_slices_are_read_in_order_whatever_their_number(spark, monkeypatch):
     one = rows()
     monkeypatch.setattr(H, "LEAST_SLICES", 7)
     assert rows() == one and len(one) > 0
+
+
+def test_a_batch_calls_buckets_not_keys(spark, tmp_path):
+    """Many keys share a call and its state; keys that are null are one more key; batches follow each other."""
+    import json
+
+    from tidemark.streaming import history as H
+
+    rows = [(i, None if u == 0 else u, 3600 * h, "click" if i % 5 == 0 else "view") for i, (h, u) in enumerate((h, u) for h in range(4) for u in range(40))]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, s long, event_type string").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    calls, before = [], H.KEY_BUCKETS
+    H.KEY_BUCKETS = 3
+    try:
+        for part in (0, 1):
+            df.filter((F.col("event_id") >= 80) == bool(part)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+            out = H.prior_impressions(stream)
+            q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+            q.awaitTermination()
+            calls += [p["stateOperators"][0]["numRowsTotal"] for p in (json.loads(p.json) for p in q.recentProgress) if p["stateOperators"]]
+    finally:
+        H.KEY_BUCKETS = before
+    got = {r["event_id"]: tuple(r)[1:] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {i: (i // 40, int(i >= 40), 0) for i in range(160)}
+    assert 0 < max(calls) <= 3

@@ -1,8 +1,8 @@
 """The history operators over event streams.
 
 Micro-batches come from ``maxFilesPerTrigger`` and ``availableNow``; results go to Parquet in
-the shared folder. State is per key. Rows of a key that reach the processor in one batch are
-put in order there, so batches must follow each other in time: ``ordered_stream`` sees to that
+the shared folder. State is per key, held by buckets of keys. Rows of a key that reach the processor
+in one batch are put in order there, so batches must follow each other in time: ``ordered_stream`` sees to that
 and bounds a batch, and a row older than its key's state raises. Streams that do come out of order
 are for ``timed.timed_history``. Rows later than the watermark go to a side table.
 """
@@ -10,6 +10,8 @@ are for ``timed.timed_history``. Rows later than the watermark go to a side tabl
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,8 @@ from tidemark.sources.impressions import shared_folder
 
 #: Rows of a slice of whole hours, about; an hour with more is a slice of its own.
 SLICE_ROWS, LEAST_SLICES = 2_000_000, 3
+#: Buckets of keys; each is called once a batch.
+KEY_BUCKETS = 1024
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -92,43 +96,66 @@ def refuse(hour: int, last: int | None) -> None:
         raise ValueError(f"a row of hour {hour} comes after one of hour {last}: order the stream, or use timed_history")
 
 
-class Impressions(StatefulProcessor):
-    """Earlier rows, hours since the last, earlier rows in the hour."""
+class _Buckets(StatefulProcessor):
+    """State of all keys of a bucket, ``width`` numbers a key, read and written once a batch.
+
+    A call for each key and batch would be keys times batches, both of which grow with the log.
+    """
+
+    reads: tuple[str, ...]
+    writes: tuple[str, ...]
+    width: int
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("seen", "total long, last_hour long, in_hour long")
+        self.state = handle.getValueState("past", "names array<string>, numbers array<bigint>")
+
+    def advance(self, s: list[int], rows: Iterator[tuple], out: list[tuple]) -> tuple:
+        """Goes through a key's new rows, (name, *reads), in order; returns its new state."""
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["hour_no", "event_id"])
-        total, last, inside = self.state.get() if self.state.exists() else (0, None, 0)
-        out = []
-        for event, hour in zip(new["event_id"], new["hour_no"], strict=True):
-            refuse(hour, last)
-            inside = inside if last == hour else 0
-            out.append((event, total, hour - last if last is not None else 0, inside))
-            total, last, inside = total + 1, hour, inside + 1
-        self.state.update((int(total), int(last), int(inside)))
-        yield pd.DataFrame(out, columns=["event_id", "prior_impressions", "hours_since_previous", "prior_in_hour"])
+        new = pd.concat(list(rows)).sort_values(["name", "hour_no", "event_id"])
+        names, numbers = self.state.get() if self.state.exists() else ((), ())
+        past = {name: numbers[i * self.width : (i + 1) * self.width] for i, name in enumerate(names)}
+        out: list[tuple] = []
+        for name, own in groupby(zip(*(new[c].tolist() for c in ("name", *self.reads)), strict=True), itemgetter(0)):
+            past[name] = self.advance(past.get(name, [0] * self.width), own, out)
+        self.state.update((list(past), [int(x) for s in past.values() for x in s]))
+        yield pd.DataFrame(out, columns=list(self.writes))
 
     def close(self) -> None:
         pass
 
 
-class Clicks(StatefulProcessor):
+class Impressions(_Buckets):
+    """Earlier rows, hours since the last, earlier rows in the hour."""
+
+    reads, width = ("event_id", "hour_no"), 3
+    writes = ("event_id", "prior_impressions", "hours_since_previous", "prior_in_hour")
+
+    def advance(self, s, rows, out):
+        total, last, inside = s
+        for _, event, hour in rows:
+            refuse(hour, last if total else None)
+            inside = inside if total and last == hour else 0
+            out.append((event, total, hour - last if total else 0, inside))
+            total, last, inside = total + 1, hour, inside + 1
+        return total, last, inside
+
+
+class Clicks(_Buckets):
     """Completed-hour click history; an hour's labels wait until a row of a later hour comes."""
 
+    reads, width = ("event_id", "hour_no", "click", "scoring"), 10
+    writes = ("event_id", "prior_clicks", "prior_nonclicks", "hours_since_click", "impressions_since_click", "click_pattern")
+
     def __init__(self, bits: int = 4):
         self.bits = bits
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("past", "n long, pos long, clicked long, since long, pattern long, length long, labelled long, hour long, hour_n long, hour_pos long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["hour_no", "event_id"])
+    def advance(self, s, rows, out):
         names = "n pos clicked since pattern length labelled hour hour_n hour_pos".split()
-        s = dict(zip(names, self.state.get() if self.state.exists() else (0,) * 10, strict=True))
-        mask, out = (1 << self.bits) - 1, []
-        for event, hour, click, scoring in zip(new["event_id"], new["hour_no"], new["click"], new["scoring"], strict=True):
+        s, mask = dict(zip(names, s, strict=True)), (1 << self.bits) - 1
+        for _, event, hour, click, scoring in rows:
             refuse(hour, s["hour"] if s["hour_n"] or s["n"] else None)
             if s["hour_n"] and s["hour"] < hour:  # the waiting hour is complete
                 hit, gap = s["hour_pos"] > 0, s["hour"] - s["labelled"] if s["n"] else 1
@@ -141,25 +168,27 @@ class Clicks(StatefulProcessor):
             out.append((event, s["pos"], s["n"] - s["pos"], hour - s["clicked"] if s["pos"] else 0, s["since"], (s["length"] << self.bits) | s["pattern"]))
             if not scoring:  # scoring rows read the state and leave it alone
                 s["hour"], s["hour_n"], s["hour_pos"] = hour, s["hour_n"] + 1, s["hour_pos"] + click
-        self.state.update(tuple(int(s[x]) for x in names))
-        yield pd.DataFrame(out, columns=["event_id", "prior_clicks", "prior_nonclicks", "hours_since_click", "impressions_since_click", "click_pattern"])
+        return tuple(s[x] for x in names)
 
-    def close(self) -> None:
-        pass
+
+def _bucketed(events: DataFrame, key: str, *columns):
+    """The columns by bucket of the key; a key that is null is one as any other."""
+    name = F.coalesce(F.concat(F.lit("v"), F.col(key).cast("string")), F.lit("n"))
+    return events.select(F.pmod(F.xxhash64(name), F.lit(KEY_BUCKETS)).alias("bucket"), name.alias("name"), *columns).groupBy("bucket")
 
 
 def prior_impressions(events: DataFrame, key: str = "user_id") -> DataFrame:
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    rows = events.select(key, "event_id", F.floor(F.unix_timestamp("ts") / 3600).alias("hour_no"))
-    return rows.groupBy(key).transformWithStateInPandas(Impressions(), "event_id long, prior_impressions long, hours_since_previous long, prior_in_hour long", "append", "none")
+    rows = _bucketed(events, key, "event_id", F.floor(F.unix_timestamp("ts") / 3600).alias("hour_no"))
+    return rows.transformWithStateInPandas(Impressions(), "event_id long, prior_impressions long, hours_since_previous long, prior_in_hour long", "append", "none")
 
 
 def click_history(events: DataFrame, scoring_from: int, key: str = "user_id", bits: int = 4) -> DataFrame:
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     hour = F.floor(F.unix_timestamp("ts") / 3600)
-    rows = events.select(key, "event_id", hour.alias("hour_no"), (F.col("event_type") == "click").cast("long").alias("click"), (hour >= scoring_from).alias("scoring"))
+    rows = _bucketed(events, key, "event_id", hour.alias("hour_no"), (F.col("event_type") == "click").cast("long").alias("click"), (hour >= scoring_from).alias("scoring"))
     schema = "event_id long, prior_clicks long, prior_nonclicks long, hours_since_click long, impressions_since_click long, click_pattern long"
-    return rows.groupBy(key).transformWithStateInPandas(Clicks(bits), schema, "append", "none")
+    return rows.transformWithStateInPandas(Clicks(bits), schema, "append", "none")
 
 
 def route_late(stream: DataFrame, allowed_hours: int, arrivals: Sequence[Callable[[], None]] = ()) -> tuple[DataFrame, DataFrame]:
