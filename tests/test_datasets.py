@@ -53,3 +53,32 @@ def test_history_of_a_hot_key_is_cut_into_segments(spark):
     assert segments.agg(F.max("count")).first()[0] <= 64
     plan = Y.impression_history(rows, "k", width=64)._jdf.queryExecution().executedPlan().toString()
     assert "__segment" in plan and plan.count("Window [row_number()") == 1
+
+
+def test_rows_meet_the_windows_in_compiled_code(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name in ("evaluation_windows", "production_window"):
+            run = Q.QUERIES[name](spark, DATA)._jdf.queryExecution()
+            plan, codes = run.executedPlan().toString(), run.debug().codegenToSeq()
+            # the log is read as it was written once, and rows are dealt out to the windows inside generated code
+            assert "events.parquet" not in plan
+            assert any("Generate explode" in line and "*(" in line for line in plan.splitlines())
+            # the JVM does not compile methods of more bytes
+            assert max(codes.apply(i)._3().maxMethodCodeSize() for i in range(codes.size())) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_rounding_at_the_source_is_rounding_at_the_end(spark):
+    rows = Q._recipe_rows(spark, SMALL).filter("NOT scoring")
+    # values without a row of their own: null keys have neither ids nor history
+    rows = rows.withColumns({c: F.when(F.col("row_index") % 9 != 0, F.col(c)) for c in ("site_id", "device_ip", "user_id")})
+    a, _ = Q.hours(rows)
+    folds = [D.Fold("early", a, a + 200, a + 300), D.Fold("late", a, a + 400, a + 500)]
+    lanes = {d[0]: d[1] for d in Recipe().definitions()}
+    plain = D.dataset(rows, Recipe(), folds)
+    after = plain.select(*[Q.r(c).alias(c) if lanes.get(c) == "numerical" else F.col(c) for c in plain.columns])
+    got = sorted(map(tuple, D.dataset(rows, Recipe(), folds, Q.r).drop("click").collect()))
+    assert got == sorted(map(tuple, after.drop("click").collect()))
+    assert plain.filter(" OR ".join(f"{n} IS NULL" for n in lanes)).count() == 0

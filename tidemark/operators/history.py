@@ -17,9 +17,12 @@ from tidemark.functions.rowlocal import logit
 SLICE = 1 << 20
 
 
-def impression_history(rows: DataFrame, key: str, time: str = "hour_no", order: str = "row_index", width: int = SLICE) -> DataFrame:
+def impression_history(rows: DataFrame, key: str, time: str = "hour_no", order: str = "row_index", width: int = SLICE, hourly: DataFrame | None = None) -> DataFrame:
     """Earlier rows of the key, hours since the last of them, earlier rows in the hour; scoring rows come last.
 
+    ``hourly``: further columns by key and time. They are joined to the segments, which are narrow, and
+    reach the rows with their segment's sums, so that rows are not shuffled once more for them.
+
     A segmented scan: rows are numbered inside segments (key, hour, scoring, ``width`` orders) only,
     and a segment starts at the prefix sums of its key's earlier segments. So a key with most of
     the log is as many tasks as it has segments. Rows with equal keys, nulls included, belong together.
@@ -31,11 +34,16 @@ def impression_history(rows: DataFrame, key: str, time: str = "hour_no", order:
     by_hour = Window.partitionBy(key, time).orderBy("scoring", "__slice")
     starts = totals.select(
         "__segment",
+        *([] if hourly is None else [F.col(key).alias("__key"), F.col(time).alias("__time")]),
         (F.sum("__n").over(by_key) - F.col("__n")).alias("__before"),
         (F.sum("__n").over(by_hour) - F.col("__n")).alias("__inside"),
         # the hour of the last row outside this hour
         F.max(time).over(Window.partitionBy(key).orderBy(time).rangeBetween(Window.unboundedPreceding, -1)).alias("__last"),
     )
+    more = [] if hourly is None else [c for c in hourly.columns if c not in (key, time)]
+    if hourly is not None:
+        own = hourly.select(F.col(key).alias("__key"), F.col(time).alias("__time"), *more)
+        starts = starts.join(own, ["__key", "__time"], "left").drop("__key", "__time")
     place = F.row_number().over(Window.partitionBy("__segment").orderBy(order)) - 1
     numbered = cut.withColumn("__place", place).join(starts, "__segment")
     first = F.col("__inside") + F.col("__place") == 0
@@ -44,6 +52,7 @@ def impression_history(rows: DataFrame, key: str, time: str = "hour_no", order:
         (F.col("__before") + F.col("__place")).cast("bigint").alias("prior_impressions"),
         F.when(first, F.coalesce(F.col(time) - F.col("__last"), F.lit(0))).otherwise(0).cast("bigint").alias("hours_since_previous"),
         (F.col("__inside") + F.col("__place")).cast("bigint").alias("prior_in_hour"),
+        *more,
     )
 
 

@@ -833,22 +833,21 @@ def _recipe_rows(spark, sf):
     return R.crosses(R.time_features(users(spark, sf)), RECIPE.crosses)
 
 
-def _rounded(df):
-    lanes = {d[0]: d[1] for d in RECIPE.definitions()}
-    return df.withColumn("click", F.col("click").cast("double")).select(*[r(c).alias(c) if lanes.get(c) == "numerical" else F.col(c) for c in df.columns])
+def _rounded(df, windows):
+    return D.dataset(df, RECIPE, windows, r).withColumn("click", F.col("click").cast("double"))
 
 
 def evaluation_windows(spark, sf):
     """All features of the contract in every walk-forward window and the final holdout of the labelled log."""
     df = _recipe_rows(spark, sf).filter("NOT scoring")
-    return _rounded(D.dataset(df, RECIPE, D.folds(Y.windows(df, HOLDOUT, FOLDS, FOLD_HOURS, MINIMUM))))
+    return _rounded(df, D.folds(Y.windows(df, HOLDOUT, FOLDS, FOLD_HOURS, MINIMUM)))
 
 
 def production_window(spark, sf):
     """The same features for all labelled rows and the scoring rows; frequencies and distinct counts are of both."""
     df = _recipe_rows(spark, sf)
     span = df.agg(F.min("hour_no").alias("a"), F.min(F.when(F.col("scoring"), F.col("hour_no"))).alias("e"), F.max("hour_no").alias("b")).first()
-    return _rounded(D.dataset(df.withColumn("click", F.when(~F.col("scoring"), F.col("click"))), RECIPE, [D.Fold("production", span["a"], span["e"], span["b"] + 1, True)]))
+    return _rounded(df.withColumn("click", F.when(~F.col("scoring"), F.col("click"))), [D.Fold("production", span["a"], span["e"], span["b"] + 1, True)])
 
 
 def _dataset(spark, sf, transductive):
