@@ -165,3 +165,39 @@ def test_fold_models_use_all_cores(spark, monkeypatch):
     windows = spark.createDataFrame([("f0", 0, 10, 10, 20), ("f1", 0, 20, 20, 30)], "name string, train_start long, train_end long, valid_start long, valid_end long")
     assert B.fold_predictions(df, windows, slots=16, steps=2).count() == 200
     assert len(parts) == 2 and min(parts) >= spark.sparkContext.defaultParallelism
+
+
+def test_fold_models_are_sparks_but_read_rows_packed(spark, monkeypatch):
+    """Each fold's predictions are those of FMClassifier on its training rows, to which no rows are given any more."""
+    from pyspark.ml.classification import FMClassifier
+    from pyspark.ml.feature import HashingTF, Normalizer
+    from pyspark.ml.functions import vector_to_array
+
+    g = np.random.default_rng(6)
+    draw = lambda: [(int(f), int(g.integers(10 ** int(g.integers(1, 7)))), round(float(g.random()), 5)) for f in g.integers(1, 20, int(g.integers(0, 9)))]
+    rows = [(i, i // 10, int(g.integers(2)), draw()) for i in range(500)]
+    df = spark.createDataFrame(rows, "row_index long, hour_no long, click int, features array<struct<field:bigint,feature:bigint,value:double>>").coalesce(1)
+    windows = [("f0", 0, 30, 30, 40), ("f1", 5, 40, 40, 50)]
+    name = lambda x: F.concat_ws(":", x["field"].cast("string"), x["feature"].cast("string"))
+    words = df.withColumn("words", F.flatten(F.transform("features", lambda x: F.array_repeat(name(x), F.greatest(F.lit(1), F.round(x["value"] * B.UNITS).cast("int"))))))
+    vectors = Normalizer(inputCol="counts", outputCol="vector").transform(HashingTF(numFeatures=64, inputCol="words", outputCol="counts").transform(words)).withColumn("label", F.col("click").cast("double")).cache()
+    want = {}
+    for w, a, b, c, d in windows:
+        own = FMClassifier(featuresCol="vector", labelCol="label", factorSize=4, maxIter=4, stepSize=0.1, initStd=0.01, regParam=0.001, seed=7).fit(vectors.filter(f"hour_no >= {a} AND hour_no < {b}"))
+        for r in own.transform(vectors.filter(f"hour_no >= {c} AND hour_no < {d}")).select("row_index", vector_to_array("probability")[1].alias("p")).collect():
+            want[w, r["row_index"]] = r["p"]
+    given, fit = [], FMClassifier.fit
+    monkeypatch.setattr(FMClassifier, "fit", lambda self, df: (given.append(df.count()), fit(self, df))[1])
+    table = spark.createDataFrame(windows, "name string, train_start long, train_end long, valid_start long, valid_end long")
+    got = {(r["window"], r["row_index"]): r["p"] for r in B.fold_predictions(df, table, slots=64, steps=4).collect()}
+    assert len(want) == 200 and got == pytest.approx(want, abs=1e-9)
+    assert max(given) <= 1
+    assert B.packed(df).count() >= spark.sparkContext.defaultParallelism  # rows of one file are dealt to all cores
+
+
+def test_slots_are_those_of_hashing_tf(spark):
+    from pyspark.ml.feature import HashingTF
+
+    tf = HashingTF(numFeatures=B.SLOTS, inputCol="w", outputCol="v")
+    for w in ["1:2", "15:926508", "", "a", "ab", "abc", "abcd", "17:1", "19:-7"]:
+        assert B.slot_of(w.encode(), B.SLOTS) == tf.indexOf(w)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,9 +23,24 @@ def hash_token(token: Column, bins: int = BINS) -> Column:
     return hash_digest(F.md5(token), bins)
 
 
-def hash_tokens(tokens: Column, bins: int = BINS) -> Column:
-    """The hashes of an array of tokens; each digest is made once."""
-    return F.transform(F.transform(tokens, F.md5), lambda d: hash_digest(d, bins))
+def hash_tokens(tokens: list[Column], bins: int = BINS) -> Column:
+    """``hash_token`` of several columns, as one array.
+
+    The digits of a digest cost Spark's expressions more than the digest, so batches of rows are hashed
+    in Python, and of a batch each column's different tokens only.
+    """
+
+    def hashed(*columns: pa.Array) -> pa.Array:
+        out, missing = (np.zeros((len(columns[0]), len(columns)), t) for t in (np.int64, bool))
+        for k, c in enumerate(columns):
+            d = c.dictionary_encode()
+            each = [int.from_bytes(hashlib.md5(x.encode()).digest()) % (bins - 1) + 1 for x in d.dictionary.to_pylist()]
+            missing[:, k] = c.is_null()
+            out[:, k] = np.array([*each, 0])[d.indices.fill_null(len(each)).to_numpy()]
+        ends = np.arange(len(out) + 1, dtype=np.int32) * len(columns)
+        return pa.ListArray.from_arrays(ends, pa.array(out.reshape(-1), mask=missing.reshape(-1)))
+
+    return F.arrow_udf(hashed, "array<bigint>")(*tokens)
 
 
 def hash_digest(digest: Column, bins: int = BINS) -> Column:

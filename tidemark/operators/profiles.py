@@ -65,12 +65,10 @@ def _user_hour_keys() -> list[Column]:
 def base_tokens(df: DataFrame, hours: DataFrame, addresses: DataFrame, roles: Roles = Roles(), identity: int = 1000, threshold: int = 30) -> DataFrame:
     """``tokens array<bigint>`` of 15 fields. hours: ``user_hours``; addresses: ``key, n``. Also ``n_proxy`` and ``history``.
 
-    What needs no counts is hashed before the rows move. Both tables grow with the log and are packed well
-    on disk, where Spark would take them for small: only counted ones are broadcast.
+    Both tables grow with the log and are packed well on disk, where Spark would take them for small: only
+    counted ones are broadcast.
     """
-    named = [F.concat(F.lit(f"{c}-"), F.col(c)) for c in NAMED_FIELDS]
-    rows = df.withColumn("__first", hash_tokens(F.array(*named, F.concat(F.lit("hour-"), F.right("hour", F.lit(2))))))
-    rows = rows.join(side(addresses.select(F.col("key").alias("device_ip"), F.col("n").alias("n_device_ip"))), "device_ip", "left")
+    rows = df.join(side(addresses.select(F.col("key").alias("device_ip"), F.col("n").alias("n_device_ip"))), "device_ip", "left")
     user, hour = _user_hour_keys()
     rows = rows.withColumns({"user_key": user, "hour_key": hour}).join(hours.hint("merge"), ["user_key", "hour_key"], "left").drop("user_key", "hour_key")
     rows = rows.withColumn("n_user", F.when(F.col("base_user").isNotNull(), F.col("n_user")))
@@ -84,8 +82,10 @@ def base_tokens(df: DataFrame, hours: DataFrame, addresses: DataFrame, roles: Ro
     n = F.col("n_user").cast("string")
     # the third word is spelt as in the trained vocabularies
     past = F.when(F.col("n_user") > threshold, F.concat(F.lit("user_click_histroy-"), n)).otherwise(F.concat(F.lit("user_click_histroy-"), n, F.lit("-"), text))
-    tokens = [backed("device_ip"), backed("device_id"), F.concat(F.lit("smooth_user_hour_count-"), few.cast("string")), past]
-    return rows.withColumn("tokens", F.concat("__first", hash_tokens(F.array(*tokens)))).drop("__first")
+    named = [F.concat(F.lit(f"{c}-"), F.col(c)) for c in NAMED_FIELDS]
+    hour_of_day = F.concat(F.lit("hour-"), F.right("hour", F.lit(2)))
+    tokens = [*named, hour_of_day, backed("device_ip"), backed("device_id"), F.concat(F.lit("smooth_user_hour_count-"), few.cast("string")), past]
+    return rows.withColumn("tokens", hash_tokens(tokens))
 
 
 def profile_edges(df: DataFrame, kind: str, field: str, names: dict[str, str], identity: int = 100, most_rows: int = 100, norm: float = 0.5, user: str = "profile_user", order: str = "row_index") -> DataFrame:
@@ -144,15 +144,15 @@ def proxy_rows(df: DataFrame) -> DataFrame:
 def history_tokens(rows: DataFrame, counts: DataFrame, history: DataFrame, threshold: int = 30) -> DataFrame:
     """Tokens of fields 18 and 19 for proxy rows, and whether the history is used."""
     joined = rows.join(counts, "base_user").join(history, ["base_user", "hour_no"], "left")
-    text, features = _history_features(F.col("n"), threshold)
-    return joined.select("row_index", text.alias("history"), *features, (text != "").alias("use_history"))
+    text, (own, count) = _history_words(F.col("n"), threshold)
+    return joined.select("row_index", text.alias("history"), hash_token(own).alias("history_feature"), hash_token(count).alias("count_feature"), (text != "").alias("use_history"))
 
 
-def _history_features(n: Column, threshold: int) -> tuple[Column, list[Column]]:
+def _history_words(n: Column, threshold: int) -> tuple[Column, list[Column]]:
     text, word = F.coalesce("history", F.lit("")), n.cast("string")
     token = F.when(n > threshold, F.concat(F.lit("user_click_history-"), word)).otherwise(F.concat(F.lit("user_click_history2-"), word, F.lit("-"), text))
     count = F.concat(F.lit("user_count-"), word)
-    return text, [hash_token(token).alias("history_feature"), hash_token(count).alias("count_feature")]
+    return text, [token, count]
 
 
 def _single(field: Column | int, feature: Column, weight: float = SINGLE_WEIGHT) -> Column:
@@ -160,19 +160,22 @@ def _single(field: Column | int, feature: Column, weight: float = SINGLE_WEIGHT)
     return F.struct(f.cast("bigint").alias("field"), feature.cast("bigint").alias("feature"), F.lit(weight).alias("value"))
 
 
-def sparse_rows(tokens: DataFrame, profiles: DataFrame, history: int | None = None) -> DataFrame:
-    """``row_index, click, scoring, features``: 15 single tokens, the profile, and for proxy rows the history if ``history``, its threshold, is given."""
-    base = F.transform("tokens", lambda t, i: _single(i + 1, t))
+def sparse_rows(tokens: DataFrame, profiles: DataFrame, history: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``row_index, click, scoring, features``: 15 single tokens, the profile, and for proxy rows the history if ``history``, its threshold, is given.
+
+    keep: further columns, which a join of the finished rows would shuffle with all features.
+    """
+    base = F.array(*[_single(i + 1, F.get("tokens", F.lit(i))) for i in range(FIELDS)])
     vectors = profiles.withColumnsRenamed({"inventory": "inventory_type", "user": "profile_user"})
     none = F.array().cast("array<struct<field:bigint,feature:bigint,value:double>>")
     parts = [base, F.coalesce("profile", none)]
     if history is not None:
-        _, (own, count) = _history_features(F.col("n_proxy"), history)
-        tokens = tokens.withColumn("__own", F.when(F.expr(_PROXY) & F.col("base_user").isNotNull(), F.array(own, count)))
-        parts.append(F.when(F.col("__own").isNotNull(), F.array(_single(HISTORY_FIELD, F.col("__own")[0]), _single(COUNT_FIELD, F.col("__own")[1]))).otherwise(none))
+        has = F.expr(_PROXY) & F.col("base_user").isNotNull()
+        tokens = tokens.withColumn("__own", hash_tokens([F.when(has, x) for x in _history_words(F.col("n_proxy"), history)[1]]))
+        parts.append(F.when(F.col("__own")[0].isNotNull(), F.array(_single(HISTORY_FIELD, F.col("__own")[0]), _single(COUNT_FIELD, F.col("__own")[1]))).otherwise(none))
     # profiles grow with the users: never broadcast
     rows = tokens.join(vectors.hint("merge"), ["inventory_type", "profile_user"], "left")
-    return rows.select("row_index", "id", "click", "scoring", "inventory_type", F.concat(*parts).alias("features"))
+    return rows.select("row_index", "id", "click", "scoring", "inventory_type", *keep, F.concat(*parts).alias("features"))
 
 
 def sparse_lines(rows: DataFrame) -> DataFrame:

@@ -468,13 +468,13 @@ def proxy_counts(spark, sf):
     return P.proxy_rows(users(spark, sf)).groupBy("base_user").agg(F.count("*").alias("n"))
 
 
-def _sparse(spark, sf, history=True):
+def _sparse(spark, sf, history=True, keep=()):
     """The sparse rows; the resolved log, its pairs, counts and histories are each made once and read from there."""
     df = W.staged(users(spark, sf))
     proxy = (F.col("identity_kind") == "proxy") & (F.col("inventory_type") == "app")
     # proxies and devices have names of their own, so one pass serves both
     past = Y.history_strings(df.filter((F.col("identity_kind") == "device") | proxy), "base_user", EVENTS)
-    return P.sparse_rows(_base_tokens(df, past), P.profile_vectors(_edges(df)), THRESHOLD if history else None)
+    return P.sparse_rows(_base_tokens(df, past), P.profile_vectors(_edges(df)), THRESHOLD if history else None, keep)
 
 
 def sparse_rows(spark, sf):
@@ -724,13 +724,12 @@ SPECIAL = {"app": "app_special", "site": "site_special"}
 
 def _sources(spark, sf):
     """The rows of the four sources: both inventories' single tokens and profiles, app rows with histories, site rows with masked publishers."""
-    rows = W.staged(_sparse(spark, sf))
-    plain = F.filter("features", lambda x: x["field"] < P.HISTORY_FIELD)
-    cold = P.cold_publisher(rows.withColumn("features", plain)).select("row_index", F.col("features").alias("cold"))
-    one = lambda name, features: F.struct(F.lit(name).alias("source"), features.alias("features"))
-    kinds = F.when(F.col("inventory_type") == "app", F.array(one("app_baseline", plain), one("app_special", F.col("features")))).otherwise(F.array(one("site_baseline", plain), one("site_special", F.col("cold"))))
-    both = rows.join(cold, "row_index").select("row_index", "click", "scoring", F.explode(kinds).alias("x"))
-    return W.staged(both.select("x.source", "row_index", "click", "scoring", "x.features"))
+    # sources are named first, so that counting them reads no features
+    names = {kind: F.array(*[F.lit(f"{kind}_{x}") for x in ("baseline", "special")]) for kind in ("app", "site")}
+    rows = W.staged(_sparse(spark, sf)).withColumn("source", F.explode(F.when(F.col("inventory_type") == "app", names["app"]).otherwise(names["site"])))
+    plain = F.filter("whole", lambda x: x["field"] < P.HISTORY_FIELD)  # only app rows have histories
+    of = F.when(F.col("source") == "app_baseline", plain).when(F.col("source") == "site_special", F.col("features")).otherwise(F.col("whole"))
+    return P.cold_publisher(rows.withColumn("whole", F.col("features"))).select("source", "row_index", "click", "scoring", of.alias("features"))
 
 
 def source_fit_losses(spark, sf):
@@ -766,7 +765,7 @@ def fitted_prediction_stats(spark, sf):
 
 def sparse_fold_losses(spark, sf):
     """A factorization machine on the sparse rows of each walk-forward fold: its log loss there, beside that of the training click rate."""
-    rows = W.staged(_sparse(spark, sf, False).join(log(spark, sf).select("row_index", "hour_no"), "row_index"))
+    rows = W.staged(_sparse(spark, sf, False, ("hour_no",)))
     table = Y.windows(rows, HOLDOUT, FOLDS, FOLD_HOURS, MINIMUM).filter("NOT final_holdout")
     return E.fold_losses(B.fold_predictions(rows, table), {"model": "p", "click_rate": "rate"}).select("window", "rows", r("model").alias("model"), r("click_rate").alias("click_rate"))
 
