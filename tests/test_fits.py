@@ -230,3 +230,9 @@ def test_sums_of_entries_are_the_same_dense_or_not():
         s.to_entries(d, met)
         out.append((s.of_entries(table), d, met > 1.5))
     assert all(a == pytest.approx(b) for a, b in zip(*out, strict=True))
+
+
+def test_fitted_predictions_write_the_resolved_log_once(spark, monkeypatch):
+    made, users = [], Q.users
+    monkeypatch.setattr(Q, "users", lambda *a: (made.append(a), users(*a))[1])
+    assert Q.fitted_predictions(spark, "/root/testdata/sf0.001").count() > 0 and len(made) == 1

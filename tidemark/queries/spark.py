@@ -468,9 +468,9 @@ def proxy_counts(spark, sf):
     return P.proxy_rows(users(spark, sf)).groupBy("base_user").agg(F.count("*").alias("n"))
 
 
-def _sparse(spark, sf, history=True, keep=()):
+def _sparse(spark, sf, history=True, keep=(), resolved=None):
     """The sparse rows; the resolved log, its pairs, counts and histories are each made once and read from there."""
-    df = W.staged(users(spark, sf))
+    df = W.staged(users(spark, sf)) if resolved is None else resolved
     proxy = (F.col("identity_kind") == "proxy") & (F.col("inventory_type") == "app")
     # proxies and devices have names of their own, so one pass serves both
     past = Y.history_strings(df.filter((F.col("identity_kind") == "device") | proxy), "base_user", EVENTS)
@@ -722,11 +722,11 @@ def baseline_ctr(spark, sf):
 SPECIAL = {"app": "app_special", "site": "site_special"}
 
 
-def _sources(spark, sf):
+def _sources(spark, sf, resolved=None):
     """The rows of the four sources: both inventories' single tokens and profiles, app rows with histories, site rows with masked publishers."""
     # sources are named first, so that counting them reads no features
     names = {kind: F.array(*[F.lit(f"{kind}_{x}") for x in ("baseline", "special")]) for kind in ("app", "site")}
-    rows = W.staged(_sparse(spark, sf)).withColumn("source", F.explode(F.when(F.col("inventory_type") == "app", names["app"]).otherwise(names["site"])))
+    rows = W.staged(_sparse(spark, sf, resolved=resolved)).withColumn("source", F.explode(F.when(F.col("inventory_type") == "app", names["app"]).otherwise(names["site"])))
     plain = F.filter("whole", lambda x: x["field"] < P.HISTORY_FIELD)  # only app rows have histories
     of = F.when(F.col("source") == "app_baseline", plain).when(F.col("source") == "site_special", F.col("features")).otherwise(F.col("whole"))
     return P.cold_publisher(rows.withColumn("whole", F.col("features"))).select("source", "row_index", "click", "scoring", of.alias("features"))
@@ -739,11 +739,12 @@ def source_fit_losses(spark, sf):
 
 def _fitted(spark, sf):
     """Composed predictions of the four fitted sources."""
-    rows = _sources(spark, sf)
+    resolved = W.staged(users(spark, sf))  # written once, for the sparse rows and for what is chosen by it
+    rows = _sources(spark, sf, resolved)
     state, _ = W.fit(rows.filter("NOT scoring"))
     scored = W.staged(W.predict(rows.filter("scoring"), state))
     of = lambda name, column: scored.filter(F.col("source") == name).select("row_index", F.col("p").alias(column))
-    df = W.staged(users(spark, sf).filter("inventory_type = 'app' OR scoring OR inventory_type = 'site'").select("row_index", "id", "hour_no", "click", "scoring", "inventory_type", "identity_kind", "base_user", "publisher_id"))
+    df = resolved.filter("inventory_type = 'app' OR scoring OR inventory_type = 'site'").select("row_index", "id", "hour_no", "click", "scoring", "inventory_type", "identity_kind", "base_user", "publisher_id")
     use = {"app": _history_tokens(df).select("row_index", F.col("use_history").alias("selected")), "site": P.cold_selector(df).select("row_index", F.col("use_cold").alias("selected"))}
     sides = []
     for kind, chosen in use.items():
