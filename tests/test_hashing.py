@@ -61,3 +61,10 @@ def test_bucket_location(spark):
 def test_category_hash_is_seeded(spark):
     assert one(spark, H.category_hash(F.lit("a"), 1)) == one(spark, H.category_hash(F.lit("a"), 1))
     assert one(spark, H.category_hash(F.lit("a"), 1)) != one(spark, H.category_hash(F.lit("a"), 2))
+
+
+def test_tokens_of_columns_equal_single_ones(spark):
+    df = spark.createDataFrame([("a", None), ("b", "x"), ("a", "é"), ("", "x")], "p string, q string").coalesce(1)
+    for r in df.select(H.hash_tokens([F.col("p"), F.col("q")]).alias("both"), H.hash_token(F.col("p")).alias("p"), H.hash_token(F.col("q")).alias("q")).collect():
+        assert r["both"] == [r["p"], r["q"]]
+    assert df.filter("p = 'c'").select(H.hash_tokens([F.col("p")])).count() == 0
